@@ -1,0 +1 @@
+"""The functions of the library."""

@@ -1,0 +1 @@
+"""The operators of the library."""

@@ -1,0 +1 @@
+"""The plans of the library."""

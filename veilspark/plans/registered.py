@@ -1,0 +1,4 @@
+"""The registered queries of the library and their SQL for DuckDB."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}

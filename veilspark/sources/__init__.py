@@ -1,0 +1 @@
+"""The sources of the library."""
