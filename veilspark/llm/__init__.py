@@ -1,0 +1 @@
+"""Operators for preparing large training corpora; nothing else in the library imports this package."""

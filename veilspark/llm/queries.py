@@ -1,0 +1,44 @@
+"""The registered queries of this package, one for each operator, and their SQL for DuckDB where SQL can express them."""
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import license_scan, sentencepiece_codec
+from .store import table
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of every document by ordered signature rules."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda x: x["start"])
+    base = F.array_distinct(F.transform("base", lambda x: x["label"]))
+    more = F.transform("found", lambda x: x["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        "score",
+    )
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the public 32k piece model and decoded again, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.digests(docs, public_tokenizers.path(PIECE_MODEL)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_license_scans": op5_license_scans,
+    "op9_sentencepiece": op9_sentencepiece,
+}
+
+ORACLE_SQL: dict[str, str] = {}
