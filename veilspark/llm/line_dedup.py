@@ -1,0 +1,117 @@
+"""Line deduplication by content-defined chunks of lines, in DataFrame functions alone.
+
+Lines get a hash; a rolling hash over ``WINDOW`` consecutive line hashes ends a chunk where it is
+divisible by ``DIVISOR``. Boundaries so depend on nearby lines only, and a passage pasted at another
+place falls into the same chunks again. A line of more than ``PASSAGE_WORDS`` words is a passage by
+itself and always its own chunk. Of the chunks of two lines or more, and of those passage lines, that
+occur more than once anywhere, the first occurrence stays and the others go.
+
+Narrow rows (digest, place) find the repeats; then each document's list of repeats meets its text in
+one join, and the texts of all occurrences of a digest are compared byte by byte before anything is
+removed. A digest whose occurrences differ removes nothing.
+"""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .store import written
+
+WINDOW = 2
+DIVISOR = 3
+PASSAGE_WORDS = 50
+FACTOR = 31
+
+
+def _line_hash(line: Column) -> Column:
+    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+
+
+def _is_passage(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= PASSAGE_WORDS
+
+
+def chunked(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` plus ``__lines`` and ``__chunks``: array of (start, stop) line ranges, start from 0."""
+    d = docs.withColumn("__lines", F.split(F.col(f"`{text}`"), "\n", -1))
+    d = d.withColumn("__hash", F.transform("__lines", _line_hash)).withColumn("__long", F.transform("__lines", _is_passage))
+    # The list that is walked holds each line's rolling hash and whether it or the next line stands alone.
+    rolled = F.col("__hash")
+    for back in range(1, WINDOW):
+        before = F.concat(F.array_repeat(F.lit(0).cast("long"), back), F.slice("__hash", 1, F.greatest(F.size("__hash") - back, F.lit(0))))
+        rolled = F.zip_with(rolled, before, lambda a, b: a + b * FACTOR)
+    alone_next = F.concat(F.slice("__long", 2, F.size("__long")), F.array(F.lit(True)))
+    d = d.withColumn("__cut", F.zip_with(F.zip_with(rolled, F.col("__long"), lambda h, p: (h % DIVISOR == 0) | p), alone_next, lambda a, b: a | b))
+    stops = F.filter(F.transform("__cut", lambda c, i: F.when(c, i + 1)), lambda x: x.isNotNull())
+    d = d.withColumn("__stops", stops)
+    starts = F.concat(F.array(F.lit(0)), F.slice("__stops", 1, F.greatest(F.size("__stops") - 1, F.lit(0))))
+    d = d.withColumn("__chunks", F.zip_with(starts, F.col("__stops"), lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
+    return d.drop("__hash", "__cut", "__stops")
+
+
+def _chunk_text(lines: Column, start: Column, stop: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, stop - start), "\n")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the text without its repeated chunks, plus ``lines_before`` and ``lines_removed``.
+
+    The first occurrence is the one with the smallest (key, text digest, line); a null key comes last.
+    Rows that agree in key and text count as one document and get the same result. A null text stays
+    null with 0 lines; an empty text has one empty line. Line ends are ``\\n``; others belong to the line.
+    A column that has one of the new names is replaced.
+    """
+    docs = docs.drop("lines_before", "lines_removed")
+    source = docs.withColumn("__text_key", F.md5(F.col(f"`{text}`")))
+    parts = chunked(source.select(F.col(f"`{key}`").alias("__key"), "__text_key", F.col(f"`{text}`").alias("__text")), "__text")
+    told = parts.select(
+        "__key",
+        "__text_key",
+        F.explode_outer(
+            F.transform(
+                F.filter("__chunks", lambda c: (c["stop"] - c["start"] > 1) | F.get(F.col("__long"), c["start"])),
+                lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.sha2(_chunk_text(F.col("__lines"), c["start"], c["stop"]), 256).alias("digest")),
+            )
+        ).alias("c"),
+    ).where("c is not null")
+    told = written(told.select("__key", "__text_key", "c.start", "c.stop", F.unhex("c.digest").alias("digest")).distinct(), "chunks")
+    place = F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("key"), F.col("__text_key").alias("text_key"), F.col("start").alias("start"))
+    first = told.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeats = told.join(first, "digest").select("__key", "__text_key", F.struct("start", "stop", "digest", (place == F.col("first")).alias("stays")).alias("r"))
+    by_doc = repeats.groupBy("__key", "__text_key").agg(F.collect_list("r").alias("__repeats"))
+    met = source.alias("d").join(
+        by_doc.alias("r"),
+        F.col(f"d.`{key}`").eqNullSafe(F.col("r.__key")) & (F.col("d.__text_key") == F.col("r.__text_key")),
+        "left",
+    )
+    met = written(met.select("d.*", "r.__repeats").drop("__text_key"), "repeats")
+    return _removed(met, text, _differing(met, text))
+
+
+def _differing(met: DataFrame, text: str) -> DataFrame | None:
+    """Digests whose occurrences are not the same bytes, or None when there are none, as always so far."""
+    lines = met.where("__repeats is not null").select("__repeats", F.split(F.col(f"`{text}`"), "\n", -1).alias("__lines"))
+    texts = lines.select(F.explode_outer(F.transform("__repeats", lambda r: F.struct(r["digest"].alias("digest"), _chunk_text(F.col("__lines"), r["start"], r["stop"]).alias("text")))).alias("o"))
+    odd = written(texts.groupBy("o.digest").agg(F.min("o.text").alias("a"), F.max("o.text").alias("b")).where("a <> b").select("digest"), "differing")
+    return None if odd.isEmpty() else odd
+
+
+def _removed(met: DataFrame, text: str, differing: DataFrame | None) -> DataFrame:
+    lines = F.split(F.col(f"`{text}`"), "\n", -1)
+    if differing is not None:
+        met = met.withColumn("__row", F.monotonically_increasing_id())
+        met = written(met, "repeats")
+        held = met.select("__row", F.explode("__repeats").alias("r")).join(differing, F.col("r.digest") == F.col("digest"), "left_anti")
+        held = held.groupBy("__row").agg(F.collect_list("r").alias("__repeats"))
+        met = met.drop("__repeats").join(held, "__row", "left").drop("__row")
+    gone = F.flatten(F.transform(F.filter("__repeats", lambda r: ~r["stays"]), lambda r: F.sequence(r["start"], r["stop"] - 1)))
+    out = met.withColumn("__lines", lines).withColumn("__gone", F.coalesce(gone, F.array().cast("array<int>")))
+    size = F.coalesce(F.size("__lines"), F.lit(0))
+    left = F.array_except(F.sequence(F.lit(0), size - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
+    changed = F.when(F.size("__gone") > 0, kept).otherwise(F.col(f"`{text}`"))
+    return (
+        out.withColumn("lines_before", F.when(F.col(f"`{text}`").isNull(), 0).otherwise(size).cast("long"))
+        .withColumn("lines_removed", F.size("__gone").cast("long"))
+        .withColumn(text, changed)
+        .drop("__lines", "__gone", "__repeats")
+    )

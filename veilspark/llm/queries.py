@@ -6,12 +6,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sentencepiece_codec
+from . import language_bloom, license_scan, line_dedup, sentencepiece_codec, toxicity_chain, warc
 from .store import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from three of four hash classes of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
+    model = language_bloom.train(docs.where("not coalesce(held_out, false)").select("text", "lang"))
+    return language_bloom.predict(docs.select("doc_id", "held_out", "text"), spark.sparkContext.broadcast(model))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier place of the corpus has."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines_before", "lines_removed", F.md5("text").alias("text_md5"))
+
+
+OP2_SQL = f"""
+with d as (select doc_id, text, md5(text) tk, string_split(text, chr(10)) ls from documents),
+l as (select doc_id, tk, unnest(ls) line, generate_subscripts(ls, 1) - 1 i from d),
+h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint h, length(line) - length(replace(line, ' ', '')) >= {line_dedup.PASSAGE_WORDS} p from l),
+c as (select *, (h + {line_dedup.FACTOR} * coalesce(lag(h) over w, 0)) % {line_dedup.DIVISOR} = 0 or p or coalesce(lead(p) over w, true) cut
+      from h window w as (partition by doc_id, tk order by i)),
+n as (select *, coalesce(sum(cut::int) over (partition by doc_id, tk order by i rows between unbounded preceding and 1 preceding), 0) chunk from c),
+k as (select doc_id, tk, chunk, min(i) start, count(*) lines, bool_or(p) p, string_agg(line, chr(10) order by i) t from n group by all),
+r as (select *, row_number() over (partition by t order by doc_id, tk, start) > 1 and (lines > 1 or p) gone from k),
+s as (select doc_id, tk, sum(lines) lines_before, coalesce(sum(lines) filter (gone), 0) lines_removed, coalesce(string_agg(t, chr(10) order by start) filter (not gone), '') t from r group by all)
+select doc_id, lines_before::bigint lines_before, lines_removed::bigint lines_removed, md5(t) text_md5 from s
+union all select doc_id, 0, 0, null from documents where text is null
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document by the classifier chain, and whether it is rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity_chain.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    return toxicity_chain.score(docs, spark.sparkContext.broadcast(chain)).drop("text")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License statements of every document by ordered signature rules."""
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -30,6 +65,22 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = f"""
+with p as (select page_id, coalesce(html, '') h from pages),
+q as (select *, strlen(h) n, min(page_id) over (partition by h) r from p)
+select page_id, n::bigint payload_bytes, sha256(h) payload_digest,
+       case when n >= {warc.MIN_REVISIT_BYTES} and page_id is distinct from r then 'revisit' else 'response' end record_type,
+       case when n >= {warc.MIN_REVISIT_BYTES} and page_id is distinct from r then r end refers_to
+from q
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the public 32k piece model and decoded again, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,8 +88,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_license_scans": op5_license_scans,
+    "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_warc": OP8_SQL}

@@ -92,12 +92,19 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same for A-Z and a-z."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``most`` bytes, the same for A-Z and a-z."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         length = self.end - self.start
-        code = BYTE_CODE[self.data[self._inside]]
+        if most is not None:
+            length = np.minimum(length, most)
+            inside = np.repeat(self.start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+            return self._hashed(BYTE_CODE[self.data[inside]], length)
+        return self._hashed(BYTE_CODE[self.data[self._inside]], length)
+
+    @staticmethod
+    def _hashed(code: np.ndarray, length: np.ndarray) -> np.ndarray:
         begin = np.concatenate(([0], np.cumsum(length)[:-1]))
         place = np.arange(len(code)) - np.repeat(begin, length)
         return mix(np.add.reduceat(code * powers(int(length.max()))[place], begin) + length.astype(np.uint64))

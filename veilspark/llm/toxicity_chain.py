@@ -1,0 +1,232 @@
+"""Toxicity by a classifier chain of linear models.
+
+The categories stand in a fixed order. The model of each category is a logistic regression over word
+features and over the probabilities of all categories before it. In training, those probabilities come
+out of fold: each row's from models that did not see it; in scoring, from the final models in turn.
+
+Features are binary: a word is there, it is there again, the same for the beginnings of words (5, 6 and
+7 bytes, so that inflected forms count together), and coarse shares of capitals and signs. They are kept
+by full 64-bit hash, so no other word of the corpus can pass for one that was learned.
+"""
+
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .textkit import Words, mix, slices, utf8
+
+#: Labelled rows that the models are fitted on at most, half of them toxic; chosen by hash of the key, weighted back.
+SAMPLE_ROWS = 8192
+#: Features that one model keeps at most, those that tell most about its category.
+FEATURES = 4096
+FOLDS = 4
+ROUNDS = 150
+RIDGE = 0.3
+PREFIXES = (5, 6, 7)
+#: Probability of "toxic" from which a document is rejected; costs no precision on held-out labels.
+THRESHOLD = 0.4
+CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
+
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SIGNS = np.zeros(256, bool)
+_SIGNS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-!?"]] = True
+
+
+def feature_batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, feature hashes, document of each) for slices of a string column; repeats are still there."""
+    raw_offsets, raw = utf8(column)
+    offsets, data = utf8(pc.utf8_lower(column.cast(pa.large_string())))
+    for a, b in slices(offsets):
+        words = Words(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], LETTERS)
+        doc = np.repeat(np.arange(b - a), np.diff(words.first))
+        kinds = [words.hashes(), *(mix(words.hashes(p) + np.uint64(p)) for p in PREFIXES)]
+        feats, docs = [*kinds], [doc] * len(kinds)
+        for number, flags in enumerate((_SIGNS, _UPPER)):
+            sums = np.concatenate(([0], np.cumsum(flags[raw[raw_offsets[a] : raw_offsets[b]]])))
+            at = raw_offsets[a : b + 1] - raw_offsets[a]
+            share = np.diff(sums[at]) / np.maximum(1, np.diff(at))
+            bin_ = np.minimum(9, (share * 20).astype(np.int64)).astype(np.uint64)
+            feats.append(mix(bin_ + np.uint64(1000 * (number + 1))))
+            docs.append(np.arange(b - a))
+        yield a, b, np.concatenate(feats), np.concatenate(docs)
+
+
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+
+
+def _levels(feats: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, document), each feature once more under another hash where it is repeated."""
+    order = np.lexsort((feats, doc))
+    feats, doc = feats[order], doc[order]
+    new = np.ones(len(feats), bool)
+    new[1:] = (feats[1:] != feats[:-1]) | (doc[1:] != doc[:-1])
+    second = np.zeros(len(feats), bool)
+    second[1:] = new[:-1] & ~new[1:]
+    return np.concatenate([feats[new], mix(feats[second] + np.uint64(1))]), np.concatenate([doc[new], doc[second]])
+
+
+class Linear:
+    """A logistic regression over some features and some earlier probabilities."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray, earlier: np.ndarray, bias: float):
+        self.features, self.weights, self.earlier, self.bias = features, weights, earlier, bias
+
+    def probability(self, column: np.ndarray, doc: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """For documents with features ``column`` (places in ``features``) at ``doc``."""
+        z = self.bias + earlier @ self.earlier + np.bincount(doc, weights=self.weights[column], minlength=len(earlier))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_linear(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, earlier: np.ndarray, target: np.ndarray, weight: np.ndarray) -> Linear:
+    """A ridge logistic regression on the rows of positive weight, by accelerated gradient descent."""
+    used = weight > 0
+    total = weight.sum()
+    rate = float((weight * target).sum() / total) if total else 0.0
+    if rate in (0.0, 1.0):
+        return Linear(distinct[:0], np.zeros(0), np.zeros(earlier.shape[1]), 12.0 if rate else -12.0)
+    rows = used[doc]
+    f, d = feature[rows], doc[rows]
+    there = np.bincount(f, weights=weight[d], minlength=len(distinct))
+    positive = np.bincount(f, weights=(weight * target)[d], minlength=len(distinct))
+    told = (positive - there * rate) ** 2 / (there + 1)
+    told[np.bincount(f, minlength=len(distinct)) < 3] = 0
+    picked = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
+    picked = picked[told[picked] > 0]
+    place = np.full(len(distinct), -1)
+    place[picked] = np.arange(len(picked))
+    inside = place[f] >= 0
+    f, d = place[f[inside]], d[inside]
+    n, m = len(target), len(picked)
+    w, e, bias = np.zeros(m), np.zeros(earlier.shape[1]), np.log(rate / (1 - rate))
+    share = weight / total
+    norm = np.bincount(d, minlength=n) + 1 + (earlier**2).sum(axis=1)
+    step = 1 / (0.25 * np.average(norm, weights=share) * 4 + RIDGE / total)
+    last = (w, e, bias)
+    for t in range(1, ROUNDS + 1):
+        ahead = [x + (t - 1) / (t + 2) * (x - y) for x, y in zip((w, e, bias), last, strict=True)]
+        z = ahead[2] + earlier @ ahead[1] + np.bincount(d, weights=ahead[0][f], minlength=n)
+        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * share
+        last = (w, e, bias)
+        w = ahead[0] - step * (np.bincount(f, weights=off[d], minlength=m) + RIDGE / total * ahead[0])
+        e = ahead[1] - step * (earlier.T @ off + RIDGE / total * ahead[1])
+        bias = ahead[2] - step * off.sum()
+    return Linear(distinct[picked], w, e, float(bias))
+
+
+def fit_chain(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, targets: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[Linear]:
+    """One final model for each category; every later one has seen out-of-fold probabilities of the earlier ones."""
+    n, chain = len(weight), []
+    outside = np.zeros((n, 0))
+    for k in range(targets.shape[1]):
+        chain.append(fit_linear(feature, doc, distinct, outside, targets[:, k], weight))
+        if k + 1 == targets.shape[1]:
+            break
+        p = np.zeros(n)
+        for j in range(FOLDS):
+            part = fit_linear(feature, doc, distinct, outside, targets[:, k], np.where(fold == j, 0.0, weight))
+            place = np.searchsorted(part.features, distinct)
+            place = np.where((place < len(part.features)) & (part.features[np.minimum(place, max(0, len(part.features) - 1))] == distinct) if len(part.features) else False, place, -1)
+            held = place[feature] >= 0
+            mine = part.probability(place[feature[held]], doc[held], outside)
+            p[fold == j] = mine[fold == j]
+        outside = np.column_stack([outside, p])
+    return chain
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[Linear]:
+    """The chain, from rows of ``labels`` (key, quality, toxic) that have a text in ``docs``.
+
+    Fitted in one task on at most ``SAMPLE_ROWS`` labelled rows; several labels of a key count as their
+    largest toxicity and smallest quality, null labels not at all. The driver gets the models alone.
+    """
+    known = labels.where("quality is not null and toxic is not null").groupBy(key).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    known = known.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(1 << 20)))
+    sizes = {r[0] > 0: r[1] for r in known.groupBy(F.expr("toxic > 0").cast("int").alias("t")).count().collect()}
+    half = SAMPLE_ROWS // 2
+    shares = {t: min(1.0, 0.95 * half / max(1, n)) if n > half else 1.0 for t, n in sizes.items()}
+    chosen = None
+    for toxic, share in shares.items():
+        part = known.where((F.col("toxic") > 0) == toxic).where(F.col("__at") < int(share * (1 << 20))).limit(half).withColumn("__weight", F.lit(1 / share))
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return fit_chain(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(CATEGORIES))), np.zeros(0), np.zeros(0))
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), key)
+    rows = rows.select("__text", "toxic", "quality", "__weight", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(FOLDS)).cast("int").alias("fold"))
+    # Copies of a key's document can make it more rows; the bound holds for rows.
+    fitted = rows.repartition(8).mapInArrow(_featured, "features binary, toxic int, quality int, weight double, fold int").limit(SAMPLE_ROWS).repartition(1)
+    return pickle.loads(fitted.mapInArrow(_fitted, "model binary").first()[0])
+
+
+def _featured(batches):
+    for batch in batches:
+        made = []
+        for a, b, feats, doc in feature_batches(batch.column(0)):
+            feats, doc = _levels(feats, doc)
+            order = np.argsort(doc, kind="stable")
+            cuts = np.searchsorted(doc[order], np.arange(1, b - a))
+            made += [x.tobytes() for x in np.split(feats[order], cuts)]
+        toxic, quality = (batch.column(i).cast(pa.int32()) for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), toxic, quality, batch.column(3), batch.column(4)], names=["features", "toxic", "quality", "weight", "fold"])
+
+
+def _fitted(batches):
+    got = pa.Table.from_batches(list(batches), pa.schema([("features", pa.binary()), ("toxic", pa.int32()), ("quality", pa.int32()), ("weight", pa.float64()), ("fold", pa.int32())]))
+    own = [np.frombuffer(x, np.uint64) for x in got["features"].to_pylist()]
+    feats = np.concatenate([np.zeros(0, np.uint64), *own])
+    doc = np.repeat(np.arange(len(own)), [len(x) for x in own]) if own else np.zeros(0, np.int64)
+    distinct, feature, seen = np.unique(feats, return_inverse=True, return_counts=True)
+    often = seen[feature] >= 3
+    place = np.cumsum(seen >= 3) - 1
+    toxic, low = got["toxic"].to_numpy() > 0, got["quality"].to_numpy() <= 0
+    targets = np.column_stack([low, toxic, toxic & low]).astype(float).reshape(-1, len(CATEGORIES))
+    chain = fit_chain(place[feature[often]], doc[often], distinct[seen >= 3], targets, got["weight"].to_numpy(), got["fold"].to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
+
+
+def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of ``docs`` plus ``p_<category>`` for each category and ``rejected`` (p_toxic at or over the threshold).
+
+    A null or empty text has no words and is never rejected. Rows are judged one by one, so repeated
+    rows, ties, null keys and empty tables need no care; columns with one of the new names are replaced.
+    """
+    new = [*(f"p_{c}" for c in CATEGORIES), "rejected"]
+    kept = [c for c in docs.columns if c not in new]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(text)
+
+    def run(batches):
+        models = chain.value
+        all_features = np.unique(np.concatenate([np.zeros(0, np.uint64), *(m.features for m in models)]))
+        places = [np.searchsorted(m.features, all_features) for m in models]
+        places = [np.where(np.isin(all_features, m.features), p, -1) for m, p in zip(models, places, strict=True)]
+        known = np.zeros(1 << 20, bool)  # lets most features pass by without a search
+        for f in all_features:
+            known[int(f) & 0xFFFFF] = True
+        for batch in batches:
+            p = np.zeros((batch.num_rows, len(models)))
+            worded = np.zeros(batch.num_rows, bool)
+            for a, b, feats, doc in feature_batches(batch.column(at)):
+                worded[a:b] = np.bincount(doc, minlength=b - a) > 2
+                again = mix(feats + np.uint64(1))
+                near = known[(feats & np.uint64(0xFFFFF)).astype(np.int64)] | known[(again & np.uint64(0xFFFFF)).astype(np.int64)]
+                f, d = _levels(feats[near], doc[near])
+                spot = np.minimum(np.searchsorted(all_features, f), max(0, len(all_features) - 1))
+                same = all_features[spot] == f if len(all_features) else np.zeros(len(f), bool)
+                spot, d = spot[same], d[same]
+                for k, (m, place) in enumerate(zip(models, places, strict=True)):
+                    held = place[spot] >= 0
+                    p[a:b, k] = m.probability(place[spot[held]], d[held], p[a:b, :k])
+            p[~worded] = 0.0
+            fresh = [pa.array(p[:, k]) for k in range(len(models))] + [pa.array(p[:, CATEGORIES.index("toxic")] >= threshold)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + fresh, names=kept + new)
+
+    schema = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in kept) + "".join(f"{c} double, " for c in new[:-1]) + "rejected boolean"
+    return source.mapInArrow(run, schema)
