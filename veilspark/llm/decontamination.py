@@ -1,0 +1,243 @@
+"""Benchmark decontamination by q-gram filtering and banded alignment.
+
+Texts are compared in a normal form: lower-case letters and digits, every run of other characters one
+space. Benchmark items are cut into overlapping windows of at most ``WINDOW`` bytes. A window of L bytes
+that stands in a document with at most e edits shares at least L - q + 1 - q*e of its q-grams with it,
+on diagonals (place in the document minus place in the window) no further apart than e. So shared
+q-grams are counted in overlapping diagonal bands, bands that reach the bound are kept, and a banded
+alignment gives the number of edits.
+"""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .textkit import mix, slices, utf8
+
+Q = 8
+WINDOW = 200
+STRIDE = 100
+EDIT_SHARE = 0.1
+#: Normal-form bytes of benchmark that are broadcast at a time; a larger benchmark takes several passes over the documents.
+PASS_BYTES = 16 << 20
+_STEP = 20
+_BLOCK = 2048
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def normal_form(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, place in ``data`` of each byte) of the normal forms of some texts.
+
+    ASCII and Latin-1 letters are lower-cased, which keeps places; other letters stay as they are.
+    """
+    low = _LOWER[data]
+    if len(low) > 1:
+        latin = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+        low[1:][latin] += 0x20
+    word = _ALNUM[low]
+    low[~word] = 0x20
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    starts = offsets[:-1][offsets[1:] > offsets[:-1]]
+    keep[starts] = word[starts]
+    return low[keep], np.concatenate(([0], np.cumsum(keep)))[offsets], np.flatnonzero(keep)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number."""
+    if len(data) < Q:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(data) - Q + 1, np.uint64)
+    for j in range(Q):
+        out = (out << np.uint64(8)) | data[j : len(out) + j]
+    return out
+
+
+class Patterns:
+    """The q-gram index of some benchmark items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.item, self.text, self.edits = [], [], []
+        for item, text in items:
+            raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+            form = normal_form(np.array([0, len(raw)]), raw)[0]
+            form = form[: len(form) - (len(form) > 0 and form[-1] == 0x20)]
+            last = max(0, len(form) - WINDOW)
+            for at in sorted({*range(0, last, STRIDE), last}):
+                piece = form[at : at + WINDOW]
+                if len(piece) >= Q:
+                    self.item.append(item)
+                    self.text.append(piece)
+                    self.edits.append(min(int(EDIT_SHARE * len(piece)), (len(piece) - Q) // Q))
+        self.length = np.array([len(t) for t in self.text], np.int64)
+        self.edits = np.array(self.edits, np.int64)
+        self.need = self.length - Q + 1 - Q * self.edits
+        own = [grams(t) for t in self.text]
+        keys = np.concatenate([np.zeros(0, np.uint64), *own])
+        pattern = np.repeat(np.arange(len(own)), [len(g) for g in own]) if own else np.zeros(0, np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in own)])
+        order = np.argsort(keys, kind="stable")
+        self.pattern, self.place = pattern[order], place[order]
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(mix(self.keys) & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def matches(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, start, stop, edits) of the windows found in some texts; places are bytes of ``data``."""
+        form, bounds, origin = normal_form(offsets, data)
+        for row, pattern, diagonal in self._candidates(form, bounds):
+            yield from self._aligned(form, bounds, origin, row, pattern, diagonal)
+
+    def _candidates(self, form: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        g = grams(form)
+        near = np.flatnonzero(self.seen[(mix(g) & np.uint64(0xFFFFF)).astype(np.int64)])
+        if not len(near) or not len(self.keys):
+            return
+        spot = np.minimum(np.searchsorted(self.keys, g[near]), len(self.keys) - 1)
+        same = self.keys[spot] == g[near]
+        at, spot = near[same], spot[same]
+        row = np.searchsorted(bounds, at, "right") - 1
+        whole = at + Q <= bounds[row + 1]
+        at, spot, row = at[whole], spot[whole], row[whole]
+        many = self.first[spot + 1] - self.first[spot]
+        begin = 0
+        while begin < len(at):  # as many hits at a time as memory likes
+            end = begin + max(1, int(np.searchsorted(np.cumsum(many[begin:]), 4_000_000)))
+            end = self._whole_rows(row, begin, end)
+            part = slice(begin, end)
+            m = many[part]
+            inner = np.arange(int(m.sum())) - np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m)
+            posting = np.repeat(self.first[spot[part]], m) + inner
+            place, pattern = np.repeat(at[part], m), self.pattern[posting]
+            hit_row = np.repeat(row[part], m)
+            # A match lies within two neighbouring blocks of text, so hits of poorer neighbourhoods go first.
+            block = place // _BLOCK - at[begin] // _BLOCK
+            cells = np.bincount(pattern * (int(block.max()) + 2) + block, minlength=len(self.length) * (int(block.max()) + 2)).reshape(len(self.length), -1)
+            beside = np.zeros_like(cells)
+            beside[:, 1:] = cells[:, :-1]
+            beside[:, :-1] = np.maximum(beside[:, :-1], cells[:, 1:])
+            rich = cells + beside >= self.need[:, None]
+            good = rich[pattern, block]
+            place, pattern, hit_row = place[good], pattern[good], hit_row[good]
+            diagonal = place - self.place[posting[good]]
+            band = diagonal // _STEP
+            code = np.concatenate([np.stack([hit_row, pattern, band]), np.stack([hit_row, pattern, band - 1])], axis=1)
+            if code.shape[1]:
+                low = code[2].min()
+                width = int(code[2].max() - low + 1)
+                flat, count = np.unique((code[0] * len(self.length) + code[1]) * width + code[2] - low, return_counts=True)
+                pattern_of = flat // width % len(self.length)
+                enough = count >= self.need[pattern_of]
+                flat, pattern_of = flat[enough], pattern_of[enough]
+                if len(flat):
+                    yield flat // width // len(self.length), pattern_of, (flat % width + low) * _STEP
+            begin = end
+
+    @staticmethod
+    def _whole_rows(row: np.ndarray, begin: int, end: int) -> int:
+        """``end`` moved back to where a row begins, or on to its end when it is the only one."""
+        if end >= len(row):
+            return len(row)
+        back = int(np.searchsorted(row, row[end], "left"))
+        return back if back > begin else int(np.searchsorted(row, row[end], "right"))
+
+    def _aligned(self, form, bounds, origin, row, pattern, diagonal) -> Iterator[tuple[int, int, int, int, int]]:
+        """The candidates whose window aligns with at most its number of edits inside its band, 512 at a time."""
+        slack = int(self.edits.max())
+        width = 2 * _STEP + 2 * slack + 1
+        for a in range(0, len(row), 512):
+            r, p = row[a : a + 512], pattern[a : a + 512]
+            base = diagonal[a : a + 512] - slack
+            length = self.length[p]
+            most = int(length.max())
+            text = np.full((len(r), most), 1, np.uint8)
+            for i, k in enumerate(p):
+                text[i, : length[i]] = self.text[k]
+            # Cell (i, j): the window's first i bytes against text that ends at base + i + j.
+            column = np.arange(width)
+            cost = np.zeros((len(r), width), np.int64)
+            origin_at = np.broadcast_to(column, cost.shape).copy()  # where the aligned text begins, minus base
+            done_cost, done_stop, done_start = np.full(len(r), 1 << 30), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+            lo, hi = bounds[r][:, None], bounds[r + 1][:, None]
+            for i in range(most):
+                at = base[:, None] + i + column
+                inside = (at >= lo) & (at < hi)
+                other = np.where(inside, form[np.clip(at, 0, len(form) - 1)], 0)
+                step = cost + (other != text[:, i : i + 1])
+                step = np.where(inside, step, 1 << 20)
+                start = origin_at
+                drop = np.full_like(cost, 1 << 20)
+                drop[:, :-1] = cost[:, 1:] + 1  # a byte of the window that the text lacks
+                from_drop = np.zeros_like(start)
+                from_drop[:, :-1] = start[:, 1:]
+                best = np.minimum(step, drop)
+                start = np.where(step <= drop, start, from_drop)
+                # A byte of the text that the window lacks: the best cell to the left plus the way.
+                lead = (best - column) * 256 + column
+                run = np.minimum.accumulate(lead, axis=1)
+                source = run & 255
+                cost = np.minimum(best, (run >> 8) + column)
+                origin_at = np.take_along_axis(start, source, axis=1)
+                ended = np.flatnonzero(length == i + 1)
+                if len(ended):
+                    j = cost[ended].argmin(axis=1)
+                    done_cost[ended] = cost[ended, j]
+                    done_stop[ended] = base[ended] + i + j + 1
+                    done_start[ended] = base[ended] + origin_at[ended, j]
+            for i in np.flatnonzero(done_cost <= self.edits[p]):
+                begin, stop = max(int(done_start[i]), int(bounds[r[i]])), min(int(done_stop[i]), int(bounds[r[i] + 1]))
+                if stop > begin:
+                    yield int(r[i]), self.item[p[i]], int(origin[begin]), int(origin[stop - 1]) + 1, int(done_cost[i])
+
+
+LEAKS = "array<struct<item_id:long,start:long,stop:long,edits:long>>"
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` plus ``leaks``: the benchmark windows found in the row's text.
+
+    Each leak has the item's id, the place in the text as UTF-8 bytes and the number of edits; of windows
+    found at overlapping places of one item the best counts, and items that share a window are all named.
+    A null or empty text has none. Items that are null or whose normal form is shorter than ``Q`` bytes are
+    too short to look for. Rows are handled one by one, so repeated rows, null keys and empty tables need no
+    care; a column ``leaks`` is replaced. Every benchmark item is used: at most ``PASS_BYTES`` of them are
+    broadcast at a time, and a larger benchmark takes several passes.
+    """
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c != "leaks"]
+    at = kept.index(text)
+    usable = benchmark.where("text is not null").select("item_id", "text")
+    size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // PASS_BYTES) or 1
+    found = docs.select(*[F.col(f"`{c}`") for c in kept])
+    for part in range(parts):
+        chosen = usable if parts == 1 else usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        patterns = spark.sparkContext.broadcast(Patterns(sorted({(r[0], r[1]) for r in chosen.collect()}, key=lambda x: (x[0] is None, x))))
+
+        def run(batches, patterns=patterns):
+            for batch in batches:
+                offsets, data = utf8(batch.column(at))
+                leaks: list[dict[tuple, tuple]] = [{} for _ in range(batch.num_rows)]
+                for a, b in slices(offsets):
+                    for row, item, start, stop, edits in patterns.value.matches(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]):
+                        start, stop = (int(x + offsets[a] - offsets[a + row]) for x in (start, stop))
+                        own = leaks[a + row]
+                        near = [k for k in own if k[0] == item and k[1] < stop and start < k[2]]
+                        if all((edits, start, stop) < (own[k], k[1], k[2]) for k in near):
+                            for k in near:
+                                del own[k]
+                            own[item, start, stop] = edits
+                value = pa.array([[{"item_id": k[0], "start": k[1], "stop": k[2], "edits": e} for k, e in sorted(x.items(), key=str)] for x in leaks], pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, f"__leaks{part}"])
+
+        schema = "".join(f"`{c}` {t}, " for c, t in found.dtypes) + f"__leaks{part} {LEAKS}"
+        found = found.mapInArrow(run, schema)
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.concat(*[F.col(f"__leaks{i}") for i in range(parts)]).alias("leaks"))

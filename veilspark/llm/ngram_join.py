@@ -1,0 +1,270 @@
+"""N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
+
+Documents are sets of word shingles. Equal sets are joined to one representative first. Two sets with
+Jaccard similarity of at least t must share one of their first |x| - ceil(t|x|) + 1 elements in any common
+order of elements; here rare shingles come first, by a fixed-size table of counts of all shingles, so that
+passages many documents share stay out of the tiles. Each representative is dealt to the tile of every
+such element. A tile is walked in order of set size, and only sets within the size band of t are
+paired; pairs already known to be connected are left out. What is left meets in three steps that only ever
+remove pairs which cannot reach t: the places of the shared element bound the overlap from above, then the
+bit counts of hashed bitmaps do, then the sorted arrays of shingle hashes are intersected exactly.
+
+A first round pairs documents that agree in one of a few minima of their shingle hashes. It decides
+nothing by itself; the groups of near copies it connects need no pairs in the tiles afterwards.
+"""
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .store import written
+from .textkit import mix, shingle_sets, word_batches
+
+SHINGLE = 5
+THRESHOLD = 0.8
+#: Cells of the table of shingle counts; it orders elements and bounds no result.
+COUNT_BITS = 20
+_CHUNK = 1 << 12
+MINIMA = 4
+#: Postings of one element in one tile at about most; elements with more are dealt to pairs of blocks.
+TILE = 2048
+
+
+def _need(t100: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest overlap with which sets of sizes a and b reach the threshold."""
+    return -(-t100 * (a + b) // (100 + t100))
+
+
+def _prefix(t100: int, n: int) -> int:
+    return n - -(-t100 * n // 100) + 1
+
+
+def _pairs_of(words, k):
+    for own in shingle_sets(words, k):
+        yield own
+
+
+def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
+    """How often shingles fall into each of 2^``COUNT_BITS`` cells, capped at 2^32 - 1; the driver gets that table alone."""
+
+    def count(batches):
+        cells = np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for _, _, words in word_batches(batch.column(0)):
+                own = list(shingle_sets(words, k))
+                if own:
+                    cells += np.bincount((np.concatenate(own) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
+        part = int(np.random.default_rng().integers(64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells) // _CHUNK, dtype=np.int32)), pa.array(np.full(len(cells) // _CHUNK, part, np.int32)), pa.array([c.tobytes() for c in cells.reshape(-1, _CHUNK)], pa.binary())], names=["chunk", "part", "cells"])
+
+    def add(table):
+        total = np.zeros(_CHUNK, np.uint64)
+        for value in table["cells"]:
+            total += np.frombuffer(value.as_buffer(), np.uint32)
+        cells = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "part": pa.array([0], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    schema = "chunk int, part int, cells binary"
+    counted = docs.mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
+    rows = counted.groupBy("chunk").applyInArrow(add, schema).toArrow()
+    out = np.zeros((1 << COUNT_BITS) // _CHUNK * _CHUNK, np.uint32).reshape(-1, _CHUNK)
+    for chunk, value in zip(rows["chunk"].to_pylist(), rows["cells"].to_pylist(), strict=True):
+        out[chunk] = np.frombuffer(value, np.uint32)
+    return out.reshape(-1)
+
+
+def shingle_sizes(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
+    """(key, n, set_key, minima): size of each document's set, a 128-bit digest of it and a few minima of its hashes."""
+
+    def run(batches):
+        for batch in batches:
+            n, keys, minima = [], [], []
+            for _, _, words in word_batches(batch.column(1)):
+                for own in shingle_sets(words, k):
+                    n.append(len(own))
+                    with np.errstate(over="ignore"):
+                        keys.append(np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()]).tobytes() if len(own) else None)
+                    minima.append([int(mix(own * np.uint64(2 * j + 3)).min().view(np.int64)) for j in range(MINIMA)] if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], names=["key", "n", "set_key", "minima"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, n long, set_key binary, minima array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, t100: int) -> DataFrame:
+    """The pairs (a, b, na, nb) of representatives whose sets do reach the threshold."""
+    need = F.ceil((F.col("na") + F.col("nb")) * t100 / (100 + t100))
+    signed = pairs.where(F.least("na", "nb") >= F.expr(f"greatest(na, nb) * {t100} / 100"))
+
+    def exact(batches):
+        for batch in batches:
+            left, right = ([s for _, _, w in word_batches(batch.column(i)) for s in shingle_sets(w, k)] for i in (2, 3))
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                least = int(_need(t100, len(x), len(y)))
+                keep.append(_bit_bound(x, y) >= least and len(np.intersect1d(x, y, assume_unique=True)) * (100 + t100) >= t100 * (len(x) + len(y)))
+            keep = np.array(keep, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    del need
+    first = signed.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    both = first.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.mapInArrow(exact, f"a {kind}, b {kind}")
+
+
+def _bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+    flags = np.zeros(bits, bool)
+    flags[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags)
+
+
+def _bit_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """No overlap of two sets is larger: each bit that only one bitmap has stands for an element that only one set has."""
+    bits = 64
+    while bits < 2 * max(len(x), len(y)):
+        bits *= 2
+    differing = int(np.bitwise_count(_bitmap(x, bits) ^ _bitmap(y, bits)).sum())
+    return (len(x) + len(y) - differing) // 2
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    """For each minimum, pairs of its smallest key with every other key that has it."""
+    flat = groups.select("key", "n", F.posexplode("minima").alias("j", "m"))
+    hub = flat.groupBy("j", "m").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    met = flat.join(hub, ["j", "m"]).where(F.col("key") != F.col("hub.key"))
+    return met.select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+
+
+def _postings(reps: DataFrame, counts, k: int, t100: int) -> DataFrame:
+    """(element, i, j, side, key, n, at, comp): each representative at its first elements, rare ones first."""
+
+    def run(batches):
+        cells = counts.value
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            sizes = batch.column(1).to_numpy()
+            row = 0
+            for _, _, words in word_batches(batch.column(3)):
+                for own in shingle_sets(words, k):
+                    if len(own):
+                        often = cells[(own >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                        most = _prefix(t100, len(own))
+                        if most < len(own):
+                            cut = np.partition(often, most - 1)[most - 1]
+                            few = np.flatnonzero(often <= cut)
+                        else:
+                            few = np.arange(len(own))
+                        few = few[np.lexsort((own[few], often[few]))][:most]
+                        out[0].append(own[few])
+                        out[1].append(np.arange(len(few)))
+                        out[2].append(np.full(len(few), row))
+                        out[3].append(often[few])
+                    row += 1
+            if not out[0]:
+                continue
+            element, at, who, often = map(np.concatenate, out)
+            blocks = np.maximum(1, -(-often.astype(np.int64) // TILE))
+            blocks = np.where(often > 4 * TILE, blocks, 1)
+            own_block = (mix(who.astype(np.uint64) + np.uint64(int(sizes.sum()) & 0xFFFF)) % blocks.astype(np.uint64)).astype(np.int64)
+            times = blocks
+            source = np.repeat(np.arange(len(element)), times)
+            other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            i, j = np.minimum(own_block[source], other), np.maximum(own_block[source], other)
+            for a in range(0, len(source), 100_000):
+                s = source[a : a + 100_000]
+                w = pa.array(who[s])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(element[s].view(np.int64)), pa.array(i[a : a + len(s)].astype(np.int32)), pa.array(j[a : a + len(s)].astype(np.int32)), pa.array(own_block[s].astype(np.int32)), batch.column(0).take(w), batch.column(1).take(w), pa.array(at[s].astype(np.int32)), batch.column(2).take(w)],
+                    names=["element", "i", "j", "block", "key", "n", "at", "comp"],
+                )
+
+    kind = reps.schema["key"].dataType.simpleString()
+    return reps.select("key", "n", "comp", "text").mapInArrow(run, f"element long, i int, j int, block int, key {kind}, n long, at int, comp {kind}")
+
+
+def _tile_pairs(postings: DataFrame, t100: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components that a tile cannot rule out."""
+    kind = postings.schema["key"].dataType.simpleString()
+    dealt = postings.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j", "n")
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if left is not None:
+                table = pa.concat_tables([left, table])
+            e, i, j = (table[c].to_numpy() for c in ("element", "i", "j"))
+            same = (e[1:] == e[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+            heads = np.concatenate(([0], np.flatnonzero(~same) + 1))
+            yield from _within(table.slice(0, int(heads[-1])), heads, t100)
+            left = table.slice(int(heads[-1]))
+        if left is not None:
+            yield from _within(left, np.array([0, left.num_rows]), t100)
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
+def _within(table: pa.Table, heads: np.ndarray, t100: int):
+    """The pairs of each tile of a table sorted by tile and size; ``heads`` are the tiles' first rows."""
+    key, n, at, comp, block, i, j = (table[c].to_numpy() for c in ("key", "n", "at", "comp", "block", "i", "j"))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for a, b in zip(heads[:-1], heads[1:], strict=True):
+        if b - a < 2 or (comp[a:b] == comp[a]).all():
+            continue
+        for x in range(a, b - 1):
+            # Sizes ascend, so the size band of the threshold is a run of the rows behind.
+            end = a + int(np.searchsorted(n[a:b], n[x] * 100 // t100, "right"))
+            y = np.arange(x + 1, end)
+            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) if i[a] != j[a] else True)]
+            bound = 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1
+            y = y[bound >= _need(t100, n[x], n[y])]
+            if len(y):
+                found.append((np.full(len(y), x), y))
+                size += len(y)
+            if size > 200_000:
+                yield _made(key, n, found)
+                found, size = [], 0
+    if found:
+        yield _made(key, n, found)
+
+
+def _made(key, n, found) -> pa.RecordBatch:
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    swap = key[x] > key[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    _, once = np.unique(np.stack([key[x], key[y]]), axis=1, return_index=True)
+    x, y = x[once], y[once]
+    return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), pa.array(n[x]), pa.array(n[y])], names=["a", "b", "na", "nb"])
+
+
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, n_shingles, component) of every row of ``docs``; component is the smallest key reachable by links.
+
+    Two documents link when the Jaccard similarity of their shingle sets is at least ``threshold``; no link
+    is missed. Null and empty texts and texts without a word have no shingles and link with nothing. The
+    key is an integer; a null key, which no link can name, stands alone with a null component, and rows
+    that repeat a key are one document whose links add up. Set elements are 64-bit hashes of shingles.
+    """
+    t100 = round(threshold * 100)
+    spark = docs.sparkSession
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    sized = written(shingle_sizes(docs, "key", "text", k), "sets")
+    alive = sized.where("n > 0 and key is not null")
+    firsts = alive.groupBy("set_key", "n").agg(F.min("key").alias("rep"), F.first("minima").alias("minima"))
+    same = alive.join(firsts.select("set_key", "n", "rep"), ["set_key", "n"]).select(F.col("key").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    groups = written(firsts.select(F.col("rep").alias("key"), "n", "minima", "set_key"), "groups")
+    # A key that stands in several rows has several sets; a set is then named by key and digest, so its text is found by both.
+    texts = written(_texts_of(docs, sized, groups), "texts")
+    near = written(_verified(_stars(groups), texts, k, t100), "near")
+    joined = written(components(near), "joined")
+    reps = texts.join(joined, texts["key"] == joined["node"], "left").select(texts["key"], texts["n"], F.coalesce("component", texts["key"]).alias("comp"), texts["text"])
+    counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), k))
+    more = _verified(_tile_pairs(_postings(reps, counts, k, t100), t100), texts, k, t100)
+    links = near.unionByName(more).unionByName(same)
+    found = written(components(links), "components")
+    out = sized.join(found, sized["key"] == found["node"], "left")
+    return out.select(sized["key"].alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", sized["key"]).alias("component"))

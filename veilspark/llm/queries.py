@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_bloom, license_scan, line_dedup, sentencepiece_codec, toxicity_chain, warc
+from . import decontamination, language_bloom, license_scan, line_dedup, sentencepiece_codec, toxicity_chain, warc
 from .store import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -40,6 +40,13 @@ union all select doc_id, 0, 0, null from documents where text is null
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item of which it holds a window, with the fewest edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.groupBy("doc_id", "leak.item_id").agg(F.count("*").alias("n_windows"), F.min("leak.edits").alias("edits"), F.min("leak.start").alias("first_byte"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of every document by the classifier chain, and whether it is rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,6 +97,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_license_scans": op5_license_scans,
     "op8_warc": op8_warc,
