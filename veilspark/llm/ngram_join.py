@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import bucketed, written
 from .textkit import mix, shingle_sets, word_batches
 
 SHINGLE = 5
@@ -41,11 +41,6 @@ def _prefix(t100: int, n: int) -> int:
     return n - -(-t100 * n // 100) + 1
 
 
-def _pairs_of(words, k):
-    for own in shingle_sets(words, k):
-        yield own
-
-
 def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     """How often shingles fall into each of 2^``COUNT_BITS`` cells, capped at 2^32 - 1; the driver gets that table alone."""
 
@@ -75,44 +70,39 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     return out.reshape(-1)
 
 
-def shingle_sizes(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> DataFrame:
-    """(key, n, set_key, minima): size of each document's set, a 128-bit digest of it and a few minima of its hashes."""
+def shingle_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(key, text_key, n, set_key, minima) of (key, text): a digest of the text, the size of its set, a 128-bit digest and a few minima of it."""
 
     def run(batches):
         for batch in batches:
             n, keys, minima = [], [], []
-            for _, _, words in word_batches(batch.column(1)):
+            for _, _, words in word_batches(batch.column(2)):
                 for own in shingle_sets(words, k):
                     n.append(len(own))
-                    with np.errstate(over="ignore"):
-                        keys.append(np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()]).tobytes() if len(own) else None)
+                    keys.append(np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()]).tobytes() if len(own) else None)
                     minima.append([int(mix(own * np.uint64(2 * j + 3)).min().view(np.int64)) for j in range(MINIMA)] if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], names=["key", "n", "set_key", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], names=["key", "text_key", "n", "set_key", "minima"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, n long, set_key binary, minima array<long>")
+    return docs.select("key", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, text_key long, n long, set_key binary, minima array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, t100: int) -> DataFrame:
-    """The pairs (a, b, na, nb) of representatives whose sets do reach the threshold."""
-    need = F.ceil((F.col("na") + F.col("nb")) * t100 / (100 + t100))
-    signed = pairs.where(F.least("na", "nb") >= F.expr(f"greatest(na, nb) * {t100} / 100"))
+    """Those pairs (a, b) of sets that do reach the threshold; ``texts`` (gid, text) is bucketed by gid and does not move."""
 
     def exact(batches):
         for batch in batches:
-            left, right = ([s for _, _, w in word_batches(batch.column(i)) for s in shingle_sets(w, k)] for i in (2, 3))
             keep = []
-            for x, y in zip(left, right, strict=True):
-                least = int(_need(t100, len(x), len(y)))
-                keep.append(_bit_bound(x, y) >= least and len(np.intersect1d(x, y, assume_unique=True)) * (100 + t100) >= t100 * (len(x) + len(y)))
-            keep = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            for a in range(0, batch.num_rows, 512):
+                left, right = ([s for _, _, w in word_batches(batch.column(i).slice(a, 512)) for s in shingle_sets(w, k)] for i in (2, 3))
+                for x, y in zip(left, right, strict=True):
+                    least = int(_need(t100, len(x), len(y)))
+                    keep.append(_bit_bound(x, y) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
-    del need
-    first = signed.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    both = first.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(exact, f"a {kind}, b {kind}")
+    first = pairs.select("a", "b").join(texts.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a")
+    both = first.join(texts.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(exact, "a long, b long")
 
 
 def _bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -130,22 +120,27 @@ def _bit_bound(x: np.ndarray, y: np.ndarray) -> int:
     return (len(x) + len(y) - differing) // 2
 
 
-def _stars(groups: DataFrame) -> DataFrame:
-    """For each minimum, pairs of its smallest key with every other key that has it."""
-    flat = groups.select("key", "n", F.posexplode("minima").alias("j", "m"))
-    hub = flat.groupBy("j", "m").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    met = flat.join(hub, ["j", "m"]).where(F.col("key") != F.col("hub.key"))
-    return met.select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
+def _stars(groups: DataFrame, t100: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a minimum: a two-level star for each minimum, so no set gets more than about 2 sqrt(members) pairs from one."""
+    flat = groups.select("gid", "n", F.posexplode("minima").alias("j", "m"))
+    sizes = flat.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1")
+    flat = flat.join(sizes, ["j", "m"]).withColumn("block", F.pmod(F.xxhash64("gid"), F.ceil(F.sqrt("c"))))
+    hub = flat.groupBy("j", "m", "block").agg(F.min(F.struct("gid", "n")).alias("hub"))
+    top = hub.groupBy("j", "m").agg(F.min("hub").alias("top"))
+    low = flat.join(hub, ["j", "m", "block"]).select(F.col("hub.gid").alias("a"), F.col("hub.n").alias("na"), F.col("gid").alias("b"), F.col("n").alias("nb"))
+    high = hub.join(top, ["j", "m"]).select(F.col("top.gid").alias("a"), F.col("top.n").alias("na"), F.col("hub.gid").alias("b"), F.col("hub.n").alias("nb"))
+    both = low.unionByName(high).where("a <> b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t100)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _postings(reps: DataFrame, counts, k: int, t100: int) -> DataFrame:
-    """(element, i, j, side, key, n, at, comp): each representative at its first elements, rare ones first."""
+    """(element, i, j, block, gid, n, at, comp): each set at its first elements, rare ones first."""
 
     def run(batches):
         cells = counts.value
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            sizes = batch.column(1).to_numpy()
+            gids = batch.column(0).to_numpy().astype(np.uint64)
             row = 0
             for _, _, words in word_batches(batch.column(3)):
                 for own in shingle_sets(words, k):
@@ -168,7 +163,7 @@ def _postings(reps: DataFrame, counts, k: int, t100: int) -> DataFrame:
             element, at, who, often = map(np.concatenate, out)
             blocks = np.maximum(1, -(-often.astype(np.int64) // TILE))
             blocks = np.where(often > 4 * TILE, blocks, 1)
-            own_block = (mix(who.astype(np.uint64) + np.uint64(int(sizes.sum()) & 0xFFFF)) % blocks.astype(np.uint64)).astype(np.int64)
+            own_block = (mix(gids[who]) % blocks.astype(np.uint64)).astype(np.int64)
             times = blocks
             source = np.repeat(np.arange(len(element)), times)
             other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
@@ -178,16 +173,14 @@ def _postings(reps: DataFrame, counts, k: int, t100: int) -> DataFrame:
                 w = pa.array(who[s])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(element[s].view(np.int64)), pa.array(i[a : a + len(s)].astype(np.int32)), pa.array(j[a : a + len(s)].astype(np.int32)), pa.array(own_block[s].astype(np.int32)), batch.column(0).take(w), batch.column(1).take(w), pa.array(at[s].astype(np.int32)), batch.column(2).take(w)],
-                    names=["element", "i", "j", "block", "key", "n", "at", "comp"],
+                    names=["element", "i", "j", "block", "gid", "n", "at", "comp"],
                 )
 
-    kind = reps.schema["key"].dataType.simpleString()
-    return reps.select("key", "n", "comp", "text").mapInArrow(run, f"element long, i int, j int, block int, key {kind}, n long, at int, comp {kind}")
+    return reps.select("gid", "n", "comp", "text").mapInArrow(run, "element long, i int, j int, block int, gid long, n long, at int, comp long")
 
 
 def _tile_pairs(postings: DataFrame, t100: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components that a tile cannot rule out."""
-    kind = postings.schema["key"].dataType.simpleString()
+    """Pairs (a, b) of different components that their tiles cannot rule out."""
     dealt = postings.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j", "n")
 
     def run(batches):
@@ -195,76 +188,67 @@ def _tile_pairs(postings: DataFrame, t100: int) -> DataFrame:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if left is not None:
-                table = pa.concat_tables([left, table])
+                table = pa.concat_tables([left, table]).combine_chunks()
             e, i, j = (table[c].to_numpy() for c in ("element", "i", "j"))
-            same = (e[1:] == e[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
-            heads = np.concatenate(([0], np.flatnonzero(~same) + 1))
+            new = (e[1:] != e[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            heads = np.concatenate(([0], np.flatnonzero(new) + 1))
             yield from _within(table.slice(0, int(heads[-1])), heads, t100)
             left = table.slice(int(heads[-1]))
         if left is not None:
             yield from _within(left, np.array([0, left.num_rows]), t100)
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}, na long, nb long").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _within(table: pa.Table, heads: np.ndarray, t100: int):
-    """The pairs of each tile of a table sorted by tile and size; ``heads`` are the tiles' first rows."""
-    key, n, at, comp, block, i, j = (table[c].to_numpy() for c in ("key", "n", "at", "comp", "block", "i", "j"))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for a, b in zip(heads[:-1], heads[1:], strict=True):
-        if b - a < 2 or (comp[a:b] == comp[a]).all():
-            continue
-        for x in range(a, b - 1):
-            # Sizes ascend, so the size band of the threshold is a run of the rows behind.
-            end = a + int(np.searchsorted(n[a:b], n[x] * 100 // t100, "right"))
-            y = np.arange(x + 1, end)
-            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) if i[a] != j[a] else True)]
-            bound = 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1
-            y = y[bound >= _need(t100, n[x], n[y])]
-            if len(y):
-                found.append((np.full(len(y), x), y))
-                size += len(y)
-            if size > 200_000:
-                yield _made(key, n, found)
-                found, size = [], 0
-    if found:
-        yield _made(key, n, found)
-
-
-def _made(key, n, found) -> pa.RecordBatch:
-    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-    swap = key[x] > key[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    _, once = np.unique(np.stack([key[x], key[y]]), axis=1, return_index=True)
-    x, y = x[once], y[once]
-    return pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y]), pa.array(n[x]), pa.array(n[y])], names=["a", "b", "na", "nb"])
+    """The pairs of each tile of a table sorted by tile and size; ``heads`` are the tiles' first rows and the end."""
+    if len(heads) < 2:
+        return
+    gid, n, at, comp, block, i, j = (table[c].to_numpy() for c in ("gid", "n", "at", "comp", "block", "i", "j"))
+    length = np.diff(heads)
+    mixed = np.minimum.reduceat(comp, heads[:-1]) != np.maximum.reduceat(comp, heads[:-1])
+    stop = np.repeat(heads[1:], length)
+    x = np.flatnonzero(np.repeat(mixed, length))
+    step = 0
+    while len(x):  # each row with the row ``step`` behind it, as long as that is in its tile and size band
+        step += 1
+        x = x[x + step < stop[x]]
+        x = x[n[x + step] * t100 <= n[x] * 100]
+        y = x + step
+        good = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+        good &= np.minimum(n[x] - at[x], n[y] - at[y]) >= _need(t100, n[x], n[y])
+        if good.any():
+            a, b = gid[x[good]], gid[y[good]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, n_shingles, component) of every row of ``docs``; component is the smallest key reachable by links.
+    """(key, n_shingles, component_id) of every row of ``docs``; the component is the smallest key reachable by links.
 
     Two documents link when the Jaccard similarity of their shingle sets is at least ``threshold``; no link
-    is missed. Null and empty texts and texts without a word have no shingles and link with nothing. The
-    key is an integer; a null key, which no link can name, stands alone with a null component, and rows
-    that repeat a key are one document whose links add up. Set elements are 64-bit hashes of shingles.
+    is missed. Null and empty texts and texts without a word have no shingles and link with nothing; they
+    and rows with a null key that have no neighbour keep their own key. The key is an integer. Rows that
+    repeat a key are documents of their own; with equal texts they are in one component anyway. Other
+    columns of ``docs`` are left out. Set elements are 64-bit hashes of shingles.
     """
     t100 = round(threshold * 100)
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    sized = written(shingle_sizes(docs, "key", "text", k), "sets")
-    alive = sized.where("n > 0 and key is not null")
-    firsts = alive.groupBy("set_key", "n").agg(F.min("key").alias("rep"), F.first("minima").alias("minima"))
-    same = alive.join(firsts.select("set_key", "n", "rep"), ["set_key", "n"]).select(F.col("key").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    groups = written(firsts.select(F.col("rep").alias("key"), "n", "minima", "set_key"), "groups")
-    # A key that stands in several rows has several sets; a set is then named by key and digest, so its text is found by both.
-    texts = written(_texts_of(docs, sized, groups), "texts")
-    near = written(_verified(_stars(groups), texts, k, t100), "near")
+    sized = written(shingle_sizes(docs, k), "sets")
+    firsts = sized.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("rep"), F.first("minima").alias("minima"))
+    groups = written(firsts.select(F.monotonically_increasing_id().alias("gid"), "set_key", "n", F.col("rep.key").alias("key"), F.col("rep.text_key").alias("text_key"), "minima"), "groups")
+    named = groups.select(F.col("key").alias("k"), F.col("text_key").alias("t"), "gid", "n")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    texts = bucketed(keyed.join(named, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("gid", "n", "text"), "gid", "texts")
+    near = written(_verified(_stars(groups, t100), texts, k, t100), "near")
     joined = written(components(near), "joined")
-    reps = texts.join(joined, texts["key"] == joined["node"], "left").select(texts["key"], texts["n"], F.coalesce("component", texts["key"]).alias("comp"), texts["text"])
+    reps = texts.join(joined, texts["gid"] == joined["node"], "left").select("gid", "n", F.coalesce("component", "gid").alias("comp"), "text")
     counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), k))
-    more = _verified(_tile_pairs(_postings(reps, counts, k, t100), t100), texts, k, t100)
-    links = near.unionByName(more).unionByName(same)
-    found = written(components(links), "components")
-    out = sized.join(found, sized["key"] == found["node"], "left")
-    return out.select(sized["key"].alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", sized["key"]).alias("component"))
+    pairs = written(_tile_pairs(_postings(reps, counts, k, t100), t100), "pairs")
+    found = written(components(near.unionByName(_verified(pairs, texts, k, t100))), "components")
+    placed = groups.join(found, groups["gid"] == found["node"], "left").select("set_key", "n", "key", F.coalesce("component", "gid").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("key").alias("component_id"))
+    by_set = placed.join(least, "comp").select("set_key", "n", "component_id")
+    out = sized.join(by_set, ["set_key", "n"], "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))

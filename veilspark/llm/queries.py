@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_bloom, license_scan, line_dedup, sentencepiece_codec, toxicity_chain, warc
+from . import decontamination, language_bloom, license_scan, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain, warc
 from .store import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -94,6 +94,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(docs, public_tokenizers.path(PIECE_MODEL)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scans": op5_license_scans,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_warc": OP8_SQL}

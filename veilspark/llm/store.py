@@ -31,6 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As :func:`written`, dealt into buckets by ``key``: later joins on it move the other side alone."""
+    spark = df.sparkSession
+    path, buckets = fresh_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(made)
+    return spark.table(made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
