@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_bloom, license_scan, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain, warc
+from . import class_lm, decontamination, language_bloom, license_scan, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain, warc
 from .store import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -72,6 +72,13 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the base model and under the class model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"))
+    scored = class_lm.score_texts(docs.withColumn("trains", F.expr("not coalesce(held_out, false)")), "trains")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back from them."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_license_scans": op5_license_scans,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard": op10_ngram_jaccard,
