@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontamination, language_bloom, license_scan, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain, warc
+from . import class_lm, decontamination, embedding_tiles, language_bloom, license_scan, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain, warc
 from .store import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -72,6 +72,24 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings of a label with a cosine of 0.93 or more."""
+    return embedding_tiles.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with recursive e as (select vec_id, label, embedding::double[] v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) v from e),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_inner_product(a.v, b.v) >= 0.93),
+r(a, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.a),
+m as (select a vec_id, min(c) component_id from r group by a),
+n as (select a vec_id, count(*) n_links from l group by a)
+select e.vec_id, coalesce(n.n_links, 0)::bigint n_links, m.component_id, e.vec_id = m.component_id kept
+from embeddings e left join n using (vec_id) left join m using (vec_id)
+"""
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document under the base model and under the class model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"))
@@ -112,10 +130,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_license_scans": op5_license_scans,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op8_warc": OP8_SQL}
