@@ -232,9 +232,40 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     repeat a key are documents of their own; with equal texts they are in one component anyway. Other
     columns of ``docs`` are left out. Set elements are 64-bit hashes of shingles.
     """
-    t100 = round(threshold * 100)
-    spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    placed, sized = _placed_sets(docs, k, round(threshold * 100))
+    least = placed.groupBy("comp").agg(F.min("key").alias("component_id"))
+    by_set = placed.join(least, "comp").select("set_key", "n", "component_id")
+    out = sized.join(by_set, ["set_key", "n"], "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked documents that with the smallest key stays.
+
+    Documents without shingles all stay. A null key counts as larger than any other; of documents that agree
+    in key the one with the smaller text digest stays, and of rows that agree in key and text one.
+    """
+    plain = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    placed, sized = _placed_sets(plain, k, round(threshold * 100))
+    marked = sized.where("n > 0").join(placed.select("set_key", "n", "comp"), ["set_key", "n"])
+    stays = marked.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("w"))
+    stays = stays.select(F.col("w.key").alias("__k"), F.col("w.text_key").alias("__t"))
+    # All texts without shingles have this digest of theirs, so they are told by it.
+    empty = sized.where("n = 0").select(F.col("key").alias("__k"), F.col("text_key").alias("__t")).distinct()
+    repeated = not sized.where("n > 0").groupBy("key", "text_key").count().where("count > 1").isEmpty()
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.col(f"`{text}`")))
+    match = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__k")) & (F.col("__text_key") == F.col("__t"))
+    out = keyed.join(stays.unionByName(empty), match, "left_semi")
+    if repeated:
+        blank = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        out = out.where(blank).unionByName(out.where(~blank).dropDuplicates([key, "__text_key"]))
+    return out.drop("__text_key")
+
+
+def _placed_sets(docs: DataFrame, k: int, t100: int) -> tuple[DataFrame, DataFrame]:
+    """(sets with their smallest key and component, set of each row)."""
+    spark = docs.sparkSession
     sized = written(shingle_sizes(docs, k), "sets")
     firsts = sized.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("rep"), F.first("minima").alias("minima"))
     groups = written(firsts.select(F.monotonically_increasing_id().alias("gid"), "set_key", "n", F.col("rep.key").alias("key"), F.col("rep.text_key").alias("text_key"), "minima"), "groups")
@@ -248,7 +279,4 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     pairs = written(_tile_pairs(_postings(reps, counts, k, t100), t100), "pairs")
     found = written(components(near.unionByName(_verified(pairs, texts, k, t100))), "components")
     placed = groups.join(found, groups["gid"] == found["node"], "left").select("set_key", "n", "key", F.coalesce("component", "gid").alias("comp"))
-    least = placed.groupBy("comp").agg(F.min("key").alias("component_id"))
-    by_set = placed.join(least, "comp").select("set_key", "n", "component_id")
-    out = sized.join(by_set, ["set_key", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    return written(placed, "placed"), sized
