@@ -1,13 +1,54 @@
-"""A training-corpus pipeline: each stage reads what its predecessor kept."""
+"""A training-corpus pipeline: each stage works on all its predecessor kept, and its decisions take effect."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspark.llm.queries import QUERIES  # noqa: F401
+from veilspark.llm import decontamination, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain
+from veilspark.llm.queries import PIECE_MODEL
+from veilspark.llm.store import table, written
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    chain = toxicity_chain.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity_chain.score(docs, spark.sparkContext.broadcast(chain)).where("not rejected").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that stand elsewhere; one that nothing is left of goes."""
+    out = line_dedup.dedup_lines(docs)
+    left = out.where("lines_removed = 0 or text rlike '[^\\\\s]'")
+    return left.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.one_of_each(docs).select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold nothing of the benchmark."""
+    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("size(leaks) = 0").select(docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document as digests of its piece ids and of the text they decode to."""
+    coded = sentencepiece_codec.digests(docs.select("doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("SentencePiece encoding and decoding", pieces)]
+
+#: The classifier and the alignment are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, "stage")
+    return docs
