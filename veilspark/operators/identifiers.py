@@ -1,0 +1,103 @@
+"""Identifiers of source text as rows: occurrences, distinct names, roles."""
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import languages, segments
+from ..functions.grammar import ROLE_PRIORITY, SPACE, WORD, could_be_name
+
+_RUN = rf"({WORD}*+)([^A-Za-z0-9_$]*+)"
+IDENTIFIER = r"^[A-Za-z_$]"
+ENTRY = "struct<placeholder:string,name:string,ord:int>"
+
+
+def runs(docs: DataFrame, key: str, text: str, language: Column | str, known: str | None = None, extra: str | None = None) -> DataFrame:
+    """One row per word run of each text: (key, language, seg, idx, comment, string, module, token, tail, before, entry, extra).
+
+    ``token`` is a maximal run of word characters (empty where a segment begins with other ones), ``tail``
+    what stands up to the next one, ``before`` the word in front if only white space lies between.
+    Concatenating token and tail in order gives the text back. An empty text has one empty row, as has a null
+    one. With ``known``, an array of struct(placeholder, name, ord), each of its entries is a row more, with
+    the name as token, no tail and the entry in ``entry``; ``entry`` is null elsewhere. ``extra`` names a
+    column that rides on a text's first row and is null on the others.
+    """
+    lang = F.lit(language) if isinstance(language, str) else language
+    no_entries, rider = F.array().cast(f"array<{ENTRY}>"), F.col(extra) if extra else F.lit(None).cast("string")
+    cut = docs.select(
+        F.col(key).alias("key"), lang.alias("language"), segments.segments(F.coalesce(F.col(text), F.lit("")), language).alias("segs"),
+        F.array(rider).alias("extra"), F.array(F.col(known).cast(f"array<{ENTRY}>") if known else no_entries).alias("known"),
+    )
+    # What stands before a string decides whether it names a module; the last three segments reach far enough back.
+    shifted = lambda n: F.concat(F.array_repeat(F.lit(""), n), F.slice("segs", 1, F.greatest(F.size("segs") - n, F.lit(0))))
+    cut = cut.withColumns({f"b{n}": shifted(n) for n in (1, 2, 3)})
+    # Zipping pads with nulls, so what belongs to the text as a whole stays on its first row.
+    seg = cut.select("key", "language", F.posexplode_outer(F.arrays_zip("segs", "b1", "b2", "b3", "extra", "known")).alias("seg", "s"))
+    which = language if isinstance(language, str) else F.col("language")
+    text_of = F.coalesce("s.segs", F.lit(""))
+    seg = seg.select(
+        "key", "language", "seg", text_of.alias("text"), segments.is_comment(text_of, which).alias("comment"), segments.is_string(text_of, which).alias("string"),
+        F.concat("s.b3", "s.b2", "s.b1").alias("front"), F.array("s.extra").alias("extra"), F.coalesce("s.known", no_entries).alias("known"),
+    )
+    seg = seg.withColumn("module", F.col("string") & F.substring("front", -400, 400).rlike(segments.MODULE_BEFORE)).drop("front")
+    seg = seg.withColumn("token", F.regexp_extract_all("text", F.lit(_RUN), F.lit(1))).withColumn("tail", F.regexp_extract_all("text", F.lit(_RUN), F.lit(2)))
+    behind = lambda name: F.concat(F.array(F.lit("")), F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0))))
+    seg = seg.withColumn("before", behind("token")).withColumn("gap", behind("tail")).drop("text")
+    if known:
+        # Entries stand behind the tokens, as rows with the name as token.
+        blank = lambda name: F.concat(name, F.transform("known", lambda e: F.lit("")))
+        seg = seg.withColumn("entry", F.concat(F.transform("token", lambda t: F.lit(None).cast(ENTRY)), "known"))
+        seg = seg.withColumn("token", F.concat("token", F.transform("known", lambda e: e["name"]))).withColumns({c: blank(c) for c in ("tail", "before", "gap")})
+    else:
+        seg = seg.withColumn("entry", no_entries)
+    row = seg.select("key", "language", "seg", "comment", "string", "module", F.posexplode_outer(F.arrays_zip("token", "tail", "before", "gap", "entry", "extra")).alias("idx", "t"))
+    row = row.where("idx = 0 or t.token <> '' or t.tail <> ''")
+    near = F.col("t.gap").rlike(rf"^{SPACE}+\z") & F.col("t.before").rlike(IDENTIFIER)
+    return row.select("key", "language", "seg", "idx", "comment", "string", "module", "t.token", "t.tail", F.when(near, F.col("t.before")).alias("before"), "t.entry", "t.extra")
+
+
+def role_priority(which: Column | str) -> Column:
+    """The role of an occurrence as its priority; null where a keyword stands in code."""
+    named = {name: F.lit(p) for name, p in ROLE_PRIORITY.items()}
+    token = F.col("token")
+    return (
+        F.when(F.col("string"), F.when(F.col("module"), named["package"]).otherwise(named["string"]))
+        .when(languages.is_keyword("token", which), F.lit(None).cast("int"))
+        .when(languages.follows_hint("before", which, languages.class_hints), named["class"])
+        .when(languages.follows_hint("before", which, languages.function_hints) | F.col("tail").rlike(rf"^{SPACE}*\("), named["function"])
+        .when(token.rlike("^[A-Z]") & token.rlike("[a-z]"), named["class"])
+        .otherwise(named["variable"])
+    )
+
+
+ROLE_OF_PRIORITY = {p: name for name, p in ROLE_PRIORITY.items()}
+
+
+def role_name(priority: Column) -> Column:
+    """The role of a priority; "variable" for null, as for a name seen only where it is a keyword."""
+    out = F.when(priority == 4, "class")
+    for p in (3, 2, 0):
+        out = out.when(priority == p, ROLE_OF_PRIORITY[p])
+    return out.otherwise("variable")
+
+
+def occurrences(docs: DataFrame, key: str, text: str, language: Column | str, known: str | None = None, extra: str | None = None) -> DataFrame:
+    """:func:`runs` plus ``named`` (a maskable identifier) and ``priority`` (its role here)."""
+    row = runs(docs, key, text, language, known, extra)
+    which = language if isinstance(language, str) else F.col("language")
+    word = F.col("token").rlike(IDENTIFIER) & ~F.col("comment") & F.col("entry").isNull()
+    named = word & could_be_name(F.col("token")) & ~languages.is_keyword("token", which)
+    return row.withColumn("named", named).withColumn("priority", F.when(word, role_priority(which)))
+
+
+def extract(docs: DataFrame, key: str = "doc_id", text: str = "text", language: Column | str = languages.DEFAULT) -> DataFrame:
+    """(key, name, ord) of the distinct maskable identifiers of each text, longest first, then by first place."""
+    row = occurrences(docs, key, text, language).where("named")
+    first = row.groupBy("key", "token").agg(F.min(F.struct("seg", "idx")).alias("at"))
+    order = Window.partitionBy("key").orderBy(F.length("token").desc(), "at")
+    return first.select(F.col("key").alias(key), F.col("token").alias("name"), F.row_number().over(order).alias("ord"))
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", language: Column | str = languages.DEFAULT) -> DataFrame:
+    """(key, name, role) of every identifier with a role, the strongest over its occurrences."""
+    row = occurrences(docs, key, text, language).where("priority is not null")
+    return row.groupBy("key", "token").agg(F.max("priority").alias("p")).select(F.col("key").alias(key), F.col("token").alias("name"), role_name(F.col("p")).alias("role"))

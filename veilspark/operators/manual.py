@@ -1,0 +1,79 @@
+"""Marks made by hand: literal terms that are masked wherever they stand, comments included."""
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import secrets
+from ..functions.grammar import MANUAL_BASE, PLACEHOLDER_SCAN, base_of, is_placeholder, number_of
+
+
+class ManualMaskError(ValueError):
+    """A term that must not be marked; ``term`` is what was asked for."""
+
+    def __init__(self, term: str, message: str):
+        super().__init__(message)
+        self.term = term
+
+
+def wanted_terms(docs: DataFrame, terms: Sequence[str]) -> list[str]:
+    """Distinct, non-blank terms; a credential or a placeholder among them is refused. The message has no secret."""
+    kept = [t for t in dict.fromkeys(terms) if t.strip()]
+    if kept:
+        spark = docs.sparkSession
+        asked = spark.createDataFrame([(i, t) for i, t in enumerate(kept)], "i int, t string")
+        for i, secret, placeholder in asked.select("i", secrets.has_blocking(F.col("t")), is_placeholder(F.col("t"))).orderBy("i").collect():
+            if secret:
+                raise ManualMaskError(kept[i], "a credential cannot be marked: marks are reversible and written to the map")
+            if placeholder:
+                raise ManualMaskError(kept[i], "a placeholder cannot be marked: the name behind it would be lost on restore")
+    return kept
+
+
+def apply_marks(docs: DataFrame, terms: Sequence[str], text: str = "text", known: str = "known") -> DataFrame:
+    """``docs`` with terms replaced by placeholders and the new entries appended to ``known``.
+
+    ``known`` is an array of struct(placeholder, name, ord) in map order. Marks in it are applied again before
+    the given terms, which are numbered in the given order behind the largest number of that base in
+    ``known`` and in the text. A term that has a placeholder keeps it, whatever its base. Longer terms win;
+    nothing inside a placeholder is touched. A term that stands nowhere has an entry all the same.
+    """
+    terms = wanted_terms(docs, terms)
+    entries = F.col(known)
+    taken = F.array_max(
+        F.concat(
+            F.transform(F.filter(entries, lambda e: base_of(e["placeholder"]) == MANUAL_BASE), lambda e: number_of(e["placeholder"])),
+            F.transform(F.filter(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER_SCAN), F.lit(0)), lambda p: base_of(p) == MANUAL_BASE), lambda p: number_of(p)),
+        )
+    )
+    names = F.transform(entries, lambda e: e["name"])
+    out = docs.withColumn("__taken", F.coalesce(taken, F.lit(0)).cast("long")).withColumn("__names", names)
+    new = F.filter(F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>"), lambda t: ~F.array_contains("__names", t))
+    out = out.withColumn("__new", new)
+    most = F.coalesce(F.array_max(F.transform(entries, lambda e: e["ord"])), F.lit(0))
+    fresh = F.transform("__new", lambda t, i: F.struct(F.concat(F.lit(MANUAL_BASE), (F.col("__taken") + i + 1).cast("string")).alias("placeholder"), t.alias("name"), (most + i + 1).cast("int").alias("ord")))
+    again = F.transform(F.filter(entries, lambda e: e["placeholder"].startswith(MANUAL_BASE)), lambda e: e["name"])
+    out = out.withColumn(known, F.concat(entries, fresh)).withColumn("__wanted", F.array_distinct(F.concat(again, F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>"))))
+    quoted = lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    ordered = F.array_sort(F.transform("__wanted", lambda t: F.struct((-F.length(t)).alias("size"), t.alias("t"))))
+    pattern = F.array_join(F.concat(F.array(F.lit(PLACEHOLDER_SCAN)), F.transform(ordered, lambda t: quoted(t["t"])), F.array(F.lit(r"[\s\S]"))), "|")
+    # The text falls into placeholders, terms and single characters; each piece is looked up by itself.
+    last = F.aggregate(known, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["name"]), F.create_map(e["name"], e["placeholder"])))
+    out = out.withColumn("__of", F.when(F.size("__wanted") > 0, last)).withColumn("__pieces", F.when(F.size("__wanted") > 0, F.regexp_extract_all(F.col(text), pattern, F.lit(0))))
+    swapped = F.array_join(F.transform("__pieces", lambda p: F.coalesce(F.try_element_at("__of", p), p)), "")
+    return out.withColumn(text, F.when(F.size("__wanted") > 0, swapped).otherwise(F.col(text))).drop("__taken", "__names", "__new", "__wanted", "__of", "__pieces")
+
+
+def unmask(docs: DataFrame, placeholder: str | Column, text: str = "text", known: str = "known") -> DataFrame:
+    """One placeholder put back into the text and dropped from the map; unknown ones change nothing."""
+    mark = F.lit(placeholder) if isinstance(placeholder, str) else placeholder
+    one = F.get(F.transform(F.filter(known, lambda e: e["placeholder"] == mark), lambda e: e["name"]), F.lit(0))
+    quoted = F.replace(F.replace(one, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    put_back = F.regexp_replace(F.col(text), F.concat(F.lit("\\Q"), mark, F.lit("\\E(?![0-9])")), quoted)
+    return docs.withColumn(text, F.when(one.isNotNull(), put_back).otherwise(F.col(text))).withColumn(known, F.filter(known, lambda e: e["placeholder"] != mark))
+
+
+def marks(known: DataFrame) -> DataFrame:
+    """The marks of a symbol table (…, placeholder, name), by number."""
+    return known.where(F.col("placeholder").startswith(MANUAL_BASE)).orderBy(number_of(F.col("placeholder")).asc_nulls_first(), "placeholder")

@@ -1,4 +1,233 @@
 """The registered queries of the library and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import grammar, languages, links, secrets
+from ..operators import anonymize as masking
+from ..operators import identifiers, legend, restore
+from ..operators.rules import Rule
+from ..sources import mapstore
+from . import sql
+
+#: Rules of the rule queries: what stays, and what gets a base of its own.
+RULES = (Rule("whitelist", "^Th", sort_order=1), Rule("replace", "ing$", "__ACT__", sort_order=2), Rule("replace", "tion", "__ABS__", sort_order=3))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.anonymize(_texts(spark, sf_dir), language="typescript", policy="off")
+
+
+def anonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document masked as TypeScript, which prose falls back to, with the size of its map."""
+    return _masked(spark, sf_dir).select("doc_id", "anonymized", "identifier_count")
+
+
+ANONYMIZE_SQL = f"""with {sql.names_cte()}, c as (select k, count(*) n from sym group by k),
+t as (select occ.k, string_agg(case when named then sym.base || sym.n else occ.r end, '' order by occ.si, occ.i) anonymized from occ left join sym on sym.k = occ.k and sym.r = occ.r group by occ.k)
+select d.doc_id, case when d.text is not null then coalesce(t.anonymized, '') end anonymized, coalesce(c.n, 0)::int identifier_count
+from documents d left join t on t.k = d.doc_id left join c on c.k = d.doc_id"""
+
+
+def anonymize_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document masked in its detected language, secrets redacted."""
+    out = masking.anonymize(_texts(spark, sf_dir))
+    return out.select("doc_id", "language", "identifier_count", F.size("secrets").alias("n_secrets"), F.md5("anonymized").alias("anonymized_md5"))
+
+
+def identifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct maskable identifiers of each document that has one."""
+    names = identifiers.extract(_texts(spark, sf_dir))
+    return names.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("name")).alias("longest"))
+
+
+COUNTS_SQL = f"with {sql.names_cte()} select k doc_id, count(*) n, max(length(r))::int longest from name group by k"
+
+
+def identifier_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 identifiers that most documents have."""
+    names = identifiers.extract(_texts(spark, sf_dir))
+    return names.groupBy("name").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "name").limit(50)
+
+
+TOP_SQL = f"with {sql.names_cte()} select r as name, count(*) docs from name group by r order by docs desc, r limit 50"
+
+
+def role_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the language of the document and role, with all subtotals."""
+    docs = _table(spark, sf_dir, "documents")
+    roles = identifiers.classify(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    return roles.rollup("lang", "role").agg(F.count("*").alias("names"), F.grouping_id().cast("int").alias("level"))
+
+
+ROLLUP_SQL = f"""with {sql.names_cte()}, r as (select k, r, case max(prio) when 4 then 'class' when 3 then 'function' when 2 then 'package' when 0 then 'string' else 'variable' end role from occ where prio is not null group by k, r)
+select d.lang, r.role, count(*) as names, grouping_id(d.lang, r.role)::int "level" from r join documents d on d.doc_id = r.k group by rollup (d.lang, r.role)"""
+
+
+def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol map of every document as rows."""
+    return _masked(spark, sf_dir).select("doc_id", F.explode("symbols").alias("s")).select("doc_id", "s.placeholder", "s.name")
+
+
+SYMBOLS_SQL = f"with {sql.names_cte()} select k doc_id, base || n placeholder, r as name from sym"
+
+
+def corpus_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol table for the whole corpus."""
+    return masking.corpus_symbols(_texts(spark, sf_dir), language="typescript").select("placeholder", "name", "first_key")
+
+
+CORPUS_SQL = f"""with {sql.names_cte()}, f as (select r, arg_min(row(k, base, spot), k) v from sym group by r)
+select v[2] || row_number() over (partition by v[2] order by v[1], length(r) desc, v[3]) placeholder, r as name, v[1] first_key from f"""
+
+
+def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guessed programming language of every page."""
+    return _table(spark, sf_dir, "pages").select("page_id", languages.guess(F.col("html")).alias("g")).select("page_id", "g.language", F.col("g.score").cast("int").alias("score"), "g.fallback")
+
+
+def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distinct identifiers of the corpus are keywords of each language."""
+    words = identifiers.classify(_texts(spark, sf_dir)).select("name").distinct()
+    dimension = spark.createDataFrame([(lang, w) for lang in languages.LANGUAGES for w in sorted(languages.keywords(lang))], "language string, name string")
+    return words.join(dimension, "name").groupBy("language").agg(F.count("*").alias("n"))
+
+
+KEYWORD_SQL = f"""with {sql.names_cte()}, w as (select distinct r from occ where prio is not null),
+kw as (select * from (values {", ".join(f"('{lang}', '{w}')" for lang in languages.LANGUAGES for w in sorted(languages.keywords(lang)))}) t("language", word))
+select kw."language", count(*) n from w join kw on kw.word = w.r group by 1"""
+
+
+def legend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legend of every masked document."""
+    return _masked(spark, sf_dir).select("doc_id", legend.legend(F.col("symbols"), F.col("anonymized")).alias("legend"))
+
+
+LEGEND_SQL = f"""with {sql.names_cte()}, c as (select k, base, count(*) n from sym group by k, base),
+p as (select k, string_agg(base || '* are ' || case base {" ".join(f"when '{b}' then '{t}'" for b, t in legend.LABELS.items())} end || ' (' || n || ')', '; '
+  order by list_position({list(legend.LABELS)}, base)) t from c group by k)
+select d.doc_id, coalesce('Placeholder legend: ' || p.t || '.', '') legend from documents d left join p on p.k = d.doc_id"""
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many masked documents are restored to what they were, and how many reports are clean."""
+    back = restore.restore(_masked(spark, sf_dir), "anonymized", strip="none")
+    same = F.col("restored").eqNullSafe(F.col("text"))
+    return back.agg(F.count("*").alias("docs"), F.count_if(same).alias("same"), F.count_if(restore.summary(F.col("report"))["clean"]).alias("clean"))
+
+
+ROUND_TRIP_SQL = 'select count(*) docs, count(*) same, count(*) "clean" from documents'
+
+
+def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked names by base, under rules that keep some and rename others."""
+    out = masking.anonymize(_texts(spark, sf_dir), language="typescript", rules=RULES, policy="off")
+    return out.select(F.explode("symbols").alias("s")).groupBy(grammar.base_of(F.col("s.placeholder")).alias("base")).agg(F.count("*").alias("names"), F.max(grammar.number_of(F.col("s.placeholder"))).alias("most"))
+
+
+RULES_SQL = f"""with {sql.names_cte()}, b as (select k, r, case when regexp_matches(r, 'ing$') then '__ACT__' when r like '%tion%' then '__ABS__' else base end nb from sym where r not like 'Th%'),
+c as (select k, nb, count(*) n from b group by all)
+select nb base, sum(n)::bigint as names, max(n) most from c group by nb"""
+
+
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the credential guard by type and severity."""
+    return secrets.summarize(secrets.with_findings(_texts(spark, sf_dir), policy="warn"))
+
+
+def strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stripped from assistant turns by type, with the first of each conversation's turn."""
+    turns = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    # The turns are prose; each gets a comment of every kind so that there is something to strip.
+    noisy = turns.select("conv_id", "turn", F.concat(F.lit("/** doc\n * more */\n// TODO later\n// Step 1: go\n  // Handle it\n// ----\n// **head**\n// @param x\nkept();\n\n\n\n"), "text").alias("text"))
+    out = restore.restore(noisy.withColumn("symbols", masking.entries_of({})), "text")
+    return out.select("conv_id", "turn", "stripped_count", F.array_join(F.transform("stripped_items", lambda i: F.concat(i["type"], F.lit(":"), i["line_number"].cast("string"))), ",").alias("items"))
+
+
+STRIP_SQL = """select conv_id, turn, 7 stripped_count, 'jsdoc:1,todo:2,step-marker:3,narration:4,separator:5,section-header:6,inline-annotation:7' items
+from conversations where role = 'assistant'"""
+
+
+def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns are masked; the report of a reply that drops the last quarter and invents a placeholder."""
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    masked = masking.anonymize(turns, language="typescript", policy="off")
+    reply = masked.withColumn("reply", F.concat(F.array_join(F.transform("symbols", lambda e: e["placeholder"]), " "), F.lit(" __NEW__1")))
+    out = restore.restore(reply, "reply", strip="none")
+    return out.select("conv_id", "turn", F.size("report.resolved").alias("resolved"), F.size("report.missing").alias("missing"), F.array_join("report.unresolved", ",").alias("unresolved"))
+
+
+REPORT_SQL = f"""with turns as (select row(conv_id, turn) kk, conv_id, turn, text from conversations where role = 'user'), {sql.names_cte("turns", "kk")}, c as (select k, count(*) n from sym group by k)
+select t.conv_id, t.turn, coalesce(c.n, 0)::int resolved, 0 missing, '__NEW__1' unresolved from turns t left join c on c.k = t.kk"""
+
+
+def href_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe, external and refused links of every page that has links."""
+    hrefs = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    safe = links.safe_href(F.col("h"))
+    return hrefs.groupBy("page_id").agg(F.count("*").alias("n"), F.count(safe).alias("safe"), F.count_if(links.is_external(safe)).alias("external"))
+
+
+HREF_SQL = r"""with h as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) h from pages),
+n as (select page_id, regexp_replace(regexp_replace(h, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\n\r]', '', 'g') h from h),
+s as (select page_id, case when h = '/' or regexp_matches(h, '^/[^/]') or h like '#%' or regexp_matches(h, '^(?i:https?|mailto):') then h end s from n)
+select page_id, count(*) n, count(s) "safe", coalesce(count_if(regexp_matches(s, '^(?i:https?:)')), 0)::bigint "external" from s group by page_id"""
+
+
+def placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders of every masked document that stand in the text, and how often the first does."""
+    found = grammar.placeholders_in(F.col("anonymized"))
+    return _masked(spark, sf_dir).select("doc_id", F.size(found).alias("n"), F.size(F.array_distinct(found)).alias("n_distinct"))
+
+
+SCAN_SQL = f"""with {sql.names_cte()}, o as (select occ.k, occ.r from occ join sym on sym.k = occ.k and sym.r = occ.r where named)
+select d.doc_id, count(o.r)::int n, count(distinct o.r)::int n_distinct from documents d left join o on o.k = d.doc_id group by d.doc_id"""
+
+
+def map_export_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's most frequent names through an encrypted map file and back."""
+    names = [r["name"] for r in identifier_top(spark, sf_dir).collect()]
+    symbols = {f"__VAR__{i + 1}": n for i, n in enumerate(names)}
+    word = " ".join(["quiet", "harbour", "morning"])
+    back = mapstore.import_map(spark, mapstore.export_map(spark, symbols, word, iterations=1000), word)
+    return spark.createDataFrame([(k, v) for k, v in back.items()], "placeholder string, name string")
+
+
+MAP_SQL = f"with {sql.names_cte()}, t as (select r, count(*) docs from name group by r order by docs desc, r limit 50) select '__VAR__' || row_number() over (order by docs desc, r) placeholder, r as name from t"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        anonymize_docs, anonymize_auto, identifier_counts, identifier_top, role_rollup, symbol_table, corpus_symbols, language_guess, keyword_overlap,
+        legend_counts, round_trip, rules_applied, secret_findings, strip_noise, restore_report, href_safety, placeholder_scan, map_export_check,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "anonymize_docs": ANONYMIZE_SQL,
+    "identifier_counts": COUNTS_SQL,
+    "identifier_top": TOP_SQL,
+    "role_rollup": ROLLUP_SQL,
+    "symbol_table": SYMBOLS_SQL,
+    "corpus_symbols": CORPUS_SQL,
+    "language_guess": sql.guess_sql("pages", "page_id", "html"),
+    "keyword_overlap": KEYWORD_SQL,
+    "legend_counts": LEGEND_SQL,
+    "round_trip": ROUND_TRIP_SQL,
+    "rules_applied": RULES_SQL,
+    "strip_noise": STRIP_SQL,
+    "restore_report": REPORT_SQL,
+    "href_safety": HREF_SQL,
+    "placeholder_scan": SCAN_SQL,
+    "map_export_check": MAP_SQL,
+}

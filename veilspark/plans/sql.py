@@ -1,0 +1,51 @@
+"""SQL for DuckDB that gives what the registered queries give, from the same fixed tables of words and patterns."""
+
+from ..functions import languages
+from ..functions.grammar import ROLE_BASES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _words(words) -> str:
+    return "(" + ", ".join(map(_quoted, sorted(words))) + ")"
+
+
+#: White space in RE2's notation.
+_SPACE = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_SEGMENT = r"""//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|"[^"\\]*(?:\\(?s:.)[^"\\]*)*(?:"|\\?\z)|'[^'\\]*(?:\\(?s:.)[^'\\]*)*(?:'|\\?\z)|`[^`\\]*(?:\\(?s:.)[^`\\]*)*(?:`|\\?\z)|[^/"'`]+|/"""
+_MODULE = rf"(?:^|[^A-Za-z0-9_$])(?:(?:from|import){_SPACE}*|(?:require|import){_SPACE}*\({_SPACE}*)$"
+
+
+def names_cte(table: str = "documents", key: str = "doc_id", where: str = "true") -> str:
+    """Common tables run (word runs with role priorities), name (distinct names) and sym (numbered names), as TypeScript."""
+    base = " ".join(f"when {p} then '{ROLE_BASES[n]}'" for n, p in (("class", 4), ("function", 3), ("package", 2), ("string", 0)))
+    return f"""
+seg as (select k, s, si, coalesce(lag(s, 3) over v, '') || coalesce(lag(s, 2) over v, '') || coalesce(lag(s, 1) over v, '') front
+  from (select {key} k, unnest(g) s, generate_subscripts(g, 1) si from (select {key}, regexp_extract_all(text, {_quoted(_SEGMENT)}) g from {table} where {where}))
+  window v as (partition by k order by si)),
+cut as (select k, si, s, s[1:2] in ('//', '/*') comment, s[1] in ('"', '''', '`') str,
+  s[1] in ('"', '''', '`') and regexp_matches(front, {_quoted(_MODULE)}) module, regexp_extract_all(s, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+') g from seg),
+flat as (select k, si, comment, str, module, unnest(g) r, generate_subscripts(g, 1) i from cut),
+run as (select *, lag(r, 1) over w gap, lag(r, 2) over w prev, lead(r, 1) over w nxt from flat window w as (partition by k, si order by i)),
+word as (select *, not comment and regexp_matches(r, '^[A-Za-z_$]') word, r in {_words(languages.keywords("typescript"))} kw,
+  case when regexp_full_match(coalesce(gap, ''), {_quoted(_SPACE + "+")}) and regexp_matches(prev, '^[A-Za-z_$]') then prev else '' end before from run),
+occ as (select *, word and not kw and length(r) > 2 and not regexp_full_match(r, '[A-Z][A-Z0-9_]*') and not regexp_full_match(r, '__[A-Z][A-Z0-9_]*__[0-9]*') named,
+  case when not word then null when str then (case when module then 2 else 0 end) when kw then null
+    when before in {_words(languages.class_hints("typescript"))} then 4
+    when before in {_words(languages.function_hints("typescript"))} or regexp_matches(coalesce(nxt, ''), {_quoted("^" + _SPACE + "*[(]")}) then 3
+    when regexp_matches(r, '^[A-Z]') and regexp_matches(r, '[a-z]') then 4 else 1 end prio from word),
+name as (select k, r, max(prio) prio, min(row(si, i)) filter (named) spot from occ where word group by k, r having bool_or(named)),
+sym as (select *, row_number() over (partition by k, base order by length(r) desc, spot) n from (select *, case prio {base} else '__VAR__' end base from name))"""
+
+
+def guess_sql(table: str, key: str, text: str) -> str:
+    """Language, score and fallback of each row of a table."""
+    parts = []
+    for order, (lang, marks) in enumerate(languages.MARKERS.items()):
+        flags = "(?im)" if lang in languages.CASE_INSENSITIVE else "(?m)"
+        terms = [f"least(len(regexp_extract_all(coalesce({text}, ''), {_quoted(flags + p.replace(chr(92) + 's', _SPACE).replace('[' + chr(92) + 'S', '[' + chr(92) + 'S')  if '[' + chr(92) + 's' not in p else flags + p)})), {languages.MARKER_CAP}) * {w}" for w, p in marks]
+        parts.append(f"select {key} k, '{lang}' lang, {order} o, {' + '.join(terms)} score from {table}")
+    return f"""select k {key}, case when max(score) = 0 then '{languages.DEFAULT}' else arg_max(lang, score * 100 - o) end "language", max(score)::int score, max(score) = 0 fallback
+from ({" union all ".join(parts)}) group by k"""

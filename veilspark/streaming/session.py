@@ -1,0 +1,47 @@
+"""Masking a stream of documents with one growing symbol map, the way an interactive session does."""
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.anonymize import anonymize
+
+ENTRIES = "scope string, placeholder string, name string, ord int, batch long"
+
+
+def mask_stream(docs: DataFrame, scope: str, text: str, out_path: str, map_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Masks each micro-batch with the entries its scope has so far; starts the query and returns it.
+
+    Texts of one scope in one batch are masked each with the entries from before the batch; where they give
+    a new name different numbers, or one number to different names, the batch's names are numbered anew,
+    in the order of name length and name, and the texts are masked again with those. Results and entries are
+    written under the batch's number, so a batch that runs twice overwrites itself.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        try:
+            before = spark.read.schema(ENTRIES).parquet(map_path).where(F.col("batch") < number).drop("batch")
+        except Exception:  # noqa: BLE001  no batch has written yet
+            before = spark.createDataFrame([], ENTRIES).drop("batch")
+        held = before.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "name"))).alias("e"))
+        held = held.select(F.col("scope").alias("__scope"), F.transform("e", lambda e: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), e["ord"].alias("ord"))).alias("__known"))
+        known = batch.join(held, F.col(scope).eqNullSafe(F.col("__scope")), "left").drop("__scope")
+        first = anonymize(known, text, known="__known")
+        entry = first.select(F.col(scope).alias("scope"), F.explode("symbols").alias("e")).select("scope", "e.*")
+        fresh = entry.join(before, ["scope", "name"], "left_anti").withColumn("base", F.regexp_extract("placeholder", r"^(__[A-Z][A-Z0-9_]*__)[0-9]+\z", 1))
+        fresh = fresh.groupBy("scope", "name").agg(F.min("base").alias("base"), F.min(F.regexp_extract("placeholder", r"([0-9]+)\z", 1).cast("long")).alias("n"))
+        per_base = Window.partitionBy("scope", "base")
+        number_of = F.min("n").over(per_base) - 1 + F.row_number().over(per_base.orderBy(F.length("name").desc(), "name"))
+        most = before.groupBy("scope").agg(F.max("ord").alias("most"))
+        order = F.row_number().over(Window.partitionBy("scope").orderBy("base", F.length("name").desc(), "name"))
+        placed = fresh.withColumn("placeholder", F.concat("base", number_of.cast("string"))).join(most, "scope", "left")
+        placed = placed.select("scope", "placeholder", "name", (F.coalesce("most", F.lit(-1)) + order).cast("int").alias("ord"), F.lit(number).cast("long").alias("batch"))
+        placed.write.mode("overwrite").parquet(f"{map_path}/part={number}")
+        whole = spark.read.schema(ENTRIES).parquet(f"{map_path}/part={number}").drop("batch").unionByName(before)
+        grown = whole.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "name"))).alias("e"))
+        grown = grown.select(F.col("scope").alias("__scope"), F.transform("e", lambda e: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), e["ord"].alias("ord"))).alias("__known"))
+        again = batch.join(grown, F.col(scope).eqNullSafe(F.col("__scope")), "left").drop("__scope")
+        anonymize(again, text, known="__known").drop("__known").write.mode("overwrite").parquet(f"{out_path}/part={number}")
+
+    return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
