@@ -61,11 +61,11 @@ def anonymize(
     carried = bool(known) or any(t.strip() for t in marks)
     old = [c for c in docs.columns if c not in ("anonymized", "symbols", "identifier_count", "language", "secrets", "known")]
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*old, *([known] if known else [])])])
-    source = prepared(source.withColumn("__raw_null", F.col(f"`{text}`").isNull()).withColumn("__source", F.col(f"`{text}`")), "__source", language, known, marks, policy)
+    source = prepared(source.withColumn("__veil_null", F.col(f"`{text}`").isNull()).withColumn("__source", F.col(f"`{text}`")), "__source", language, known, marks, policy)
     # The document's own columns ride on its first row only.
-    extra = F.struct(*[F.col(f"`{c}`") for c in old], F.col("secrets").alias("__secrets"), F.col("known").alias("__known"), F.col("language").alias("__language"), "__raw_null")
-    packed = source.select(F.monotonically_increasing_id().alias("__id"), "__source", F.col("language").alias("__lang"), "known", extra.alias("__extra"))
-    row = occurrences(packed, "__id", "__source", F.col("__lang") if language in (None, "auto") else language, "known" if carried else None, "__extra")
+    extra = F.struct(*[F.col(f"`{c}`") for c in old], F.col("secrets").alias("__veil_secrets"), F.col("known").alias("__veil_known"), F.col("language").alias("__veil_language"), "__veil_null")
+    packed = source.select(F.monotonically_increasing_id().alias("__id"), "__source", F.col("language").alias("__lang"), "known", extra.alias("__veil_extra"))
+    row = occurrences(packed, "__id", "__source", F.col("__lang") if language in (None, "auto") else language, "known" if carried else None, "__veil_extra")
     row = row.select(
         F.col("key").alias("id"), "extra", "seg", "idx", "token", "tail", "named", "priority", "entry",
         base_of(F.coalesce("entry.placeholder", "token")).alias("own_base"), number_of(F.coalesce("entry.placeholder", "token")).alias("own_number"),
@@ -92,15 +92,15 @@ def anonymize(
     piece = F.when(F.col("entry").isNull(), F.struct("seg", "idx", F.concat(F.coalesce("placeholder", "token"), "tail").alias("out")))
     made = F.when(F.col("new") & (F.struct("seg", "idx") == F.col("at")), F.struct((-F.length("token")).alias("size"), "at", "placeholder", F.col("token").alias("name")))
     done = row.groupBy("id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.sort_array(F.collect_list(made)).alias("made"), F.first("extra", ignorenulls=True).alias("extra"))
-    carried_most = F.coalesce(F.array_max(F.transform("extra.__known", lambda e: e["ord"])), F.lit(-1))
+    carried_most = F.coalesce(F.array_max(F.transform("extra.__veil_known", lambda e: e["ord"])), F.lit(-1))
     fresh = F.transform("made", lambda e, i: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), (carried_most + i + 1).cast("int").alias("ord")))
     return done.select(
         *[F.col(f"extra.`{c}`").alias(c) for c in old],
-        F.when(~F.col("extra.__raw_null"), F.array_join(F.transform("pieces", lambda p: p["out"]), "")).alias("anonymized"),
-        F.concat("extra.__known", fresh).alias("symbols"),
-        (F.size("extra.__known") + F.size("made")).alias("identifier_count"),
-        F.col("extra.__language").alias("language"),
-        F.col("extra.__secrets").alias("secrets"),
+        F.when(~F.col("extra.__veil_null"), F.array_join(F.transform("pieces", lambda p: p["out"]), "")).alias("anonymized"),
+        F.concat("extra.__veil_known", fresh).alias("symbols"),
+        (F.size("extra.__veil_known") + F.size("made")).alias("identifier_count"),
+        F.col("extra.__veil_language").alias("language"),
+        F.col("extra.__veil_secrets").alias("secrets"),
     )
 
 

@@ -21,7 +21,7 @@ def mask_stream(docs: DataFrame, scope: str, text: str, out_path: str, map_path:
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            before = spark.read.schema(ENTRIES).parquet(map_path).where(F.col("batch") < number).drop("batch")
+            before = spark.read.schema(ENTRIES).parquet(map_path).where(F.col("batch") < number).drop("batch", "part")
         except Exception:  # noqa: BLE001  no batch has written yet
             before = spark.createDataFrame([], ENTRIES).drop("batch")
         held = before.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "name"))).alias("e"))
