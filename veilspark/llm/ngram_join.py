@@ -30,6 +30,7 @@ _CHUNK = 1 << 12
 MINIMA = 4
 #: Postings of one element in one tile at about most; elements with more are dealt to pairs of blocks.
 TILE = 2048
+BITS_PER_ELEMENT = 4
 
 
 def _need(t100: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,19 +72,20 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
 
 
 def shingle_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(key, text_key, n, set_key, minima) of (key, text): a digest of the text, the size of its set, a 128-bit digest and a few minima of it."""
+    """(key, text_key, n, set_key, minima, bitmap) of (key, text): a digest of the text, the size of its set, a 128-bit digest, a few minima and the bitmap of it."""
 
     def run(batches):
         for batch in batches:
-            n, keys, minima = [], [], []
+            n, keys, minima, bitmaps = [], [], [], []
             for _, _, words in word_batches(batch.column(2)):
                 for own in shingle_sets(words, k):
                     n.append(len(own))
                     keys.append(np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()]).tobytes() if len(own) else None)
                     minima.append([int(mix(own * np.uint64(2 * j + 3)).min().view(np.int64)) for j in range(MINIMA)] if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], names=["key", "text_key", "n", "set_key", "minima"])
+                    bitmaps.append(_bitmap(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())], names=["key", "text_key", "n", "set_key", "minima", "bitmap"])
 
-    return docs.select("key", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, text_key long, n long, set_key binary, minima array<long>")
+    return docs.select("key", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, text_key long, n long, set_key binary, minima array<long>, bitmap binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, t100: int) -> DataFrame:
@@ -96,7 +98,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, t100: int) -> DataFram
                 left, right = ([s for _, _, w in word_batches(batch.column(i).slice(a, 512)) for s in shingle_sets(w, k)] for i in (2, 3))
                 for x, y in zip(left, right, strict=True):
                     least = int(_need(t100, len(x), len(y)))
-                    keep.append(_bit_bound(x, y) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+                    keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= least)
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
@@ -105,19 +107,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, t100: int) -> DataFram
     return both.mapInArrow(exact, "a long, b long")
 
 
-def _bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each hash, in as many bits, a power of two, as the size band of the set asks for."""
+    bits = 64
+    while bits < BITS_PER_ELEMENT * len(hashes):
+        bits *= 2
     flags = np.zeros(bits, bool)
     flags[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags)
 
 
-def _bit_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """No overlap of two sets is larger: each bit that only one bitmap has stands for an element that only one set has."""
-    bits = 64
-    while bits < 2 * max(len(x), len(y)):
-        bits *= 2
-    differing = int(np.bitwise_count(_bitmap(x, bits) ^ _bitmap(y, bits)).sum())
-    return (len(x) + len(y) - differing) // 2
+def _differing_bits(bitmaps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits differ between the bitmaps of each pair, the wider of two folded to the width of the other.
+
+    Each differing bit stands for an element that only one of two sets has, so sets of sizes a and b with d
+    of them share (a + b - d) / 2 elements at most.
+    """
+    width = np.array([len(b) for b in bitmaps])
+    common = np.minimum(width[x], width[y])
+    out = np.empty(len(x), np.int64)
+    for w in np.unique(common):
+        chosen = np.flatnonzero(common == w)
+        rows = np.unique(np.concatenate([x[chosen], y[chosen]]))
+        folded = np.stack([np.bitwise_or.reduce(np.frombuffer(bitmaps[r], np.uint8).reshape(-1, w), axis=0) for r in rows])
+        for c in range(0, len(chosen), 1 << 16):
+            part = chosen[c : c + (1 << 16)]
+            out[part] = np.bitwise_count(folded[np.searchsorted(rows, x[part])] ^ folded[np.searchsorted(rows, y[part])]).sum(axis=1)
+    return out
 
 
 def _stars(groups: DataFrame, t100: int) -> DataFrame:
@@ -179,8 +195,8 @@ def _postings(reps: DataFrame, counts, k: int, t100: int) -> DataFrame:
     return reps.select("gid", "n", "comp", "text").mapInArrow(run, "element long, i int, j int, block int, gid long, n long, at int, comp long")
 
 
-def _tile_pairs(postings: DataFrame, t100: int) -> DataFrame:
-    """Pairs (a, b) of different components that their tiles cannot rule out."""
+def _by_tile(postings: DataFrame, each, schema: str) -> DataFrame:
+    """What ``each`` makes of whole tiles, given as a table sorted by tile and size and the first rows of its tiles."""
     dealt = postings.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j", "n")
 
     def run(batches):
@@ -192,36 +208,75 @@ def _tile_pairs(postings: DataFrame, t100: int) -> DataFrame:
             e, i, j = (table[c].to_numpy() for c in ("element", "i", "j"))
             new = (e[1:] != e[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             heads = np.concatenate(([0], np.flatnonzero(new) + 1))
-            yield from _within(table.slice(0, int(heads[-1])), heads, t100)
+            if len(heads) > 1:
+                yield from each(table.slice(0, int(heads[-1])), heads)
             left = table.slice(int(heads[-1]))
-        if left is not None:
-            yield from _within(left, np.array([0, left.num_rows]), t100)
+        if left is not None and left.num_rows:
+            yield from each(left, np.array([0, left.num_rows]))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, schema)
 
 
-def _within(table: pa.Table, heads: np.ndarray, t100: int):
-    """The pairs of each tile of a table sorted by tile and size; ``heads`` are the tiles' first rows and the end."""
-    if len(heads) < 2:
-        return
-    gid, n, at, comp, block, i, j = (table[c].to_numpy() for c in ("gid", "n", "at", "comp", "block", "i", "j"))
-    length = np.diff(heads)
+def _mixed(table: pa.Table, heads: np.ndarray):
+    """The rows of tiles that hold sets of different components."""
+    comp = table["comp"].to_numpy()
     mixed = np.minimum.reduceat(comp, heads[:-1]) != np.maximum.reduceat(comp, heads[:-1])
-    stop = np.repeat(heads[1:], length)
-    x = np.flatnonzero(np.repeat(mixed, length))
-    step = 0
-    while len(x):  # each row with the row ``step`` behind it, as long as that is in its tile and size band
-        step += 1
-        x = x[x + step < stop[x]]
-        x = x[n[x + step] * t100 <= n[x] * 100]
-        y = x + step
-        good = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
-        good &= np.minimum(n[x] - at[x], n[y] - at[y]) >= _need(t100, n[x], n[y])
+    keep = np.repeat(mixed, np.diff(heads))
+    if keep.any():
+        yield from table.drop_columns(["comp"]).filter(pa.array(keep)).to_batches()
+
+
+def _pairs_around(t100: int):
+    """One pair for each row of a tile: with a row of another component so many places on, around the end, as the tile's hash says."""
+
+    def each(table: pa.Table, heads: np.ndarray):
+        gid, n, comp, element = (table[c].to_numpy() for c in ("gid", "n", "comp", "element"))
+        length = np.diff(heads)
+        many, head = np.repeat(length, length), np.repeat(heads[:-1], length)
+        x = np.flatnonzero(many > 1)
+        away = 1 + (mix(element[x].astype(np.uint64)) % np.minimum(many[x] - 1, 256).astype(np.uint64)).astype(np.int64)
+        y = head[x] + (x - head[x] + away) % many[x]
+        good = (comp[x] != comp[y]) & (np.maximum(n[x], n[y]) * t100 <= np.minimum(n[x], n[y]) * 100)
         if good.any():
             a, b = gid[x[good]], gid[y[good]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
+    return each
+
+
+def _pairs_within(t100: int):
+    """Pairs of different components that a tile cannot rule out."""
+
+    def each(table: pa.Table, heads: np.ndarray):
+        gid, n, at, comp, block, i, j = (table[c].to_numpy() for c in ("gid", "n", "at", "comp", "block", "i", "j"))
+        length = np.diff(heads)
+        bitmaps = table["bitmap"].to_pylist()
+        mixed = np.minimum.reduceat(comp, heads[:-1]) != np.maximum.reduceat(comp, heads[:-1])
+        stop = np.repeat(heads[1:], length)
+        x = np.flatnonzero(np.repeat(mixed, length))
+        step = 0
+        while len(x):  # each row with the row ``step`` behind it, as long as that is in its tile and size band
+            step += 1
+            x = x[x + step < stop[x]]
+            x = x[n[x + step] * t100 <= n[x] * 100]
+            y = x + step
+            good = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+            good &= np.minimum(n[x] - at[x], n[y] - at[y]) >= _need(t100, n[x], n[y])
+            u, v = x[good], y[good]
+            close = (n[u] + n[v] - _differing_bits(bitmaps, u, v)) // 2 >= _need(t100, n[u], n[v])
+            if close.any():
+                a, b = gid[u[close]], gid[v[close]]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return each
+
+
+def _with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` (gid, ...) with the component of each set, its own gid where it has no link."""
+    return rows.join(joined, rows["gid"] == joined["node"], "left").withColumn("comp", F.coalesce("component", "gid")).drop("node", "component")
+
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``docs``; the component is the smallest key reachable by links.
@@ -267,16 +322,22 @@ def _placed_sets(docs: DataFrame, k: int, t100: int) -> tuple[DataFrame, DataFra
     """(sets with their smallest key and component, set of each row)."""
     spark = docs.sparkSession
     sized = written(shingle_sizes(docs, k), "sets")
-    firsts = sized.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("rep"), F.first("minima").alias("minima"))
-    groups = written(firsts.select(F.monotonically_increasing_id().alias("gid"), "set_key", "n", F.col("rep.key").alias("key"), F.col("rep.text_key").alias("text_key"), "minima"), "groups")
+    firsts = sized.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("rep"), F.first("minima").alias("minima"), F.first("bitmap").alias("bitmap"))
+    groups = written(firsts.select(F.monotonically_increasing_id().alias("gid"), "set_key", "n", F.col("rep.key").alias("key"), F.col("rep.text_key").alias("text_key"), "minima", "bitmap"), "groups")
     named = groups.select(F.col("key").alias("k"), F.col("text_key").alias("t"), "gid", "n")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     texts = bucketed(keyed.join(named, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("gid", "n", "text"), "gid", "texts")
     near = written(_verified(_stars(groups, t100), texts, k, t100), "near")
     joined = written(components(near), "joined")
-    reps = texts.join(joined, texts["gid"] == joined["node"], "left").select("gid", "n", F.coalesce("component", "gid").alias("comp"), "text")
     counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), k))
-    pairs = written(_tile_pairs(_postings(reps, counts, k, t100), t100), "pairs")
+    postings = _postings(_with_components(texts, joined), counts, k, t100)
+    mixed = written(_by_tile(postings, _mixed, "element long, i int, j int, block int, gid long, n long, at int"), "mixed")
+    # One partner for each row of a tile comes first: it connects most groups of near copies, and their other pairs then need no look.
+    beside = _by_tile(_with_components(mixed, joined), _pairs_around(t100), "a long, b long").distinct()
+    near = written(near.unionByName(_verified(beside, texts, k, t100)), "near")
+    joined = written(components(near), "joined")
+    signed = _with_components(mixed, joined).join(groups.select("gid", "bitmap"), "gid")
+    pairs = written(_by_tile(signed, _pairs_within(t100), "a long, b long").distinct(), "pairs")
     found = written(components(near.unionByName(_verified(pairs, texts, k, t100))), "components")
     placed = groups.join(found, groups["gid"] == found["node"], "left").select("set_key", "n", "key", F.coalesce("component", "gid").alias("comp"))
     return written(placed, "placed"), sized
