@@ -31,6 +31,7 @@ MINIMA = 4
 #: Postings of one element in one tile at about most; elements with more are dealt to pairs of blocks.
 TILE = 2048
 BITS_PER_ELEMENT = 4
+TILE_ROW = "element long, i int, j int, block int, gid long, n long, at int"
 
 
 def _need(t100: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,20 +73,19 @@ def shingle_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
 
 
 def shingle_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(key, text_key, n, set_key, minima, bitmap) of (key, text): a digest of the text, the size of its set, a 128-bit digest, a few minima and the bitmap of it."""
+    """(key, text_key, n, set_key, minima) of (key, text): a digest of the text, the size of its set, a 128-bit digest and a few minima of it."""
 
     def run(batches):
         for batch in batches:
-            n, keys, minima, bitmaps = [], [], [], []
+            n, keys, minima = [], [], []
             for _, _, words in word_batches(batch.column(2)):
                 for own in shingle_sets(words, k):
                     n.append(len(own))
                     keys.append(np.array([mix(own).sum(), mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum()]).tobytes() if len(own) else None)
                     minima.append([int(mix(own * np.uint64(2 * j + 3)).min().view(np.int64)) for j in range(MINIMA)] if len(own) else [])
-                    bitmaps.append(_bitmap(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())], names=["key", "text_key", "n", "set_key", "minima", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.list_(pa.int64()))], names=["key", "text_key", "n", "set_key", "minima"])
 
-    return docs.select("key", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, text_key long, n long, set_key binary, minima array<long>, bitmap binary")
+    return docs.select("key", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, text_key long, n long, set_key binary, minima array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, t100: int) -> DataFrame:
@@ -136,6 +136,32 @@ def _differing_bits(bitmaps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.nd
     return out
 
 
+def _bitmaps(texts: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(gid, n, bitmap) of the sets in ``rows``."""
+
+    def run(batches):
+        for batch in batches:
+            made = [_bitmap(own).tobytes() for _, _, words in word_batches(batch.column(2)) for own in shingle_sets(words, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["gid", "n", "bitmap"])
+
+    chosen = texts.select("gid", "n", "text").join(rows.select("gid").distinct(), "gid", "left_semi")
+    return chosen.mapInArrow(run, "gid long, n long, bitmap binary")
+
+
+def _bounded(pairs: DataFrame, bitmaps: DataFrame, t100: int) -> DataFrame:
+    """The pairs (a, b) that their bitmaps do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            maps, rows = batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(batch.num_rows)
+            close = pa.array((na + nb - _differing_bits(maps, rows, rows + batch.num_rows)) // 2 >= _need(t100, na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)], names=["a", "b"])
+
+    side = lambda x: bitmaps.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+
+
 def _stars(groups: DataFrame, t100: int) -> DataFrame:
     """Pairs (a, b) of sets that share a minimum: a two-level star for each minimum, so no set gets more than about 2 sqrt(members) pairs from one."""
     flat = groups.select("gid", "n", F.posexplode("minima").alias("j", "m"))
@@ -322,8 +348,8 @@ def _placed_sets(docs: DataFrame, k: int, t100: int) -> tuple[DataFrame, DataFra
     """(sets with their smallest key and component, set of each row)."""
     spark = docs.sparkSession
     sized = written(shingle_sizes(docs, k), "sets")
-    firsts = sized.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("rep"), F.first("minima").alias("minima"), F.first("bitmap").alias("bitmap"))
-    groups = written(firsts.select(F.monotonically_increasing_id().alias("gid"), "set_key", "n", F.col("rep.key").alias("key"), F.col("rep.text_key").alias("text_key"), "minima", "bitmap"), "groups")
+    firsts = sized.where("n > 0").groupBy("set_key", "n").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_key")).alias("rep"), F.first("minima").alias("minima"))
+    groups = written(firsts.select(F.monotonically_increasing_id().alias("gid"), "set_key", "n", F.col("rep.key").alias("key"), F.col("rep.text_key").alias("text_key"), "minima"), "groups")
     named = groups.select(F.col("key").alias("k"), F.col("text_key").alias("t"), "gid", "n")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     texts = bucketed(keyed.join(named, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("gid", "n", "text"), "gid", "texts")
@@ -331,12 +357,14 @@ def _placed_sets(docs: DataFrame, k: int, t100: int) -> tuple[DataFrame, DataFra
     joined = written(components(near), "joined")
     counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), k))
     postings = _postings(_with_components(texts, joined), counts, k, t100)
-    mixed = written(_by_tile(postings, _mixed, "element long, i int, j int, block int, gid long, n long, at int"), "mixed")
+    mixed = written(_by_tile(postings, _mixed, TILE_ROW), "mixed")
+    bitmaps = written(_bitmaps(texts, mixed, k), "bitmaps")
     # One partner for each row of a tile comes first: it connects most groups of near copies, and their other pairs then need no look.
     beside = _by_tile(_with_components(mixed, joined), _pairs_around(t100), "a long, b long").distinct()
-    near = written(near.unionByName(_verified(beside, texts, k, t100)), "near")
+    near = written(near.unionByName(_verified(_bounded(beside, bitmaps, t100), texts, k, t100)), "near")
     joined = written(components(near), "joined")
-    signed = _with_components(mixed, joined).join(groups.select("gid", "bitmap"), "gid")
+    still = written(_by_tile(_with_components(mixed, joined), _mixed, TILE_ROW), "mixed")
+    signed = _with_components(still, joined).join(bitmaps.select("gid", "bitmap"), "gid")
     pairs = written(_by_tile(signed, _pairs_within(t100), "a long, b long").distinct(), "pairs")
     found = written(components(near.unionByName(_verified(pairs, texts, k, t100))), "components")
     placed = groups.join(found, groups["gid"] == found["node"], "left").select("set_key", "n", "key", F.coalesce("component", "gid").alias("comp"))
