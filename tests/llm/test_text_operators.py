@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from re import _constants as codes
+from re import _parser as parser
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +93,58 @@ def test_license_rules_and_base_phrases(spark, odd):
     assert next(r["n_words"] for r in out if r["doc_id"] == 5) == 30_000
 
 
+def _examples(tree) -> list[str]:
+    """Strings that a parsed expression matches: its first choice everywhere, then every other choice once."""
+    parts = []
+    for op, arg in tree:
+        if op is codes.LITERAL:
+            parts.append([chr(arg)])
+        elif op is codes.NOT_LITERAL:
+            parts.append(["zz"])
+        elif op is codes.IN:
+            parts.append([chr(c) for o, v in arg for c in ([v] if o is codes.LITERAL else range(v[0], v[1] + 1))])
+        elif op is codes.SUBPATTERN:
+            parts.append(_examples(arg[3]))
+        elif op is codes.BRANCH:
+            parts.append([x for branch in arg[1] for x in _examples(branch)])
+        else:
+            assert op is codes.MAX_REPEAT
+            parts.append([""] * (arg[0] == 0) + _examples(arg[2]))
+    first = [p[0] for p in parts]
+    return ["".join(first), *("".join([*first[:i], x, *first[i + 1 :]]) for i, p in enumerate(parts) for x in p[1:])]
+
+
+def test_license_prefilter_loses_no_match(monkeypatch):
+    texts = {x for rule in rules() for x in _examples(parser.parse(rule.pattern)) if rule.compiled().search(f" {x} ")}
+    assert len(texts) > 5 * len(rules())
+    gated = {x: license_scan.detect(f" so {x} it ".encode()) for x in texts}
+    for x, (base, kept) in gated.items():
+        assert any(a == 4 for a, *_ in [*base, *kept]), x
+    everywhere = {(): [(i, rule, re.compile(f"(?<= )(?:{rule.pattern})(?= )".encode())) for i, rule in enumerate(rules())]}
+    monkeypatch.setattr(license_scan, "_by_needs", lambda: everywhere)
+    assert gated == {x: license_scan.detect(f" so {x} it ".encode()) for x in texts}
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("GPLv3", "gpl-3"),
+        ("GNU GPL v2", "gpl-2"),
+        ("the GNU LGPL", "lgpl"),
+        ("GNU AGPL", "agpl"),
+        ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+        ("Creative Commons Zero", "cc0"),
+        ("MIT No Attribution", "mit-0"),
+        ("Zero-Clause BSD", "0bsd"),
+        ("Historical Permission Notice and Disclaimer", "hpnd"),
+        ("available under the GPL 3.0", "gpl-3"),
+        ("licensed per CC BY-SA 4.0", "cc-by-sa"),
+    ],
+)
+def test_license_names_without_the_word_license(text, label):
+    assert [x[2] for x in license_scan.detect(license_scan.normal_form(text)[0])[1]] == [label]
+
+
 def test_license_query_matches_brute_force(spark, sf):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}

@@ -1,7 +1,7 @@
-"""License scans: ordered signature rules behind a keyword prefilter.
+"""License scans: ordered signature rules behind a prefilter of literals.
 
-A text is brought to words (see ``WORD_BYTES``) joined by spaces. Rules are tried only where their
-keyword stands in it. Where detections overlap, one contained in another's interval falls to it if
+A text is brought to words (see ``WORD_BYTES``) joined by spaces. A rule is tried only where one
+of the strings stands in it without which the rule cannot match. Where detections overlap, one contained in another's interval falls to it if
 that other has at least its priority; of equal intervals the earlier rule stays. Detections of the
 base phrases are never suppressed.
 """
@@ -23,13 +23,12 @@ TRANSLATE = bytes(b + 32 if 65 <= b <= 90 else 32 if b in _SEPARATORS else b for
 
 
 @lru_cache(1)
-def _by_keyword() -> dict[bytes, list]:
-    """Rules by keyword; a rule whose keyword is a single letter goes by "licen" and by the words its tag statements begin with."""
+def _by_needs() -> dict[tuple[bytes, ...], list]:
+    """Rules by the strings of which every match of theirs has one; a rule that needs none would be tried everywhere."""
     gates = defaultdict(list)
     for at, rule in enumerate(rules()):
         pattern = re.compile(f"(?<= )(?:{rule.pattern})(?= )".encode())
-        gate = rule.keyword if len(rule.keyword) > 2 else "ed under"
-        gates[gate.encode()].append((at, rule, pattern))
+        gates[tuple(s.encode() for s in rule.needs)].append((at, rule, pattern))
     return dict(gates)
 
 
@@ -65,8 +64,8 @@ def detect(norm: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
     """(base places, kept detections of the rules), each (start byte, end byte, label, ...)."""
     base = [(at, at + len(phrase), label) for label, phrase in BASE_PHRASES for at in _places(norm, f" {phrase} ".encode())]
     hits = []
-    for gate, gated in _by_keyword().items():
-        if gate in norm:
+    for needs, gated in _by_needs().items():
+        if not needs or any(s in norm for s in needs):
             hits += [(m.start(), m.end(), at, rule) for at, rule, pattern in gated for m in pattern.finditer(norm)]
     kept: list = []
     for group in _overlapping(hits):
