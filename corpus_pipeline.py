@@ -16,7 +16,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stand elsewhere; one that nothing is left of goes."""
+    """Documents without the chunks and runs of lines that stand elsewhere; one that nothing is left of goes."""
     out = line_dedup.dedup_lines(docs)
     left = out.where("lines_removed = 0 or text rlike '[^\\\\s]'")
     return left.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)

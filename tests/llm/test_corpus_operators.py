@@ -59,6 +59,27 @@ def test_line_dedup_keeps_first_and_removes_shifted_passages(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_short_passages_whole(spark):
+    r = random.Random(12)
+    line = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows, passages = [], []
+    for i in range(60):
+        size = 2 + i % 5
+        passages.append([line(51 // size + 1) for _ in range(size)])
+        rows += [(2 * i, [line(5), *passages[-1], line(5)]), (2 * i + 1, [line(4), line(3), *passages[-1], line(6)])]
+    rows += [(500, [line(4), *passages[3][:2], line(4), *passages[7], *passages[8], line(4)]), (501, ["", line(30), line(30), "", "x", line(30)])]
+    rows += [(502, [*rows[-1][1][1:3], "y", *rows[-1][1][:3]])]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    out = {x["doc_id"]: x for x in line_dedup.dedup_lines(docs).collect()}
+    for i, passage in enumerate(passages):
+        assert out[2 * i]["text"] == "\n".join(rows[2 * i][1]) and out[2 * i]["lines_removed"] == 0
+        own = rows[2 * i + 1][1]
+        assert out[2 * i + 1]["text"] == "\n".join([*own[:2], own[-1]]), len(passage)
+    assert not set(out[500]["text"].split("\n")) & {*passages[7], *passages[8]} and out[500]["lines_before"] == len(rows[-3][1])
+    assert out[502]["text"] == "y" and out[501]["lines_removed"] == 0
+    assert {x for _, t in rows for x in t} == {x for o in out.values() for x in o["text"].split("\n")}
+
+
 def test_line_dedup_runs_no_python(spark, sf):
     plan = queries.op2_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -6,6 +6,11 @@ place falls into the same chunks again. A line of more than ``PASSAGE_WORDS`` wo
 itself and always its own chunk. Of the chunks of two lines or more, and of those passage lines, that
 occur more than once anywhere, the first occurrence stays and the others go.
 
+Chunks at the ends of a passage may be shared with its surroundings. So each pair of neighbouring lines
+is told as well, and a run of lines all of whose pairs have occurred before goes too if together it has
+more than ``PASSAGE_WORDS`` words. A passage that stands elsewhere has all its pairs there, so it goes
+wherever chunks end. The first place of a line is in no repeated chunk or pair, so no line is lost.
+
 Narrow rows (digest, place) find the repeats; then each document's list of repeats meets its text in
 one join, and the texts of all occurrences of a digest are compared byte by byte before anything is
 removed. A digest whose occurrences differ removes nothing.
@@ -52,8 +57,16 @@ def _chunk_text(lines: Column, start: Column, stop: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, stop - start), "\n")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs``, the text without its repeated chunks, plus ``lines_before`` and ``lines_removed``.
+def _pairs(lines: Column) -> Column:
+    """Every two neighbouring lines as (start, stop, digest)."""
+    texts = F.zip_with(F.slice(lines, 1, F.size(lines) - 1), F.slice(lines, 2, F.size(lines)), lambda a, b: F.concat(a, F.lit("\n"), b))
+    return F.transform(texts, lambda t, i: F.struct(i.alias("start"), (i + 2).alias("stop"), F.md5(t).alias("digest")))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", runs: bool = True) -> DataFrame:
+    """All columns of ``docs``, the text without its repeated chunks and runs, plus ``lines_before`` and ``lines_removed``.
+
+    Without ``runs`` only whole chunks go.
 
     The first occurrence is the one with the smallest (key, text digest, line); a null key comes last.
     Rows that agree in key and text count as one document and get the same result. A null text stays
@@ -63,16 +76,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     docs = docs.drop("lines_before", "lines_removed")
     source = docs.withColumn("__text_key", F.md5(F.col(f"`{text}`")))
     parts = chunked(source.select(F.col(f"`{key}`").alias("__key"), "__text_key", F.col(f"`{text}`").alias("__text")), "__text")
-    told = parts.select(
-        "__key",
-        "__text_key",
-        F.explode_outer(
-            F.transform(
-                F.filter("__chunks", lambda c: (c["stop"] - c["start"] > 1) | F.get(F.col("__long"), c["start"])),
-                lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.sha2(_chunk_text(F.col("__lines"), c["start"], c["stop"]), 256).alias("digest")),
-            )
-        ).alias("c"),
-    ).where("c is not null")
+    chunks = F.transform(
+        F.filter("__chunks", lambda c: (c["stop"] - c["start"] > 1) | F.get(F.col("__long"), c["start"])),
+        lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.sha2(_chunk_text(F.col("__lines"), c["start"], c["stop"]), 256).alias("digest")),
+    )
+    found = F.concat(chunks, _pairs(F.col("__lines"))) if runs else chunks
+    told = parts.select("__key", "__text_key", F.explode_outer(found).alias("c")).where("c is not null")
     told = written(told.select("__key", "__text_key", "c.start", "c.stop", F.unhex("c.digest").alias("digest")).distinct(), "chunks")
     place = F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("key"), F.col("__text_key").alias("text_key"), F.col("start").alias("start"))
     first = told.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -84,7 +93,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "left",
     )
     met = written(met.select("d.*", "r.__repeats").drop("__text_key"), "repeats")
-    return _removed(met, text, _differing(met, text))
+    return _removed(met, text, _differing(met, text), runs)
 
 
 def _differing(met: DataFrame, text: str) -> DataFrame | None:
@@ -95,7 +104,21 @@ def _differing(met: DataFrame, text: str) -> DataFrame | None:
     return None if odd.isEmpty() else odd
 
 
-def _removed(met: DataFrame, text: str, differing: DataFrame | None) -> DataFrame:
+def _runs(pairs: Column) -> Column:
+    """Line ranges (start, stop) of the runs of consecutive places among the sorted starts of pairs."""
+    before = F.concat(F.array(F.lit(-2)), pairs)
+    after = F.concat(F.slice(pairs, 2, F.size(pairs)), F.array(F.lit(-2)))
+    begins = F.zip_with(F.slice(before, 1, F.size(pairs)), pairs, lambda p, x: F.when(p + 1 != x, x))
+    ends = F.zip_with(pairs, after, lambda x, n: F.when(x + 1 != n, x + 2))
+    there = lambda x: F.filter(x, lambda y: y.isNotNull())
+    return F.zip_with(there(begins), there(ends), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+
+
+def _words(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda n, line: n + F.regexp_count(line, F.lit(r"\S+")))
+
+
+def _removed(met: DataFrame, text: str, differing: DataFrame | None, runs: bool) -> DataFrame:
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     if differing is not None:
         met = met.withColumn("__row", F.monotonically_increasing_id())
@@ -103,8 +126,17 @@ def _removed(met: DataFrame, text: str, differing: DataFrame | None) -> DataFram
         held = met.select("__row", F.explode("__repeats").alias("r")).join(differing, F.col("r.digest") == F.col("digest"), "left_anti")
         held = held.groupBy("__row").agg(F.collect_list("r").alias("__repeats"))
         met = met.drop("__repeats").join(held, "__row", "left").drop("__row")
-    gone = F.flatten(F.transform(F.filter("__repeats", lambda r: ~r["stays"]), lambda r: F.sequence(r["start"], r["stop"] - 1)))
-    out = met.withColumn("__lines", lines).withColumn("__gone", F.coalesce(gone, F.array().cast("array<int>")))
+    met, gone = met.withColumn("__lines", lines), F.filter("__repeats", lambda r: ~r["stays"])
+    if runs:
+        # Digests of pairs have 16 bytes, those of chunks 32.
+        pairs = F.array_sort(F.transform(F.filter(gone, lambda r: F.length(r["digest"]) == 16), lambda r: r["start"]))
+        chunks = F.transform(F.filter(gone, lambda r: F.length(r["digest"]) > 16), lambda r: F.struct(r["start"], r["stop"]))
+        met = met.withColumn("__pairs", pairs)
+        met = met.withColumn("__runs", F.filter(_runs(F.col("__pairs")), lambda r: _words(F.slice("__lines", r["start"] + 1, r["stop"] - r["start"])) > PASSAGE_WORDS))
+        gone = F.concat(chunks, "__runs")
+    gone = F.flatten(F.transform(gone, lambda r: F.sequence(r["start"], r["stop"] - 1)))
+    gone = F.array_distinct(gone) if runs else gone
+    out = met.withColumn("__gone", F.coalesce(gone, F.array().cast("array<int>")))
     size = F.coalesce(F.size("__lines"), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), size - 1), F.col("__gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
@@ -113,5 +145,5 @@ def _removed(met: DataFrame, text: str, differing: DataFrame | None) -> DataFram
         out.withColumn("lines_before", F.when(F.col(f"`{text}`").isNull(), 0).otherwise(size).cast("long"))
         .withColumn("lines_removed", F.size("__gone").cast("long"))
         .withColumn(text, changed)
-        .drop("__lines", "__gone", "__repeats")
+        .drop("__lines", "__pairs", "__runs", "__gone", "__repeats")
     )
