@@ -143,6 +143,21 @@ def test_language_model_of_odd_rows(spark):
     assert class_lm.score_texts(docs.limit(0), "learn").count() == 0
 
 
+def test_rare_words_are_clustered_in_a_large_corpus(spark, monkeypatch):
+    r = random.Random(3)
+    common, rows = [f"c{i}" for i in range(40)], []
+    for i in range(3000):
+        # Each rare word occurs five times, always between words of its own kind.
+        kind = "ab"[i % 2]
+        rows.append((i, " ".join(x for _ in range(60) for x in (f"{kind}left", r.choice(common), f"{kind}right")) + f" {kind}left {kind}rare{i // 10} {kind}right", True))
+    held = [(5000 + i, f"{k}left {w}rare{n} {k}right") for i, (k, w, n) in enumerate((k, w, n) for k in "ab" for w in "ab" for n in range(100))]
+    docs = spark.createDataFrame([*rows, *((i, t, False) for i, t in held)], "doc_id long, text string, learn boolean")
+    got = {x["doc_id"]: x["score"] - x["base_score"] for x in class_lm.score_texts(docs, "learn").where("doc_id >= 5000").collect()}
+    own = [got[5000 + i] for i in (*range(100), *range(300, 400))]
+    other = [got[5000 + i] for i in range(100, 300)]
+    assert sum(own) / 200 > sum(other) / 200 + 0.2
+
+
 def test_exchange_groups_words_by_context():
     import numpy as np
 

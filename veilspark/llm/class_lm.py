@@ -1,18 +1,17 @@
 """Scoring of texts with a class-based bigram language model (Brown model).
 
-Word counts of all training texts form a distributed table. The core words, those with at least
-``CORE_SHARE`` of all tokens (so at most 1/``CORE_SHARE`` of them), are put into classes by exchange
-clustering: in rounds, each word of one half of the core goes to the class where the class-bigram likelihood
-gains most. All other words, known or not, are in a few classes by their shape. A text's probability is the
+Word counts of all training texts form a distributed table. All words that occur ``LEAST_COUNT`` times in
+them, whatever the size of the corpus, are numbered and put into classes by exchange clustering: in half
+rounds, each word of one half goes to the class where the class-bigram likelihood gains most, until the
+likelihood hardly gains. Rarer and unknown words are in a few classes by their shape. A text's probability is the
 product of class transitions and of word emissions within the class, both smoothed.
 
-Texts lie in blocks of about ``BLOCK_BYTES``; a block's distinct words meet the word table in a join, and
-the block's texts are scored in one group with the counts of its words. No word table is ever broadcast
-but the core, and no group is larger than a block.
+Texts lie in blocks of about ``BLOCK_BYTES``; a block's distinct words meet the word table in a join, in
+one group for each block, which turns texts into numbers of words. Bigrams are counted and texts scored
+over those. Of the words only their classes, a byte a word, are ever broadcast or on the driver.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,10 @@ from .store import written
 from .textkit import Words, word_batches
 
 BLOCK_BYTES = 8 << 20
-CORE_SHARE = 2e-5
+LEAST_COUNT = 5
 CLASSES = 48
-ROUNDS = 6
+#: Half rounds go on while two in a row raise the log likelihood by this share of it; words of equal gain move for ever.
+LEAST_GAIN = 1e-3
 SHAPES = 4
 #: Added to counts of words, in the base score and in the emissions of shape classes.
 WORD_SMOOTHING = 0.1
@@ -126,71 +126,40 @@ def _block_words(batches) -> Iterator[pa.RecordBatch]:
         yield batch_of(at_block, *flushed())
 
 
-@dataclass
-class Core:
-    """The core words in order of hash: their counts and classes."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray
-
-    def __post_init__(self):
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.words & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def find(self, word: np.ndarray) -> np.ndarray:
-        """The place of each word in the core, or -1."""
-        out = np.full(len(word), -1)
-        near = np.flatnonzero(self.seen[(word & np.uint64(0xFFFFF)).astype(np.int64)])
-        if len(near):
-            spot = np.minimum(np.searchsorted(self.words, word[near]), len(self.words) - 1)
-            out[near] = np.where(self.words[spot] == word[near], spot, -1)
-        return out
-
-
-def _sequence(words: Words, core: Core) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, first of each text): start, words and end of each text as core places, then shapes, end and start."""
-    m = len(core.words)
-    spot = core.find(words.hashes())
-    token = np.where(spot >= 0, spot, m + shapes(words))
-    docs = len(words.first) - 1
-    number = np.repeat(np.arange(docs), np.diff(words.first))
-    out = np.empty(len(token) + 2 * docs, np.int64)
-    first = words.first[:-1] + 2 * np.arange(docs)
-    out[np.arange(len(token)) + 2 * number + 1] = token
-    out[first] = m + SHAPES + 1
-    out[words.first[1:] + 2 * np.arange(docs) + 1] = m + SHAPES
-    return out, first
-
-
-def _bigrams(texts: DataFrame, core) -> DataFrame:
-    """(a, b, n): how often token b follows token a in training texts."""
+def _bigrams(coded: DataFrame, m: int) -> DataFrame:
+    """(a, b, n): how often token b follows token a in the rows of ``tokens``, of which the first ``m`` are words."""
+    kinds = m + SHAPES + 2
 
     def run(batches):
-        own, sums = core.value, _Sums()
-        kinds = len(own.words) + SHAPES + 2
+        sums = _Sums()
 
         def out():
             keys, n = sums.merged()
             return pa.RecordBatch.from_arrays([pa.array((keys // kinds).astype(np.int32)), pa.array((keys % kinds).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
 
         for batch in batches:
-            for _, _, words in word_batches(batch.column(0)):
-                token, first = _sequence(words, own)
-                inner = np.ones(len(token), bool)
-                inner[first] = False
-                inner[0] = False
-                b = np.flatnonzero(inner)
-                sums.add(*np.unique(token[b - 1] * kinds + token[b], return_counts=True))
-                if sums.size > 2 * _HELD:
-                    sums.merged()
-                    if sums.size > _HELD:
-                        yield out()
-                        sums = _Sums()
+            token, first = _flat(batch.column(0))
+            if not len(token):
+                continue
+            inner = np.ones(len(token), bool)
+            inner[first] = False
+            b = np.flatnonzero(inner)
+            sums.add(*np.unique(token[b - 1] * kinds + token[b], return_counts=True))
+            if sums.size > 2 * _HELD:
+                sums.merged()
+                if sums.size > _HELD:
+                    yield out()
+                    sums = _Sums()
         if sums.parts:
             yield out()
 
-    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return coded.select("__tokens").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all rows, first of each row)."""
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), offsets[:-1] - offsets[0]
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -202,20 +171,30 @@ def best_class(left: np.ndarray, right: np.ndarray, own: int, table: np.ndarray,
 
     ``table`` has the bigram counts of all classes with the word in its ``own`` class.
     """
-    t = table.astype(float)
-    t[own, :] -= right
-    t[:, own] -= left
-    t = np.maximum(t, 0)
-    rows, cols = t.sum(axis=1)[:classes], t.sum(axis=0)[:classes]
-    gain = (_phi(t[:classes] + right) - _phi(t[:classes])).sum(axis=1) + (_phi(t[:, :classes].T + left) - _phi(t[:, :classes].T)).sum(axis=1)
+    # Only classes beside the word count; a word beside itself is in both of its counts.
+    r, l = np.flatnonzero(right), np.flatnonzero(left)  # noqa: E741
+    twice = max(0, right[own] + left[own] - table[own, own])
+    rows, cols = table.sum(axis=1).astype(float), table.sum(axis=0).astype(float)
+    rows -= left
+    cols -= right
+    rows[own] += twice - right.sum()
+    cols[own] += twice - left.sum()
+    rows, cols = rows[:classes], cols[:classes]
+    after, before = table[:classes][:, r].astype(float), table[l][:, :classes].T.astype(float)
+    after[own] -= right[r]
+    after[:, r == own] -= left[:classes, None]
+    before[own] -= left[l]
+    before[:, l == own] -= right[:classes, None]
+    after, before = np.maximum(after, 0), np.maximum(before, 0)
+    gain = (_phi(after + right[r]) - _phi(after)).sum(axis=1) + (_phi(before + left[l]) - _phi(before)).sum(axis=1)
     gain -= _phi(rows + right.sum()) - _phi(rows) + _phi(cols + left.sum()) - _phi(cols)
     top = int(gain.argmax())
     return top if gain[top] > gain[own] + 1e-9 else own
 
 
-def _class_of(core: Core) -> np.ndarray:
-    """Class of every token: those of the core, then one for each shape, the end and the start."""
-    return np.concatenate([core.classes, CLASSES + np.arange(SHAPES + 2)])
+def _class_of(classes: np.ndarray) -> np.ndarray:
+    """Class of every token: those of the words, then one for each shape, the end and the start."""
+    return np.concatenate([classes, CLASSES + np.arange(SHAPES + 2)]).astype(np.uint8)
 
 
 def _class_table(bigrams: DataFrame, class_of) -> np.ndarray:
@@ -225,7 +204,7 @@ def _class_table(bigrams: DataFrame, class_of) -> np.ndarray:
         own, size = class_of.value, CLASSES + SHAPES + 2
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            code = own[batch.column(0).to_numpy()] * size + own[batch.column(1).to_numpy()]
+            code = own[batch.column(0).to_numpy()].astype(np.int64) * size + own[batch.column(1).to_numpy()]
             total += np.bincount(code, weights=batch.column(2).to_numpy(), minlength=size * size).astype(np.int64)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["code", "n"])
@@ -237,19 +216,24 @@ def _class_table(bigrams: DataFrame, class_of) -> np.ndarray:
     return table.reshape(size, size)
 
 
-def _exchange(bigrams: DataFrame, core: Core, rounds: int) -> Core:
-    """The core after some rounds; in each, every second word may move to its best class."""
+def _exchange(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Classes after half rounds; in each, every second word may move to its best class, until the likelihood hardly gains."""
     sc = bigrams.sparkSession.sparkContext
-    m, size = len(core.words), CLASSES + SHAPES + 2
-    for turn in range(rounds):
-        class_of = sc.broadcast(_class_of(core))
+    m, size = len(classes), CLASSES + SHAPES + 2
+    reached: list[float] = []
+    while m:
+        class_of = sc.broadcast(_class_of(classes))
         table = sc.broadcast(_class_table(bigrams, class_of))
+        reached.append(float(_phi(table.value.astype(float)).sum() - sum(_phi(table.value.sum(axis=i).astype(float)).sum() for i in (0, 1))))
+        if len(reached) > 2 and reached[-1] - reached[-3] <= LEAST_GAIN * abs(reached[-1]):
+            break
+        turn = len(reached) - 1
 
         def sides(batches, class_of=class_of, turn=turn):
             for batch in batches:
                 a, b, n = (batch.column(i).to_numpy() for i in range(3))
                 own = class_of.value
-                word, code = np.concatenate([a, b]), np.concatenate([own[b], size + own[a]])
+                word, code = np.concatenate([a, b]), np.concatenate([own[b].astype(np.int64), size + own[a].astype(np.int64)])
                 n = np.tile(n, 2)
                 use = (word < m) & (word % 2 == turn % 2)
                 keys, inverse = np.unique(word[use].astype(np.int64) * 2 * size + code[use], return_inverse=True)
@@ -264,58 +248,27 @@ def _exchange(bigrams: DataFrame, core: Core, rounds: int) -> Core:
                     for x in seen:
                         counts[x["code"]] += x["n"]
                     moved.append(best_class(counts[size:], counts[:size], int(class_of.value[word]), table.value, CLASSES))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(moved, pa.int64())], names=["word", "cls"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(moved, pa.int8())], names=["word", "cls"])
 
         # A word has at most two counts for each class, so its list is bounded.
         lists = bigrams.mapInArrow(sides, "word long, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
         lists = lists.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
-        got = lists.mapInArrow(choose, "word long, cls long").toArrow()
-        classes = core.classes.copy()
-        classes[got["word"].to_numpy()] = got["cls"].to_numpy()
-        core = Core(core.words, core.counts, classes)
-    return core
-
-
-@dataclass
-class Model:
-    """All that scoring needs besides the word counts of a block."""
-
-    core: Core
-    end_count: int
-    tokens: int
-    distinct: int
-    transition: np.ndarray
-    core_emission: np.ndarray
-    shape_tokens: np.ndarray
-    shape_words: np.ndarray
-
-    def score(self, words: Words, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(n_tokens, n_known, base score, score) of each text, with the counts of the ``known`` words in order of hash."""
-        first, docs = words.first, len(words.first) - 1
-        word = words.hashes()
-        spot = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-        c = np.where(known[spot] == word, counts[spot], 0) if len(known) else np.zeros(len(word), np.int64)
-        floor = self.tokens + WORD_SMOOTHING * (self.distinct + 1)
-        base = np.log10((c + WORD_SMOOTHING) / floor)
-        ends = np.log10((self.end_count + WORD_SMOOTHING) / floor)
-        shape, place = shapes(words), self.core.find(word)
-        tail = (c + WORD_SMOOTHING) / (self.shape_tokens[shape] + WORD_SMOOTHING * (self.shape_words[shape] + 1))
-        inside = place >= 0
-        emit = np.log10(np.where(inside, self.core_emission[np.maximum(place, 0)], tail) if len(self.core_emission) else tail)
-        cls = np.where(inside, self.core.classes[np.maximum(place, 0)], CLASSES + shape) if len(self.core.classes) else CLASSES + shape
-        token = np.empty(len(cls) + 2 * docs, np.int64)
-        number = np.repeat(np.arange(docs), np.diff(first))
-        token[np.arange(len(cls)) + 2 * number + 1] = cls
-        begin = first[:-1] + 2 * np.arange(docs)
-        token[begin] = CLASSES + SHAPES + 1
-        token[first[1:] + 2 * np.arange(docs) + 1] = CLASSES + SHAPES
-        move = np.zeros(len(token))
-        move[1:] = self.transition[token[:-1], token[1:]]
-        move[begin] = 0.0
-        of_doc = lambda x: np.bincount(number, weights=x, minlength=docs)
-        steps = np.add.reduceat(move, begin) if docs else np.zeros(0)
-        n = np.diff(first)
-        return n + 1, of_doc(c > 0).astype(np.int64) + int(self.end_count > 0), of_doc(base) + ends, of_doc(emit) + steps
+        got = lists.mapInArrow(choose, "word int, cls byte").toArrow()
+        word, chosen = got["word"].to_numpy(), got["cls"].to_numpy().astype(np.uint8)
+        classes = classes.copy()
+        classes[word] = chosen
+        class_of.unpersist()
+        table.unpersist()
+    return classes
+
+
+def _numbered(vocabulary: DataFrame) -> tuple[DataFrame, int]:
+    """(word, id) of the words to be clustered, from 0, the most frequent first; and how many there are."""
+    at = written(vocabulary.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("at")), "numbered")
+    sizes = dict(at.groupBy(F.shiftright("at", 33).cast("int")).count().collect())
+    begins = np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)]))).tolist()
+    begin = F.get(F.array(*map(F.lit, begins)), F.shiftright("at", 33).cast("int"))
+    return at.select("word", (begin + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")), begins[-1]
 
 
 def score_texts(docs: DataFrame, trains: str, text: str = "text") -> DataFrame:
@@ -335,39 +288,65 @@ def score_texts(docs: DataFrame, trains: str, text: str = "text") -> DataFrame:
     end_count = held.where("__trains").count()
     sizes = vocabulary.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = (sizes[0] or 0) + end_count, sizes[1] + (end_count > 0)
-    least = max(2, CORE_SHARE * tokens)
-    top = vocabulary.where(F.col("n") >= least).select("word", "n").toArrow()
-    order = np.argsort(top["word"].to_numpy().view(np.uint64))
-    counts = top["n"].to_numpy()[order]
-    rank = np.empty(len(counts), np.int64)
-    rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
-    core = Core(top["word"].to_numpy().view(np.uint64)[order], counts, rank % CLASSES)
-    bigrams = written(_bigrams(held.where("__trains").select("__text"), spark.sparkContext.broadcast(core)), "bigrams")
-    core = _exchange(bigrams, core, ROUNDS)
-    table = _class_table(bigrams, spark.sparkContext.broadcast(_class_of(core))).astype(float)
+    numbers, m = _numbered(vocabulary)
+    shaped = {r[0]: (r[1], r[2]) for r in vocabulary.where(F.col("n") < LEAST_COUNT).groupBy("shape").agg(F.sum("n"), F.count("*")).collect()}
+    shape_tokens, shape_words = (np.array([shaped.get(s, (0, 0))[i] for s in range(SHAPES)], float) for i in (0, 1))
+    known = words.select("block", "word").join(vocabulary.select("word", "n").join(numbers, "word", "left"), "word")
+    floor = tokens + WORD_SMOOTHING * (distinct + 1)
+    end_score = float(np.log10((end_count + WORD_SMOOTHING) / floor))
+
+    def code(texts, counted):
+        known_word = counted["word"].to_numpy().view(np.uint64)
+        order = np.argsort(known_word)
+        known_word, n, ids = known_word[order], counted["n"].to_numpy()[order], counted["id"].fill_null(-1).to_numpy()[order]
+        out = [[], [], [], [], []]
+        for _, _, w in word_batches(texts["__text"]):
+            docs, word, shape = len(w.first) - 1, w.hashes(), shapes(w)
+            spot = np.minimum(np.searchsorted(known_word, word), max(0, len(known_word) - 1))
+            there = known_word[spot] == word if len(known_word) else np.zeros(len(word), bool)
+            c, place = (np.where(there, x[spot] if len(x) else 0, other) for x, other in ((n, 0), (ids, -1)))
+            tail = (c + WORD_SMOOTHING) / (shape_tokens[shape] + WORD_SMOOTHING * (shape_words[shape] + 1))
+            number = np.repeat(np.arange(docs), np.diff(w.first))
+            of_doc = lambda x, number=number, docs=docs: np.bincount(number, weights=x, minlength=docs)
+            token = np.empty(len(word) + 2 * docs, np.int32)
+            begin = w.first[:-1] + 2 * np.arange(docs)
+            token[np.arange(len(word)) + 2 * number + 1] = np.where(place >= 0, place, m + shape)
+            token[begin] = m + SHAPES + 1
+            token[w.first[1:] + 2 * np.arange(docs) + 1] = m + SHAPES
+            emit = np.log10(np.where(place >= 0, np.maximum(c, 1), tail))
+            columns = np.diff(w.first) + 1, of_doc(c > 0).astype(np.int64) + int(end_count > 0), of_doc(np.log10((c + WORD_SMOOTHING) / floor)) + end_score, of_doc(emit)
+            for column, value in zip(out, columns, strict=False):
+                column.append(value)
+            out[4].append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(token)).astype(np.int32)), pa.array(token)))
+        numeric = [np.concatenate(c) if c else np.zeros(0) for c in out[:4]]
+        fresh = [pa.array(numeric[0].astype(np.int64)), pa.array(numeric[1].astype(np.int64)), *(pa.array(x, pa.float64()) for x in numeric[2:])]
+        return pa.table([*(texts[c] for c in kept), texts["__trains"], *fresh, pa.chunked_array(out[4], pa.list_(pa.int32()))], names=[*kept, *made])
+
+    made = ["__trains", "n_tokens", "n_known", "base_score", "__emitted", "__tokens"]
+    kept_schema = "".join(f"`{c}` {held.schema[c].dataType.simpleString()}, " for c in kept)
+    coded = held.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(code, kept_schema + "__trains boolean, n_tokens long, n_known long, base_score double, __emitted double, __tokens array<int>")
+    coded = written(coded, "coded")
+    bigrams = written(_bigrams(coded.where("__trains"), m), "bigrams")
+    classes = _exchange(bigrams, (np.arange(m) % CLASSES).astype(np.uint8))
+    class_of = spark.sparkContext.broadcast(_class_of(classes))
+    table = _class_table(bigrams, class_of).astype(float)
     arrivals = table.sum(axis=0)
     prior = (arrivals + 0.5) / (arrivals + 0.5).sum()
     transition = np.log10((table + TRANSITION_WEIGHT * prior) / (table.sum(axis=1, keepdims=True) + TRANSITION_WEIGHT))
-    by_class = np.bincount(core.classes, weights=core.counts, minlength=CLASSES)
-    shaped = {r[0]: (r[1], r[2]) for r in vocabulary.where(F.col("n") < least).groupBy("shape").agg(F.sum("n"), F.count("*")).collect()}
-    model = Model(core, end_count, tokens, distinct, transition, core.counts / by_class[core.classes], *(np.array([shaped.get(s, (0, 0))[i] for s in range(SHAPES)], float) for i in (0, 1)))
-    shared = spark.sparkContext.broadcast(model)
-    known = words.select("block", "word").join(vocabulary.select("word", "n"), "word")
-
-    def scored(texts, counted):
-        own = shared.value
-        word = counted["word"].to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        n = counted["n"].to_numpy()[order]
-        word = word[order]
-        out = [[], [], [], []]
-        for _, _, w in word_batches(texts["__text"]):
-            for column, value in zip(out, own.score(w, word, n), strict=True):
-                column.append(value)
-        joined = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        perplexity = 10 ** np.minimum(300, -joined[3] / np.maximum(1, joined[0]))
-        fresh = [joined[0].astype(np.int64), joined[1].astype(np.int64), np.full(len(joined[0]), own.tokens, np.int64), joined[2], joined[3], perplexity]
-        return pa.table([*(texts[c] for c in kept), *map(pa.array, fresh)], names=kept + new)
+    # A word's count within its class: the counts are in what was emitted, the class's own belongs to each arrival.
+    transition[:, :CLASSES] -= np.log10(np.maximum(1, arrivals[:CLASSES]))
 
-    schema = "".join(f"`{c}` {held.schema[c].dataType.simpleString()}, " for c in kept) + "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return held.drop("__trains").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, schema)
+    def scored(batches):
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            token, begin = _flat(column["__tokens"])
+            cls = class_of.value[token]
+            move = np.zeros(len(cls))
+            move[1:] = transition[cls[:-1], cls[1:]]
+            move[begin] = 0.0
+            score = column["__emitted"].to_numpy() + (np.add.reduceat(move, begin) if len(begin) else np.zeros(0))
+            perplexity = 10 ** np.minimum(300, -score / np.maximum(1, column["n_tokens"].to_numpy()))
+            fresh = [column["n_tokens"], column["n_known"], pa.array(np.full(len(score), tokens, np.int64)), column["base_score"], pa.array(score), pa.array(perplexity)]
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in kept), *fresh], names=kept + new)
+
+    return coded.mapInArrow(scored, kept_schema + "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
