@@ -4,9 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontamination, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain
-from veilspark.llm.queries import PIECE_MODEL
-from veilspark.llm.store import table, written
+from maskworks.llm import decontamination, line_dedup, ngram_join, sentencepiece_codec, toxicity_chain
+from maskworks.llm.queries import PIECE_MODEL
+from maskworks.llm.store import table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

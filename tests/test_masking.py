@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.functions import grammar, languages, links, secrets
-from veilspark.operators import anonymize as masking
-from veilspark.operators import identifiers, legend, manual, restore
-from veilspark.operators.rules import Rule
+from maskworks.functions import grammar, languages, links, secrets
+from maskworks.operators import anonymize as masking
+from maskworks.operators import identifiers, legend, manual, restore
+from maskworks.operators.rules import Rule
 
 #: A sample of each language: code, words that stay, words that go.
 SAMPLES = {

@@ -4,7 +4,7 @@ import pytest
 from oracle import assert_same
 
 import __spark_entry__
-from veilspark.plans import registered
+from maskworks.plans import registered
 
 
 @pytest.mark.parametrize("name", sorted(registered.ORACLE_SQL))

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import anonymize as masking
-from veilspark.operators import restore
-from veilspark.sources import mapstore
-from veilspark.streaming.session import mask_stream
+from maskworks.operators import anonymize as masking
+from maskworks.operators import restore
+from maskworks.sources import mapstore
+from maskworks.streaming.session import mask_stream
 
 WORD = "-".join(["quiet", "harbour", "morning"])
 
