@@ -15,8 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import assert_same  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from veilspark.llm import class_lm, embedding_tiles, line_dedup, ngram_join, queries, warc  # noqa: E402
-from veilspark.llm.components import components  # noqa: E402
+from maskworks.llm import class_lm, embedding_tiles, line_dedup, ngram_join, queries, warc  # noqa: E402
+from maskworks.llm.components import components  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontamination, language_bloom, license_scan, queries, sentencepiece_codec, textkit, toxicity_chain
-from veilspark.llm.license_rules import rules
+from maskworks.llm import decontamination, language_bloom, license_scan, queries, sentencepiece_codec, textkit, toxicity_chain
+from maskworks.llm.license_rules import rules
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (None, "  \n\t ", None), (4, "Ab ▁ é　日本 <unk></s> \x00😀", "z"), (5, "word " * 30_000, "z"), (6, "x" * 70_000, None)]
