@@ -16,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
 from .textkit import Words, mix, slices, utf8
 
-#: Labelled rows that the models are fitted on at most, half of them toxic; chosen by hash of the key, weighted back.
+#: Labelled keys that the models are fitted on at most, half of them toxic; chosen by hash of the key, weighted back.
 SAMPLE_ROWS = 8192
 #: Features that one model keeps at most, those that tell most about its category.
 FEATURES = 4096
+#: Features of rows that a task holds before it passes their counts on.
+HELD = 4_000_000
 FOLDS = 4
 ROUNDS = 150
 RIDGE = 0.3
@@ -85,7 +88,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, earlier: np.ndarray, target: np.ndarray, weight: np.ndarray) -> Linear:
+def fit_linear(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, earlier: np.ndarray, target: np.ndarray, weight: np.ndarray, most: int = FEATURES) -> Linear:
     """A ridge logistic regression on the rows of positive weight, by accelerated gradient descent."""
     used = weight > 0
     total = weight.sum()
@@ -98,7 +101,7 @@ def fit_linear(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, earli
     positive = np.bincount(f, weights=(weight * target)[d], minlength=len(distinct))
     told = (positive - there * rate) ** 2 / (there + 1)
     told[np.bincount(f, minlength=len(distinct)) < 3] = 0
-    picked = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
+    picked = np.sort(np.argsort(-told, kind="stable")[:most])
     picked = picked[told[picked] > 0]
     place = np.full(len(distinct), -1)
     place[picked] = np.arange(len(picked))
@@ -121,17 +124,17 @@ def fit_linear(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, earli
     return Linear(distinct[picked], w, e, float(bias))
 
 
-def fit_chain(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, targets: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[Linear]:
+def fit_chain(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, targets: np.ndarray, weight: np.ndarray, fold: np.ndarray, most: int = FEATURES) -> list[Linear]:
     """One final model for each category; every later one has seen out-of-fold probabilities of the earlier ones."""
     n, chain = len(weight), []
     outside = np.zeros((n, 0))
     for k in range(targets.shape[1]):
-        chain.append(fit_linear(feature, doc, distinct, outside, targets[:, k], weight))
+        chain.append(fit_linear(feature, doc, distinct, outside, targets[:, k], weight, most))
         if k + 1 == targets.shape[1]:
             break
         p = np.zeros(n)
         for j in range(FOLDS):
-            part = fit_linear(feature, doc, distinct, outside, targets[:, k], np.where(fold == j, 0.0, weight))
+            part = fit_linear(feature, doc, distinct, outside, targets[:, k], np.where(fold == j, 0.0, weight), most)
             place = np.searchsorted(part.features, distinct)
             place = np.where((place < len(part.features)) & (part.features[np.minimum(place, max(0, len(part.features) - 1))] == distinct) if len(part.features) else False, place, -1)
             held = place[feature] >= 0
@@ -141,54 +144,131 @@ def fit_chain(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, target
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[Linear]:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = FEATURES) -> list[Linear]:
     """The chain, from rows of ``labels`` (key, quality, toxic) that have a text in ``docs``.
 
-    Fitted in one task on at most ``SAMPLE_ROWS`` labelled rows; several labels of a key count as their
-    largest toxicity and smallest quality, null labels not at all. The driver gets the models alone.
+    Fitted on at most ``SAMPLE_ROWS`` labelled keys, those of the smallest hashes, toxic and other ones apart.
+    Several labels of a key count as their largest toxicity and smallest quality, null labels not at all; of
+    several texts of a key the smallest one counts. Features are counted by fold and class in Spark; the one
+    task that fits gets, for each row, the numbers of those features alone that some model of the chain
+    keeps, at most ``most`` a model. Without a labelled text every category has a model that says no.
+    The driver gets those features and the models.
     """
-    known = labels.where("quality is not null and toxic is not null").groupBy(key).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    known = known.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(1 << 20)))
-    sizes = {r[0] > 0: r[1] for r in known.groupBy(F.expr("toxic > 0").cast("int").alias("t")).count().collect()}
-    half = SAMPLE_ROWS // 2
-    shares = {t: min(1.0, 0.95 * half / max(1, n)) if n > half else 1.0 for t, n in sizes.items()}
-    chosen = None
-    for toxic, share in shares.items():
-        part = known.where((F.col("toxic") > 0) == toxic).where(F.col("__at") < int(share * (1 << 20))).limit(half).withColumn("__weight", F.lit(1 / share))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    known = labels.where("quality is not null and toxic is not null").groupBy(F.col(f"`{key}`").alias("key")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    known = known.where("key is not null").select("key", F.expr("toxic > 0").alias("toxic"), F.expr("quality <= 0").alias("low"))
+    half, hashed = SAMPLE_ROWS // 2, (F.xxhash64("key"), "key")
+    chosen = known.where("toxic").orderBy(*hashed).limit(half).unionByName(known.where("not toxic").orderBy(*hashed).limit(half))
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("key", "toxic", "low").agg(F.min("text").alias("text"))
+    fold = F.pmod(F.crc32(F.col("key").cast("string")), F.lit(FOLDS)).cast("int")
+    sample = written(rows.select("text", (fold * 4 + F.col("low").cast("int") * 2 + F.col("toxic").cast("int")).alias("slot")).repartition(16), "labelled")
+    whole = dict(known.groupBy(F.col("toxic").cast("int").alias("t")).count().collect())
+    had = dict(sample.groupBy("slot").count().collect())
+    if not had:
         return fit_chain(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(CATEGORIES))), np.zeros(0), np.zeros(0))
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), key)
-    rows = rows.select("__text", "toxic", "quality", "__weight", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(FOLDS)).cast("int").alias("fold"))
-    # Copies of a key's document can make it more rows; the bound holds for rows.
-    fitted = rows.repartition(8).mapInArrow(_featured, "features binary, toxic int, quality int, weight double, fold int").limit(SAMPLE_ROWS).repartition(1)
-    return pickle.loads(fitted.mapInArrow(_fitted, "model binary").first()[0])
+    weights = np.array([max(1.0, whole.get(s % 2, 0) / half) for s in range(4 * FOLDS)])
+    size = np.array([had.get(s, 0) for s in range(4 * FOLDS)], float)
+    per_slot = [F.sum(F.when(F.col("slot") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(len(size))]
+    counts = sample.mapInArrow(_counted, "feature long, slot int, n int").groupBy("feature").agg(*per_slot)
+    counts = written(counts.where(sum((F.col(f"n{s}") for s in range(len(size))), F.lit(0)) >= 3), "features")
+    best = counts.mapInArrow(_telling(size, weights, most), "model int, told double, feature long")
+    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("told"), F.col("feature") < 0, "feature"))
+    kept = best.withColumn("rank", rank).where(F.col("rank") <= most).select("feature").distinct().toArrow()["feature"].to_numpy()
+    distinct = np.sort(kept.view(np.uint64))
+    found = sample.mapInArrow(_placed(distinct), "places binary, slot int").repartition(1)
+    fitted = found.mapInArrow(_fitted(distinct, weights, most), "model binary").collect()
+    return pickle.loads(fitted[0][0])
+
+
+def _target(slot: np.ndarray) -> np.ndarray:
+    """What the rows of a slot say on each category."""
+    toxic, low = slot % 2 > 0, slot // 2 % 2 > 0
+    return np.column_stack([low, toxic, toxic & low]).astype(float).reshape(-1, len(CATEGORIES))
+
+
+def _counted(batches):
+    """(feature, slot, rows that have it) of batches (text, slot)."""
+    held, size = [], 0
+
+    def out():
+        feats, slot = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((slot, feats))
+        feats, slot = feats[order], slot[order]
+        first = np.flatnonzero(np.concatenate(([True], (feats[1:] != feats[:-1]) | (slot[1:] != slot[:-1]))))
+        n = np.diff(np.append(first, len(feats))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(feats[first].view(np.int64)), pa.array(slot[first]), pa.array(n)], names=["feature", "slot", "n"])
 
-
-def _featured(batches):
     for batch in batches:
-        made = []
-        for a, b, feats, doc in feature_batches(batch.column(0)):
+        slots = batch.column(1).to_numpy()
+        for a, _, feats, doc in feature_batches(batch.column(0)):
             feats, doc = _levels(feats, doc)
-            order = np.argsort(doc, kind="stable")
-            cuts = np.searchsorted(doc[order], np.arange(1, b - a))
-            made += [x.tobytes() for x in np.split(feats[order], cuts)]
-        toxic, quality = (batch.column(i).cast(pa.int32()) for i in (1, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), toxic, quality, batch.column(3), batch.column(4)], names=["features", "toxic", "quality", "weight", "fold"])
-
-
-def _fitted(batches):
-    got = pa.Table.from_batches(list(batches), pa.schema([("features", pa.binary()), ("toxic", pa.int32()), ("quality", pa.int32()), ("weight", pa.float64()), ("fold", pa.int32())]))
-    own = [np.frombuffer(x, np.uint64) for x in got["features"].to_pylist()]
-    feats = np.concatenate([np.zeros(0, np.uint64), *own])
-    doc = np.repeat(np.arange(len(own)), [len(x) for x in own]) if own else np.zeros(0, np.int64)
-    distinct, feature, seen = np.unique(feats, return_inverse=True, return_counts=True)
-    often = seen[feature] >= 3
-    place = np.cumsum(seen >= 3) - 1
-    toxic, low = got["toxic"].to_numpy() > 0, got["quality"].to_numpy() <= 0
-    targets = np.column_stack([low, toxic, toxic & low]).astype(float).reshape(-1, len(CATEGORIES))
-    chain = fit_chain(place[feature[often]], doc[often], distinct[seen >= 3], targets, got["weight"].to_numpy(), got["fold"].to_numpy())
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
+            held.append((feats, slots[a + doc]))
+            size += len(feats)
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+    if size:
+        yield out()
+
+
+def _telling(size: np.ndarray, weights: np.ndarray, most: int):
+    """Of batches (feature, rows by slot) those features that tell most, for each category and each left-out fold or none."""
+    slot = np.arange(len(size))
+    target = _target(slot)
+    models = [(k, np.where(slot // 4 == j, 0.0, weights)) for k in range(len(CATEGORIES)) for j in range(-1, FOLDS)]
+
+    def run(batches):
+        tops = [(np.zeros(0), np.zeros(0, np.int64)) for _ in models]
+        for batch in batches:
+            feature = batch.column(0).to_numpy()
+            n = np.column_stack([batch.column(1 + s).to_numpy() for s in range(len(size))]).astype(float)
+            for m, (k, weight) in enumerate(models):
+                rate = (size * weight * target[:, k]).sum() / max(1e-300, (size * weight).sum())
+                there, positive = n @ weight, n @ (weight * target[:, k])
+                told = (positive - there * rate) ** 2 / (there + 1)
+                good = np.flatnonzero((n @ (weight > 0) >= 3) & (told > 0))
+                told, own = np.concatenate([tops[m][0], told[good]]), np.concatenate([tops[m][1], feature[good]])
+                order = np.lexsort((own.view(np.uint64), -told))[:most]
+                tops[m] = told[order], own[order]
+        for m, (told, own) in enumerate(tops):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), m, np.int32)), pa.array(told), pa.array(own)], names=["model", "told", "feature"])
+
+    return run
+
+
+def _placed(distinct: np.ndarray):
+    """Batches (text, slot) as (places in ``distinct`` of the row's features, slot)."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for a, b, feats, doc in feature_batches(batch.column(0)):
+                feats, doc = _levels(feats, doc)
+                place = np.minimum(np.searchsorted(distinct, feats), max(0, len(distinct) - 1))
+                same = distinct[place] == feats if len(distinct) else np.zeros(len(feats), bool)
+                place, doc = place[same].astype(np.int32), doc[same]
+                order = np.argsort(doc, kind="stable")
+                made += [x.tobytes() for x in np.split(place[order], np.searchsorted(doc[order], np.arange(1, b - a)))]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], names=["places", "slot"])
+
+    return run
+
+
+def _fitted(distinct: np.ndarray, weights: np.ndarray, most: int):
+    """The pickled chain of all rows (places, slot)."""
+
+    def run(batches):
+        places, slots = [], []
+        for batch in batches:
+            places.append((np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), pc.binary_length(batch.column(0)).to_numpy() // 4))
+            slots.append(batch.column(1).to_numpy())
+        if places:
+            feature, length, slot = np.concatenate([p for p, _ in places]), np.concatenate([n for _, n in places]), np.concatenate(slots)
+            doc = np.repeat(np.arange(len(slot), dtype=np.int32), length)
+            chain = fit_chain(feature, doc, distinct, _target(slot), weights[slot], slot // 4, most)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
+
+    return run
 
 
 def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

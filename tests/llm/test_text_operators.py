@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+import zlib
+from collections import Counter
 from re import _constants as codes
 from re import _parser as parser
 
@@ -190,6 +193,64 @@ def test_classifier_chain_learns_toxic_words(spark, odd):
     none = toxicity_chain.train(docs, labels.limit(0))
     assert not any(x["rejected"] for x in toxicity_chain.score(docs, spark.sparkContext.broadcast(none)).collect())
 
+def _plain_features(text: str) -> Counter:
+    low = text.lower().encode()
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", low)
+    return Counter([(0, w) for w in words] + [(p, w[:p]) for w in words for p in toxicity_chain.PREFIXES])
+
+
+def test_chain_equals_one_fitted_on_all_features(spark):
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(150)]
+    rows = []
+    for i in range(500):
+        toxic, low = int(r.random() < 0.3), int(r.random() < 0.4)
+        own = [r.choice(words[40 * toxic : 40 * toxic + 60] + words[100 + 20 * low : 120 + 20 * low]) for _ in range(r.randint(0, 30))]
+        rows.append((i, " ".join(own), 1 - low, toxic))
+    docs = spark.createDataFrame([(a, b) for a, b, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, q, t) for a, _, q, t in rows if a < 400], "doc_id long, quality int, toxic int")
+    chain = toxicity_chain.train(docs, labels, most=40)
+    got = {x["doc_id"]: x for x in toxicity_chain.score(docs, spark.sparkContext.broadcast(chain)).collect()}
+    feats, doc = [], []
+    for a, _, f, d in toxicity_chain.feature_batches(pa.array([t for i, t, _, _ in rows])):
+        f, d = toxicity_chain._levels(f, d)
+        feats.append(f)
+        doc.append(a + d)
+    feats, doc = np.concatenate(feats), np.concatenate(doc)
+    distinct, column = np.unique(feats, return_inverse=True)
+    taught = doc < 400
+    low, toxic = np.array([q <= 0 for _, _, q, _ in rows[:400]]), np.array([t > 0 for _, _, _, t in rows[:400]])
+    fold = np.array([zlib.crc32(str(i).encode()) % toxicity_chain.FOLDS for i in range(400)])
+    whole = toxicity_chain.fit_chain(column[taught], doc[taught], distinct, np.column_stack([low, toxic, toxic & low]).astype(float), np.ones(400), fold, 40)
+    p = np.zeros((500, 3))
+    for k, model in enumerate(whole):
+        place = {f: w for f, w in zip(model.features.tolist(), model.weights, strict=True)}
+        z = np.full(500, model.bias) + p[:, :k] @ model.earlier
+        for f, d in zip(feats.tolist(), doc, strict=True):
+            z[d] += place.get(f, 0.0)
+        p[:, k] = 1 / (1 + np.exp(-z))
+    for i, text, _, _ in rows:
+        want = p[i] if text else np.zeros(3)
+        assert np.allclose([got[i]["p_low_quality"], got[i]["p_toxic"], got[i]["p_toxic_low_quality"]], want, atol=1e-6), i
+        assert got[i]["rejected"] == (want[1] >= toxicity_chain.THRESHOLD)
+
+
+def test_features_are_words_beginnings_and_shares():
+    texts = ["Abcdefgh abc", "", None, "x, y! Z", "ÄÖ äö word word"]
+    for a, b, feats, doc in toxicity_chain.feature_batches(pa.array(texts)):
+        for i in range(a, b):
+            assert len(feats[doc == i - a]) == sum(_plain_features(texts[i] or "").values()) + 2
+
+
+def test_classifier_without_labelled_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (2, "c d"), (2, "c d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 0, 1), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    for d, known in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs, labels.where("doc_id = 7")), (docs.withColumn("text", F.lit(None).cast("string")), labels), (docs, labels)):
+        chain = toxicity_chain.train(d, known)
+        assert len(chain) == 3
+        out = toxicity_chain.score(docs, spark.sparkContext.broadcast(chain)).collect()
+        assert len(out) == 5 and not any(x["rejected"] for x in out if x["text"] is None)
+
 
 def _distance(pattern: bytes, text: bytes) -> int:
     row = [0] * (len(text) + 1)
@@ -237,3 +298,28 @@ def test_decontamination_of_odd_rows_and_in_passes(spark, odd, monkeypatch):
     assert many == one
     assert decontamination.find_leaks(docs, benchmark.limit(0)).where("size(leaks) > 0").count() == 0
     assert decontamination.find_leaks(docs.limit(0), benchmark).count() == 0
+
+
+def test_license_findings_take_linear_time():
+    one = b"licensed under the apache license version 2 0 and the mit license "
+    took = []
+    for n in (500, 4000):
+        norm = b" " + one * n
+        began = time.perf_counter()
+        base, kept = license_scan.detect(norm)
+        took.append(time.perf_counter() - began)
+        assert len(kept) == 2 * n and len(base) == n
+    assert took[1] < 30 * took[0]
+
+
+def test_containment_matches_brute_force():
+    r = random.Random(11)
+    for _ in range(200):
+        spans = [(a, a + r.randint(1, 12)) for a in (r.randrange(30) for _ in range(25))]
+        own, plain = license_scan._Intervals([a for a, _ in spans]), []
+        for a, b in spans:
+            covered = any(x <= a and b <= y for x, y in plain)
+            assert own.covers(a, b) == covered
+            if not covered:
+                own.add(a, b)
+                plain.append((a, b))
