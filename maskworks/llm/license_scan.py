@@ -7,10 +7,12 @@ base phrases are never suppressed.
 """
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,20 +71,43 @@ def detect(norm: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
             hits += [(m.start(), m.end(), at, rule) for at, rule, pattern in gated for m in pattern.finditer(norm)]
     kept: list = []
     for group in _overlapping(hits):
-        own: list = []
+        own = _Intervals([h[0] for h in group])
         for a, b, _, rule in sorted(group, key=lambda h: (h[3].priority, h[0] - h[1], h[2], h[0])):
-            if not any(x <= a and b <= y for x, y, _, _ in own):
-                own.append((a, b, rule.label, rule.confidence))
-        kept += own
+            if not own.covers(a, b):
+                own.add(a, b)
+                kept.append((a, b, rule.label, rule.confidence))
     return sorted(base), sorted(kept)
 
 
+class _Intervals:
+    """Intervals that begin at known places, asked whether one of them covers another; each step takes logarithmic time."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.furthest = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, stop: int) -> None:
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.furthest):
+            self.furthest[i] = max(self.furthest[i], stop)
+            i += i & -i
+
+    def covers(self, start: int, stop: int) -> bool:
+        i = bisect_right(self.starts, start)
+        while i:
+            if self.furthest[i] >= stop:
+                return True
+            i -= i & -i
+        return False
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, plus the findings of each row.
 
     New columns: ``n_words``, ``base`` and ``found`` (arrays of structs of word interval and label; ``found``
     also has a confidence), ``score`` (the largest confidence, 1.0 for a base phrase, 0.0 without a finding).
-    Null and empty texts have no words and no findings. Rows are handled one by one: repeated rows, ties,
+    Null and empty texts have no words and no findings; very long ones take time in proportion to their
+    length and findings. Rows are handled one by one: repeated rows, ties,
     null keys and empty tables need no care. Columns with one of the new names are replaced.
     """
     made = "n_words long, base array<struct<start:long,stop:long,label:string>>, found array<struct<start:long,stop:long,label:string,confidence:double>>, score double"
@@ -98,7 +123,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             for i in range(len(texts)):
                 norm, n_words = normal_form(texts[i].as_py())
                 base, found = detect(norm)
-                word = lambda at, norm=norm: norm.count(b" ", 0, at) - 1
+                spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32) if base or found else None
+                word = lambda at, spaces=spaces: int(np.searchsorted(spaces, at)) - 1
                 out[0].append(n_words)
                 out[1].append([{"start": word(a), "stop": word(b) + 1, "label": label} for a, b, label in base])
                 out[2].append([{"start": word(a), "stop": word(b) + 1, "label": label, "confidence": c} for a, b, label, c in found])
