@@ -23,6 +23,8 @@ from .store import fresh_path, written
 
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 4 << 20
+#: Tasks that ranges are dealt to at most; each reads several ranges where there are more.
+READ_TASKS = 20_000
 MIN_REVISIT_BYTES = 100
 MAGIC = b"\x1f\x8b\x08"
 _AHEAD = 1 << 20
@@ -187,7 +189,8 @@ def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int =
 
     Length and digest are computed from the payload of a response and taken from the headers of a
     revisit. Records whose digest header does not fit their payload raise an error. Bytes that are no
-    record are passed over. Without ``payloads`` the payload column is null.
+    record are passed over. Without ``payloads`` the payload column is null. There is a task for each range,
+    up to ``READ_TASKS``; a record longer than a range belongs to the task where it begins, and is held whole.
     """
     cuts = archives.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
     ranges = cuts.select("path", "bytes", "start", F.least(F.col("start") + split_bytes, "bytes").alias("stop"))
@@ -216,7 +219,9 @@ def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int =
                     if out:
                         yield _records(out)
 
-    return ranges.repartition("path", "start").mapInArrow(read, "page_id long, " + RECORDS)
+    # Ranges are rows of a few bytes, so their number and not their size says how many tasks read them.
+    tasks = min(ranges.count(), READ_TASKS) or 1
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, "page_id long, " + RECORDS)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
