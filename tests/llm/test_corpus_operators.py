@@ -143,33 +143,62 @@ def test_language_model_of_odd_rows(spark):
     assert class_lm.score_texts(docs.limit(0), "learn").count() == 0
 
 
-def test_rare_words_are_clustered_in_a_large_corpus(spark, monkeypatch):
+@pytest.mark.parametrize("core", [1 << 13, 60])
+def test_words_outside_the_core_are_classed_by_their_neighbours(spark, core):
     r = random.Random(3)
-    common, rows = [f"c{i}" for i in range(40)], []
+    common, rows = [f"c{i}" for i in range(20)], []
     for i in range(3000):
         # Each rare word occurs five times, always between words of its own kind.
         kind = "ab"[i % 2]
-        rows.append((i, " ".join(x for _ in range(60) for x in (f"{kind}left", r.choice(common), f"{kind}right")) + f" {kind}left {kind}rare{i // 10} {kind}right", True))
+        rows.append((i, " ".join(x for _ in range(60) for x in (f"{kind}left", kind + r.choice(common), f"{kind}right")) + f" {kind}left {kind}rare{i // 10} {kind}right", True))
     held = [(5000 + i, f"{k}left {w}rare{n} {k}right") for i, (k, w, n) in enumerate((k, w, n) for k in "ab" for w in "ab" for n in range(100))]
     docs = spark.createDataFrame([*rows, *((i, t, False) for i, t in held)], "doc_id long, text string, learn boolean")
-    got = {x["doc_id"]: x["score"] - x["base_score"] for x in class_lm.score_texts(docs, "learn").where("doc_id >= 5000").collect()}
+    got = {x["doc_id"]: x["score"] - x["base_score"] for x in class_lm.score_texts(docs, "learn", core_words=core).where("doc_id >= 5000").collect()}
     own = [got[5000 + i] for i in (*range(100), *range(300, 400))]
     other = [got[5000 + i] for i in range(100, 300)]
     assert sum(own) / 200 > sum(other) / 200 + 0.2
 
 
-def test_exchange_groups_words_by_context():
+def test_every_round_gains_and_every_repeated_word_gets_a_class(spark, sf, monkeypatch):
+    seen, exchange, rest = [], class_lm._exchange, class_lm._rest_classes
+    monkeypatch.setattr(class_lm, "_exchange", lambda *a: seen.append(exchange(*a)) or seen[0])
+    monkeypatch.setattr(class_lm, "_rest_classes", lambda *a: seen.append(rest(*a)) or seen[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("learn", F.lit(True))
+    class_lm.score_texts(docs.select("doc_id", "text", "learn"), "learn", core_words=500).count()
+    _, _, reached = seen[0]
+    assert len(reached) > 2 and all(b > a for a, b in zip(reached, reached[1:]))
+    counts = Counter(w for x in docs.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x["text"] or "")))
+    assert seen[1].count() == sum(n >= class_lm.LEAST_COUNT for n in counts.values()) - 500
+
+
+def test_class_gains_match_brute_force():
     import numpy as np
 
-    table = np.zeros((52 + 2, 52 + 2)) + 1.0
-    table[3, 7] = table[7, 3] = 500.0
-    right = np.zeros(54)
-    right[7] = 50.0
-    left = np.zeros(54)
-    left[7] = 50.0
-    table[0] += right
-    table[:, 0] += left
-    assert class_lm.best_class(left, right, 0, table, 48) == 3
+    r = np.random.default_rng(5)
+    codes, words = class_lm.CODES, 30
+    own = r.integers(0, class_lm.CLASSES, words)
+    own[20:] = class_lm.CLASSES + r.integers(0, 4, 10)
+    text = r.integers(0, words, 4000)
+    best = None
+    for w in (0, 7, 25):
+
+        def table(cls, w=w):
+            c = own.copy()
+            c[w] = cls
+            t = np.zeros((codes, codes))
+            np.add.at(t, (c[text[:-1]], c[text[1:]]), 1)
+            return class_lm.likelihood(t)
+
+        # The text has no place where the word stands beside itself; such places count only about.
+        text = text[np.concatenate(([True], (text[1:] != w) | (text[:-1] != w)))]
+        t = np.zeros((codes, codes))
+        np.add.at(t, (own[text[:-1]], own[text[1:]]), 1)
+        behind, front = own[text[1:][text[:-1] == w]], own[text[:-1][text[1:] == w]]
+        parts = class_lm._summed(np.zeros(len(behind) + len(front), np.int64), np.concatenate([behind, codes + front]), np.ones(len(behind) + len(front)))
+        best = class_lm.best_classes(*parts, own[[w]], t, stay=False)[0][0]
+        every = [table(c) for c in range(class_lm.CLASSES)]
+        assert math.isclose(every[best], max(every), rel_tol=1e-9)
+    assert best is not None
 
 
 def test_warc_round_trip_over_small_splits(spark, monkeypatch):
