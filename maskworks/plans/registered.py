@@ -20,8 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file, dealt to all cores when it is in fewer files than there are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(4 * cores)
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +99,7 @@ select v[2] || row_number() over (partition by v[2] order by v[1], length(r) des
 
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guessed programming language of every page."""
-    return _table(spark, sf_dir, "pages").select("page_id", languages.guess(F.col("html")).alias("g")).select("page_id", "g.language", F.col("g.score").cast("int").alias("score"), "g.fallback")
+    return _spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", languages.guess(F.col("html")).alias("g")).select("page_id", "g.language", F.col("g.score").cast("int").alias("score"), "g.fallback")
 
 
 def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
