@@ -1,6 +1,6 @@
 """Masking a stream of documents with one growing symbol map, the way an interactive session does."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,6 +9,11 @@ from ..operators.anonymize import anonymize
 ENTRIES = "scope string, placeholder string, name string, ord int, batch long"
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def mask_stream(docs: DataFrame, scope: str, text: str, out_path: str, map_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Masks each micro-batch with the entries its scope has so far; starts the query and returns it.
 
@@ -20,9 +25,9 @@ def mask_stream(docs: DataFrame, scope: str, text: str, out_path: str, map_path:
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
+        if _there(spark, map_path):
             before = spark.read.schema(ENTRIES).parquet(map_path).where(F.col("batch") < number).drop("batch", "part")
-        except Exception:  # noqa: BLE001  no batch has written yet
+        else:  # no batch has written yet; a map that is there and cannot be read fails the batch
             before = spark.createDataFrame([], ENTRIES).drop("batch")
         held = before.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "name"))).alias("e"))
         held = held.select(F.col("scope").alias("__scope"), F.transform("e", lambda e: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), e["ord"].alias("ord"))).alias("__known"))

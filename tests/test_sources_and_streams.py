@@ -67,3 +67,14 @@ def test_stream_shares_a_growing_map(spark, tmp_path):
     entries = rows.select("scope", F.explode("symbols").alias("e")).select("scope", "e.placeholder", "e.name").distinct()
     assert entries.groupBy("scope", "name").count().where("count > 1").count() == 0
     assert entries.groupBy("scope", "placeholder").count().where("count > 1").count() == 0
+
+
+def test_stream_fails_on_a_map_that_cannot_be_read(spark, tmp_path):
+    source, maps = tmp_path / "in", tmp_path / "maps"
+    spark.createDataFrame([(1, "s", "class AlphaOne {}")], "id int, scope string, text string").write.parquet(str(source / "1"))
+    maps.mkdir()
+    (maps / "part-0.parquet").write_bytes(b"no parquet file")
+    docs = spark.readStream.schema("id int, scope string, text string").parquet(f"{source}/*")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        mask_stream(docs, "scope", "text", str(tmp_path / "out"), str(maps), str(tmp_path / "c")).awaitTermination()
+    assert not (tmp_path / "out").exists()
