@@ -8,6 +8,7 @@ q-grams are counted in overlapping diagonal bands, bands that reach the bound ar
 alignment gives the number of edits.
 """
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .textkit import mix, slices, utf8
 
 Q = 8
-WINDOW = 200
-STRIDE = 100
+WINDOW = 160
+STRIDE = 40
 EDIT_SHARE = 0.1
-#: Normal-form bytes of benchmark that are broadcast at a time; a larger benchmark takes several passes over the documents.
-PASS_BYTES = 16 << 20
+#: Bytes of benchmark whose index is broadcast at a time; a larger benchmark takes several passes over the documents.
+PASS_BYTES = 2 << 20
+#: Shared q-grams that are looked at together; more are split by place and then by window.
+HITS = 2_000_000
 _STEP = 20
 _BLOCK = 2048
+_PIECE = 1 << 20
+_SPAN = WINDOW + int(EDIT_SHARE * WINDOW)
+_CELLS = 1 << 20
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -33,7 +40,7 @@ _LOWER[65:91] += 32
 
 
 def normal_form(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, offsets, place in ``data`` of each byte) of the normal forms of some texts.
+    """(bytes, offsets, which bytes of ``data`` they are) of the normal forms of some texts.
 
     ASCII and Latin-1 letters are lower-cased, which keeps places; other letters stay as they are.
     """
@@ -47,7 +54,19 @@ def normal_form(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     keep[1:] |= word[:-1]
     starts = offsets[:-1][offsets[1:] > offsets[:-1]]
     keep[starts] = word[starts]
-    return low[keep], np.concatenate(([0], np.cumsum(keep)))[offsets], np.flatnonzero(keep)
+    sizes = [np.count_nonzero(keep[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return low[keep], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), keep
+
+
+def places(keep: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places in the text of some bytes of its normal form, without a table of all places."""
+    before = np.concatenate(([0], np.cumsum([np.count_nonzero(keep[a : a + _PIECE]) for a in range(0, len(keep), _PIECE)], dtype=np.int64)))
+    out = np.empty(len(wanted), np.int64)
+    piece = np.searchsorted(before, wanted, "right") - 1
+    for k in np.unique(piece):
+        own = piece == k
+        out[own] = np.flatnonzero(keep[k * _PIECE : (k + 1) * _PIECE])[wanted[own] - before[k]] + k * _PIECE
+    return out
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -64,7 +83,7 @@ class Patterns:
     """The q-gram index of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text, self.edits = [], [], []
+        windows: dict[bytes, set] = {}
         for item, text in items:
             raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
             form = normal_form(np.array([0, len(raw)]), raw)[0]
@@ -73,84 +92,101 @@ class Patterns:
             for at in sorted({*range(0, last, STRIDE), last}):
                 piece = form[at : at + WINDOW]
                 if len(piece) >= Q:
-                    self.item.append(item)
-                    self.text.append(piece)
-                    self.edits.append(min(int(EDIT_SHARE * len(piece)), (len(piece) - Q) // Q))
+                    windows.setdefault(piece.tobytes(), set()).add(item)
+        self.text = list(windows)
+        self.items = [sorted(i, key=lambda x: (x is None, x)) for i in windows.values()]
         self.length = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.array(self.edits, np.int64)
+        self.edits = np.minimum((EDIT_SHARE * self.length).astype(np.int64), (self.length - Q) // Q)
         self.need = self.length - Q + 1 - Q * self.edits
-        own = [grams(t) for t in self.text]
-        keys = np.concatenate([np.zeros(0, np.uint64), *own])
-        pattern = np.repeat(np.arange(len(own)), [len(g) for g in own]) if own else np.zeros(0, np.int64)
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in own)])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(grams(np.frombuffer(t, np.uint8)) for t in self.text)])
+        pattern = np.repeat(np.arange(len(self.text)), self.length - Q + 1)
+        place = np.concatenate([np.zeros(0, np.int16), *(np.arange(n, dtype=np.int16) for n in self.length - Q + 1)])
         order = np.argsort(keys, kind="stable")
-        self.pattern, self.place = pattern[order], place[order]
-        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.place = place[order]
+        self.keys, self.first, rank = np.unique(keys[order], return_index=True, return_inverse=True)
         self.first = np.append(self.first, len(keys))
+        #: Postings by q-gram and window.
+        self.code = rank * max(1, len(self.text)) + pattern[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(mix(self.keys) & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
     def matches(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, start, stop, edits) of the windows found in some texts; places are bytes of ``data``."""
-        form, bounds, origin = normal_form(offsets, data)
+        """(row, item, start, stop, edits) of the windows found in some texts; places are bytes of ``data``.
+
+        What is found where two pieces of a text meet may come twice.
+        """
+        form, bounds, keep = normal_form(offsets, data)
         for row, pattern, diagonal in self._candidates(form, bounds):
-            yield from self._aligned(form, bounds, origin, row, pattern, diagonal)
+            found = list(self._aligned(form, bounds, row, pattern, diagonal))
+            if found:
+                r, p, begin, stop, cost = (np.array(x) for x in zip(*found, strict=True))
+                begin, stop = places(keep, begin), places(keep, stop - 1) + 1
+                for i in range(len(r)):
+                    for item in self.items[p[i]]:
+                        yield int(r[i]), item, int(begin[i]), int(stop[i]), int(cost[i])
 
     def _candidates(self, form: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        g = grams(form)
-        near = np.flatnonzero(self.seen[(mix(g) & np.uint64(0xFFFFF)).astype(np.int64)])
-        if not len(near) or not len(self.keys):
+        """(row, window, diagonal) of bands with enough shared q-grams, piece by piece of the texts.
+
+        Pieces overlap by the longest span a match can have, so each match lies in one of them whole.
+        """
+        for begin in range(0, len(form) if len(self.keys) else 0, _PIECE):
+            g = grams(form[begin : begin + _PIECE + _SPAN])
+            near = np.flatnonzero(self.seen[(mix(g) & np.uint64(0xFFFFF)).astype(np.int64)])
+            if not len(near):
+                continue
+            spot = np.minimum(np.searchsorted(self.keys, g[near]), len(self.keys) - 1)
+            same = self.keys[spot] == g[near]
+            at, spot = near[same] + begin, spot[same]
+            row = np.searchsorted(bounds, at, "right") - 1
+            whole = at + Q <= bounds[row + 1]
+            if whole.any():
+                yield from self._bands(at[whole], spot[whole], row[whole], 0, len(self.text))
+
+    def _bands(self, at: np.ndarray, spot: np.ndarray, row: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """:meth:`_candidates` among places ``at`` for the windows from ``low`` to ``high``, at most about ``HITS`` hits at a time."""
+        windows = len(self.text)
+        begin, end = (np.searchsorted(self.code, spot * windows + w) for w in (low, high)) if (low, high) != (0, windows) else (self.first[spot], self.first[spot + 1])
+        m = end - begin
+        if m.sum() > HITS:
+            if at[-1] - at[0] > 4 * _SPAN:
+                middle = (at[0] + at[-1]) // 2
+                a, b = np.searchsorted(at, middle + _SPAN), np.searchsorted(at, middle)
+                yield from self._bands(at[:a], spot[:a], row[:a], low, high)
+                yield from self._bands(at[b:], spot[b:], row[b:], low, high)
+                return
+            if high - low > 1:
+                middle = (low + high) // 2
+                yield from self._bands(at, spot, row, low, middle)
+                yield from self._bands(at, spot, row, middle, high)
+                return
+        if not m.sum():
+            return
+        posting = np.repeat(begin, m) + np.arange(int(m.sum())) - np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m)
+        place, pattern, hit_row = np.repeat(at, m), self.code[posting] % windows, np.repeat(row, m)
+        # A match lies within two neighbouring blocks of text, so hits of poorer neighbourhoods go first. Blocks share
+        # the cells of a table, which can only raise a count.
+        block = pattern * (int(at[-1]) // _BLOCK + 3) + place // _BLOCK + 1
+        cell = [(mix((block + d).astype(np.uint64)) & np.uint64(_CELLS - 1)).astype(np.int64) for d in (-1, 0, 1)]
+        cells = np.bincount(cell[1], minlength=_CELLS)
+        good = cells[cell[1]] + np.maximum(cells[cell[0]], cells[cell[2]]) >= self.need[pattern]
+        place, pattern, hit_row = place[good], pattern[good], hit_row[good]
+        if not len(place):
             return
-        spot = np.minimum(np.searchsorted(self.keys, g[near]), len(self.keys) - 1)
-        same = self.keys[spot] == g[near]
-        at, spot = near[same], spot[same]
-        row = np.searchsorted(bounds, at, "right") - 1
-        whole = at + Q <= bounds[row + 1]
-        at, spot, row = at[whole], spot[whole], row[whole]
-        many = self.first[spot + 1] - self.first[spot]
-        begin = 0
-        while begin < len(at):  # as many hits at a time as memory likes
-            end = begin + max(1, int(np.searchsorted(np.cumsum(many[begin:]), 4_000_000)))
-            end = self._whole_rows(row, begin, end)
-            part = slice(begin, end)
-            m = many[part]
-            inner = np.arange(int(m.sum())) - np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m)
-            posting = np.repeat(self.first[spot[part]], m) + inner
-            place, pattern = np.repeat(at[part], m), self.pattern[posting]
-            hit_row = np.repeat(row[part], m)
-            # A match lies within two neighbouring blocks of text, so hits of poorer neighbourhoods go first.
-            block = place // _BLOCK - at[begin] // _BLOCK
-            cells = np.bincount(pattern * (int(block.max()) + 2) + block, minlength=len(self.length) * (int(block.max()) + 2)).reshape(len(self.length), -1)
-            beside = np.zeros_like(cells)
-            beside[:, 1:] = cells[:, :-1]
-            beside[:, :-1] = np.maximum(beside[:, :-1], cells[:, 1:])
-            rich = cells + beside >= self.need[:, None]
-            good = rich[pattern, block]
-            place, pattern, hit_row = place[good], pattern[good], hit_row[good]
-            diagonal = place - self.place[posting[good]]
-            band = diagonal // _STEP
-            code = np.concatenate([np.stack([hit_row, pattern, band]), np.stack([hit_row, pattern, band - 1])], axis=1)
-            if code.shape[1]:
-                low = code[2].min()
-                width = int(code[2].max() - low + 1)
-                flat, count = np.unique((code[0] * len(self.length) + code[1]) * width + code[2] - low, return_counts=True)
-                pattern_of = flat // width % len(self.length)
-                enough = count >= self.need[pattern_of]
-                flat, pattern_of = flat[enough], pattern_of[enough]
-                if len(flat):
-                    yield flat // width // len(self.length), pattern_of, (flat % width + low) * _STEP
-            begin = end
-
-    @staticmethod
-    def _whole_rows(row: np.ndarray, begin: int, end: int) -> int:
-        """``end`` moved back to where a row begins, or on to its end when it is the only one."""
-        if end >= len(row):
-            return len(row)
-        back = int(np.searchsorted(row, row[end], "left"))
-        return back if back > begin else int(np.searchsorted(row, row[end], "right"))
-
-    def _aligned(self, form, bounds, origin, row, pattern, diagonal) -> Iterator[tuple[int, int, int, int, int]]:
-        """The candidates whose window aligns with at most its number of edits inside its band, 512 at a time."""
+        diagonal = place - self.place[posting[good]]
+        band = diagonal // _STEP
+        least = int(band.min()) - 1
+        width = int(band.max()) - least + 1
+        code = (hit_row * windows + pattern) * width + band - least
+        flat, count = np.unique(np.concatenate([code, code - 1]), return_counts=True)
+        pattern_of = flat // width % windows
+        enough = count >= self.need[pattern_of]
+        flat, pattern_of = flat[enough], pattern_of[enough]
+        if len(flat):
+            yield flat // width // windows, pattern_of, (flat % width + least) * _STEP
+
+    def _aligned(self, form, bounds, row, pattern, diagonal) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, window, start, stop, edits) of candidates that align inside their band with few enough edits; places are in ``form``."""
         slack = int(self.edits.max())
         width = 2 * _STEP + 2 * slack + 1
         for a in range(0, len(row), 512):
@@ -160,7 +196,7 @@ class Patterns:
             most = int(length.max())
             text = np.full((len(r), most), 1, np.uint8)
             for i, k in enumerate(p):
-                text[i, : length[i]] = self.text[k]
+                text[i, : length[i]] = np.frombuffer(self.text[k], np.uint8)
             # Cell (i, j): the window's first i bytes against text that ends at base + i + j.
             column = np.arange(width)
             cost = np.zeros((len(r), width), np.int64)
@@ -195,10 +231,22 @@ class Patterns:
             for i in np.flatnonzero(done_cost <= self.edits[p]):
                 begin, stop = max(int(done_start[i]), int(bounds[r[i]])), min(int(done_stop[i]), int(bounds[r[i] + 1]))
                 if stop > begin:
-                    yield int(r[i]), self.item[p[i]], int(origin[begin]), int(origin[stop - 1]) + 1, int(done_cost[i])
+                    yield int(r[i]), int(p[i]), begin, stop, int(done_cost[i])
 
 
 LEAKS = "array<struct<item_id:long,start:long,stop:long,edits:long>>"
+_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())]))
+
+
+def best_apart(found: set[tuple]) -> list[dict]:
+    """Of some (edits, start, stop, item) those that overlap no better one of their item, as leaks in order of item and place."""
+    kept: dict = {}
+    for edits, start, stop, item in sorted(found, key=lambda x: x[:3]):
+        own = kept.setdefault(item, [])
+        i = bisect_left(own, (start, stop))
+        if (i == 0 or own[i - 1][1] <= start) and (i == len(own) or own[i][0] >= stop):
+            own.insert(i, (start, stop, edits))
+    return [{"item_id": k, "start": a, "stop": b, "edits": e} for k in sorted(kept, key=lambda x: (x is None, x)) for a, b, e in kept[k]]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -206,10 +254,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
 
     Each leak has the item's id, the place in the text as UTF-8 bytes and the number of edits; of windows
     found at overlapping places of one item the best counts, and items that share a window are all named.
-    A null or empty text has none. Items that are null or whose normal form is shorter than ``Q`` bytes are
-    too short to look for. Rows are handled one by one, so repeated rows, null keys and empty tables need no
-    care; a column ``leaks`` is replaced. Every benchmark item is used: at most ``PASS_BYTES`` of them are
-    broadcast at a time, and a larger benchmark takes several passes.
+    An excerpt of ``WINDOW`` + ``STRIDE`` - 1 bytes of normal form holds a whole window and is surely found,
+    as is a whole item of ``Q`` to ``WINDOW`` bytes. A null or empty text has none. Items that are null or whose
+    normal form is shorter than ``Q`` bytes are too short to look for. Rows are handled one by one, so
+    repeated rows, null keys and empty tables need no care; a column ``leaks`` is replaced. Every benchmark
+    item is used: a benchmark of more than ``PASS_BYTES`` is dealt to parts of about that size by hash, and the
+    documents are written with what each part found before the next one is broadcast.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c != "leaks"]
@@ -220,24 +270,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     found = docs.select(*[F.col(f"`{c}`") for c in kept])
     for part in range(parts):
         chosen = usable if parts == 1 else usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        patterns = spark.sparkContext.broadcast(Patterns(sorted({(r[0], r[1]) for r in chosen.collect()}, key=lambda x: (x[0] is None, x))))
+        patterns = spark.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in chosen.distinct().collect()]))
 
         def run(batches, patterns=patterns):
             for batch in batches:
                 offsets, data = utf8(batch.column(at))
-                leaks: list[dict[tuple, tuple]] = [{} for _ in range(batch.num_rows)]
+                leaks: list[set[tuple]] = [set() for _ in range(batch.num_rows)]
                 for a, b in slices(offsets):
                     for row, item, start, stop, edits in patterns.value.matches(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]):
-                        start, stop = (int(x + offsets[a] - offsets[a + row]) for x in (start, stop))
-                        own = leaks[a + row]
-                        near = [k for k in own if k[0] == item and k[1] < stop and start < k[2]]
-                        if all((edits, start, stop) < (own[k], k[1], k[2]) for k in near):
-                            for k in near:
-                                del own[k]
-                            own[item, start, stop] = edits
-                value = pa.array([[{"item_id": k[0], "start": k[1], "stop": k[2], "edits": e} for k, e in sorted(x.items(), key=str)] for x in leaks], pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())])))
+                        shift = int(offsets[a + row] - offsets[a])
+                        leaks[a + row].add((edits, start - shift, stop - shift, item))
+                value = pa.array([best_apart(x) for x in leaks], _LEAKS)
                 yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, f"__leaks{part}"])
 
         schema = "".join(f"`{c}` {t}, " for c, t in found.dtypes) + f"__leaks{part} {LEAKS}"
         found = found.mapInArrow(run, schema)
+        if part < parts - 1:
+            found = written(found, "leaks")
+            patterns.destroy()
     return found.select(*[F.col(f"`{c}`") for c in kept], F.concat(*[F.col(f"__leaks{i}") for i in range(parts)]).alias("leaks"))

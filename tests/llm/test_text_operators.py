@@ -282,8 +282,48 @@ def test_decontamination_matches_brute_force():
         for i, text in enumerate(docs):
             raw = np.frombuffer(text.encode(), np.uint8)
             form = decontamination.normal_form(np.array([0, len(raw)]), raw)[0].tobytes()
-            want |= {(i, item) for item, piece, e in zip(patterns.item, patterns.text, patterns.edits, strict=True) if _distance(piece.tobytes(), form) <= e}
+            want |= {(i, item) for own, piece, e in zip(patterns.items, patterns.text, patterns.edits, strict=True) if _distance(piece, form) <= e for item in own}
         assert got == want
+        with pytest.MonkeyPatch.context() as patch:  # in small pieces, split by place and by window
+            patch.setattr(decontamination, "HITS", 40)
+            patch.setattr(decontamination, "_PIECE", 128)
+            assert {(a, b) for a, b, *_ in patterns.matches(offsets, data)} == want
+
+
+def test_excerpts_of_the_stated_length_are_found_wherever_they_begin():
+    r = random.Random(5)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(700))
+    patterns = decontamination.Patterns([(1, item), (2, item), (None, "some other words that stand in no text here")])
+    size = decontamination.WINDOW + decontamination.STRIDE - 1
+    docs = ["xyz " * 50 + item[a : a + size].upper() + " zyx" * 50 for a in range(0, 700 - size, 7)]
+    found = list(patterns.matches(*textkit.utf8(pa.array(docs))))
+    assert {(row, i) for row, i, *_ in found} == {(row, i) for row in range(len(docs)) for i in (1, 2)}
+    assert all(docs[row][a:b].lower() in item and edits == 0 for row, _, a, b, edits in found if edits == 0)
+
+
+def test_the_best_leaks_that_do_not_overlap():
+    found = {(2, 0, 10, 7), (0, 5, 15, 7), (1, 15, 25, 7), (2, 20, 30, 7), (3, 0, 10, None)}
+    assert decontamination.best_apart(found) == [
+        {"item_id": 7, "start": 5, "stop": 15, "edits": 0},
+        {"item_id": 7, "start": 15, "stop": 25, "edits": 1},
+        {"item_id": None, "start": 0, "stop": 10, "edits": 3},
+    ]
+
+
+def test_a_very_long_text_of_one_repeated_item_takes_bounded_memory():
+    import tracemalloc
+
+    items = [(i, "alpha beta gamma delta epsilon zeta eta theta " * 6 + str(i)) for i in range(300)]
+    patterns = decontamination.Patterns(items)
+    offsets, data = textkit.utf8(pa.array(["alpha beta gamma delta epsilon zeta eta theta " * 60_000]))
+    form, bounds, _ = decontamination.normal_form(offsets, data)
+    tracemalloc.start()
+    for n, _ in enumerate(patterns._candidates(form, bounds)):
+        if n == 3:
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
 
 
 def test_decontamination_of_odd_rows_and_in_passes(spark, odd, monkeypatch):
