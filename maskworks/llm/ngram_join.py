@@ -9,8 +9,9 @@ paired; pairs already known to be connected are left out. What is left meets in
 remove pairs which cannot reach t: the places of the shared element bound the overlap from above, then the
 bit counts of hashed bitmaps do, then the sorted arrays of shingle hashes are intersected exactly.
 
-A first round pairs documents that agree in one of a few minima of their shingle hashes. It decides
-nothing by itself; the groups of near copies it connects need no pairs in the tiles afterwards.
+A first round pairs documents that agree in one of a few minima of their shingle hashes. Its pairs are
+held to the size band, bounded by their bitmaps and intersected exactly like all others; the groups of
+near copies it connects need no pairs in the tiles afterwards.
 """
 
 import numpy as np
@@ -353,12 +354,14 @@ def _placed_sets(docs: DataFrame, k: int, t100: int) -> tuple[DataFrame, DataFra
     named = groups.select(F.col("key").alias("k"), F.col("text_key").alias("t"), "gid", "n")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     texts = bucketed(keyed.join(named, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("gid", "n", "text"), "gid", "texts")
-    near = written(_verified(_stars(groups, t100), texts, k, t100), "near")
+    stars = written(_stars(groups, t100), "stars")
+    first_maps = written(_bitmaps(texts, stars.select(F.explode(F.array("a", "b")).alias("gid")), k), "bitmaps")
+    near = written(_verified(_bounded(stars, first_maps, t100), texts, k, t100), "near")
     joined = written(components(near), "joined")
     counts = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), k))
     postings = _postings(_with_components(texts, joined), counts, k, t100)
     mixed = written(_by_tile(postings, _mixed, TILE_ROW), "mixed")
-    bitmaps = written(_bitmaps(texts, mixed, k), "bitmaps")
+    bitmaps = first_maps.unionByName(written(_bitmaps(texts, mixed.join(first_maps, "gid", "left_anti"), k), "bitmaps"))
     # One partner for each row of a tile comes first: it connects most groups of near copies, and their other pairs then need no look.
     beside = _by_tile(_with_components(mixed, joined), _pairs_around(t100), "a long, b long").distinct()
     near = written(near.unionByName(_verified(_bounded(beside, bitmaps, t100), texts, k, t100)), "near")
