@@ -189,6 +189,16 @@ class Patterns:
         """(row, window, start, stop, edits) of candidates that align inside their band with few enough edits; places are in ``form``."""
         slack = int(self.edits.max())
         width = 2 * _STEP + 2 * slack + 1
+        # A window that stands there byte for byte needs no alignment.
+        rest = []
+        for k, (r, p, base) in enumerate(zip(row.tolist(), pattern.tolist(), (diagonal - slack).tolist(), strict=True)):
+            first, window = max(base, int(bounds[r])), self.text[p]
+            at = form[first : max(first, min(base + width + len(window) - 1, int(bounds[r + 1])))].tobytes().find(window)
+            if at < 0:
+                rest.append(k)
+            else:
+                yield r, p, first + at, first + at + len(window), 0
+        row, pattern, diagonal = row[rest], pattern[rest], diagonal[rest]
         for a in range(0, len(row), 512):
             r, p = row[a : a + 512], pattern[a : a + 512]
             base = diagonal[a : a + 512] - slack
@@ -197,37 +207,39 @@ class Patterns:
             text = np.full((len(r), most), 1, np.uint8)
             for i, k in enumerate(p):
                 text[i, : length[i]] = np.frombuffer(self.text[k], np.uint8)
+            # The texts around the candidates, 0 (no byte of a normal form) outside of their rows.
+            at = base[:, None] + np.arange(most + width)
+            around = np.where((at >= bounds[r][:, None]) & (at < bounds[r + 1][:, None]), form[np.clip(at, 0, len(form) - 1)], np.uint8(0))
             # Cell (i, j): the window's first i bytes against text that ends at base + i + j.
-            column = np.arange(width)
-            cost = np.zeros((len(r), width), np.int64)
+            column = np.arange(width, dtype=np.int32)
+            far = np.int32(1 << 20)
+            cost = np.zeros((len(r), width), np.int32)
             origin_at = np.broadcast_to(column, cost.shape).copy()  # where the aligned text begins, minus base
             done_cost, done_stop, done_start = np.full(len(r), 1 << 30), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
-            lo, hi = bounds[r][:, None], bounds[r + 1][:, None]
+            live = np.arange(len(r))  # no cell of a row falls below the least one before, so rows beyond their edits go
             for i in range(most):
-                at = base[:, None] + i + column
-                inside = (at >= lo) & (at < hi)
-                other = np.where(inside, form[np.clip(at, 0, len(form) - 1)], 0)
-                step = cost + (other != text[:, i : i + 1])
-                step = np.where(inside, step, 1 << 20)
-                start = origin_at
-                drop = np.full_like(cost, 1 << 20)
+                if i % 8 == 7:
+                    near = np.flatnonzero((cost.min(axis=1) <= self.edits[p[live]]) & (length[live] > i))
+                    if len(near) < 0.9 * len(live):
+                        live, cost, origin_at, around, text = live[near], cost[near], origin_at[near], around[near], text[near]
+                    if not len(live):
+                        break
+                other = around[:, i : i + width]
+                step = np.where(other != 0, cost + (other != text[:, i : i + 1]), far)
+                drop = np.full_like(cost, far)
                 drop[:, :-1] = cost[:, 1:] + 1  # a byte of the window that the text lacks
-                from_drop = np.zeros_like(start)
-                from_drop[:, :-1] = start[:, 1:]
-                best = np.minimum(step, drop)
-                start = np.where(step <= drop, start, from_drop)
+                start = origin_at.copy()
+                np.copyto(start[:, :-1], origin_at[:, 1:], where=step[:, :-1] > drop[:, :-1])
                 # A byte of the text that the window lacks: the best cell to the left plus the way.
-                lead = (best - column) * 256 + column
-                run = np.minimum.accumulate(lead, axis=1)
-                source = run & 255
-                cost = np.minimum(best, (run >> 8) + column)
-                origin_at = np.take_along_axis(start, source, axis=1)
-                ended = np.flatnonzero(length == i + 1)
-                if len(ended):
-                    j = cost[ended].argmin(axis=1)
-                    done_cost[ended] = cost[ended, j]
+                run = np.minimum.accumulate((np.minimum(step, drop) - column) * 256 + column, axis=1)
+                cost = (run >> 8) + column
+                origin_at = np.take_along_axis(start, run & 255, axis=1)
+                here = np.flatnonzero(length[live] == i + 1)
+                if len(here):
+                    ended, j = live[here], cost[here].argmin(axis=1)
+                    done_cost[ended] = cost[here, j]
                     done_stop[ended] = base[ended] + i + j + 1
-                    done_start[ended] = base[ended] + origin_at[ended, j]
+                    done_start[ended] = base[ended] + origin_at[here, j]
             for i in np.flatnonzero(done_cost <= self.edits[p]):
                 begin, stop = max(int(done_start[i]), int(bounds[r[i]])), min(int(done_stop[i]), int(bounds[r[i] + 1]))
                 if stop > begin:
