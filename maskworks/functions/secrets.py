@@ -67,8 +67,8 @@ DETECTORS = (
     Detector("BASIC_AUTH", "high", r"(?i:authorization)[\"']?\s*[:=]\s*[\"']?(?i:basic)\s+([A-Za-z0-9+/]{8,}=*)"),
     Detector("PRIVATE_KEY", "critical", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?)"),
     Detector("CONNECTION_PASSWORD", "high", r"(?<![A-Za-z])[a-z][a-z0-9+]{1,20}://[^\s:/@\"']{1,100}:([^\s/@\"']{3,200})@"),
-    Detector("ASSIGNED_SECRET", "high", _ASSIGNED + r"[\"'](?=[^\"']{0,200}[0-9])(?=[^\"']{0,200}[A-Za-z])([A-Za-z0-9_\-+/=.]{20,200})[\"']"),
-    Detector("POSSIBLE_CREDENTIAL", "medium", _ASSIGNED + r"[\"']([^\"'\s]{6,19})[\"']"),
+    Detector("ASSIGNED_SECRET", "high", _ASSIGNED + r"[\"'](?=[^\"'0-9]*+[0-9])(?=[^\"'A-Za-z]*+[A-Za-z])([A-Za-z0-9_\-+/=.]{20,}+)[\"']"),
+    Detector("POSSIBLE_CREDENTIAL", "medium", _ASSIGNED + r"[\"']([^\"'\s]{6,}+)[\"']"),
     Detector("EMAIL", "medium", r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24})(?![A-Za-z0-9])"),
     Detector("PRIVATE_IP", "medium", r"(?<![0-9.])((?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9.])"),
 )

@@ -16,6 +16,10 @@ from .identifiers import ENTRY, occurrences, role_name
 from .rules import Rule, replacement_base, usable, whitelisted
 
 
+#: Ranges of keys that a corpus is numbered in.
+KEY_RANGES = 200
+
+
 def entries_of(symbols: dict[str, str]) -> Column:
     """A symbol map as the array of (placeholder, name, ord) that the operators take."""
     made = [F.struct(F.lit(p).alias("placeholder"), F.lit(n).alias("name"), F.lit(i).cast("int").alias("ord")) for i, (p, n) in enumerate(symbols.items())]
@@ -122,12 +126,19 @@ def corpus_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     held = row.select("key", base_of(F.col("token")).alias("base"), number_of(F.col("token")).alias("p")).where("p is not null").groupBy("base", "key").agg(F.max("p").alias("p"))
     counts = first.groupBy("base", "key").agg(F.count("*").alias("n"))
     per_doc = counts.join(held, ["base", "key"], "full")
-    # One row for each base and document that adds to it: numbers before a document are a running sum and maximum.
-    before = Window.partitionBy("base").orderBy("key")
-    total = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_doc = per_doc.withColumn("s", total)
-    reach = F.max(F.coalesce("p", F.lit(0)) - F.col("s")).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    starts = per_doc.withColumn("start", F.col("s") + F.greatest(reach, F.lit(0))).select("base", "key", "start")
+    # One row for each base and document that adds to it: numbers before a document are a running sum and maximum,
+    # taken within ranges of keys and carried over the few rows of range totals.
+    cuts = sorted(set(docs.select(F.col(key).cast("double")).approxQuantile(key, [i / KEY_RANGES for i in range(KEY_RANGES)], 0.2 / KEY_RANGES)))
+    per_doc = per_doc.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("key").cast("double"))))
+    inside = Window.partitionBy("base", "range").orderBy("key")
+    per_doc = per_doc.withColumn("s", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per_doc = per_doc.withColumn("reach", F.max(F.coalesce("p", F.lit(0)) - F.col("s")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("base").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per_doc.groupBy("base", "range").agg(F.sum(F.coalesce("n", F.lit(0))).alias("sum"), F.max("reach").alias("most"))
+    ranges = ranges.withColumn("sum", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    ranges = ranges.withColumn("most", F.coalesce(F.max(F.col("most") - F.col("sum")).over(before), F.lit(0)))
+    start = F.col("sum") + F.col("s") + F.greatest(F.col("most"), F.col("reach") - F.col("sum"), F.lit(0))
+    starts = per_doc.join(ranges, ["base", "range"]).select("base", "key", start.alias("start"))
     own = Window.partitionBy("key", "base").orderBy(F.length("token").desc(), "at")
     placed = first.join(starts, ["base", "key"]).withColumn("n", F.col("start") + F.row_number().over(own))
     return placed.select(F.concat("base", F.col("n").cast("string")).alias("placeholder"), "base", "n", F.col("token").alias("name"), F.col("key").alias("first_key"))

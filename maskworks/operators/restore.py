@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grammar import PLACEHOLDER_SCAN, REDACTION_PREFIX, SPACE, ascii_regex
@@ -115,5 +115,8 @@ def summary(report: Column, most: int = 12) -> Column:
 def stripped_by_type(restored: DataFrame, key: str, most: int = 3, cut: int = 80) -> DataFrame:
     """(key, type, n, shown): how many items of each type were stripped, with the first few of them."""
     item = restored.select(F.col(key).alias(key), F.posexplode("stripped_items").alias("i", "s"))
-    by_type = item.groupBy(key, "s.type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("i", F.col("s.content").alias("c")))).alias("all"))
-    return by_type.select(key, "type", "n", F.transform(F.slice("all", 1, most), lambda x: F.substring(x["c"], 1, cut)).alias("shown"))
+    item = item.select(key, "s.type", "i", F.substring("s.content", 1, cut).alias("c"))
+    place = F.row_number().over(Window.partitionBy(key, "type").orderBy("i"))
+    first = F.when(F.col("place") <= most, F.struct("i", "c"))
+    by_type = item.withColumn("place", place).groupBy(key, "type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(first)).alias("first"))
+    return by_type.select(key, "type", "n", F.transform("first", lambda x: x["c"]).alias("shown"))

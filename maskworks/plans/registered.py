@@ -168,13 +168,14 @@ def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns are masked; the report of a reply that drops the last quarter and invents a placeholder."""
     turns = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     masked = masking.anonymize(turns, language="typescript", policy="off")
-    reply = masked.withColumn("reply", F.concat(F.array_join(F.transform("symbols", lambda e: e["placeholder"]), " "), F.lit(" __NEW__1")))
+    held = F.expr("slice(symbols, 1, size(symbols) - size(symbols) div 4)")
+    reply = masked.withColumn("reply", F.concat(F.array_join(F.transform(held, lambda e: e["placeholder"]), " "), F.lit(" __NEW__1")))
     out = restore.restore(reply, "reply", strip="none")
     return out.select("conv_id", "turn", F.size("report.resolved").alias("resolved"), F.size("report.missing").alias("missing"), F.array_join("report.unresolved", ",").alias("unresolved"))
 
 
 REPORT_SQL = f"""with turns as (select row(conv_id, turn) kk, conv_id, turn, text from conversations where role = 'user'), {sql.names_cte("turns", "kk")}, c as (select k, count(*) n from sym group by k)
-select t.conv_id, t.turn, coalesce(c.n, 0)::int resolved, 0 missing, '__NEW__1' unresolved from turns t left join c on c.k = t.kk"""
+select t.conv_id, t.turn, (coalesce(c.n, 0) - coalesce(c.n, 0) // 4)::int resolved, (coalesce(c.n, 0) // 4)::int missing, '__NEW__1' unresolved from turns t left join c on c.k = t.kk"""
 
 
 def href_safety(spark: SparkSession, sf_dir: str) -> DataFrame:

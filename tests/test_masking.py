@@ -1,5 +1,7 @@
 """Masking and restoring: languages, roles, rules, maps, marks, reports."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,20 @@ def test_secrets_are_redacted_for_good(spark):
     assert spark.range(1).select(secrets.has_blocking(F.lit(stripe))).first()[0] is True
 
 
+def test_assigned_values_of_any_length_are_reported(spark):
+    long = "aZ09" * 75
+    rows = run(spark, [f'secret = "{long}"', 'password = "correct-horse-battery-staple"', "token = 'abcdefghijklmnopqrstuvwxyz'", 'token = "a b c d e f g h"', f"auth_key = '{'x' * 500}'"])
+    assert [(s["type"], s["redacted"]) for s in rows[0]["secrets"]] == [("ASSIGNED_SECRET", True)] and long not in rows[0]["anonymized"]
+    assert [[(s["type"], s["severity"]) for s in r["secrets"]] for r in rows[1:]] == [[("POSSIBLE_CREDENTIAL", "medium")]] * 2 + [[]] + [[("POSSIBLE_CREDENTIAL", "medium")]]
+
+
+def test_stripped_items_by_type_show_the_first_few(spark):
+    docs = spark.createDataFrame([(1, "// TODO: a\n// TODO: b\n// TODO: c\n// TODO: d\n// ----\nkept();"), (2, "none();"), (3, None)], "k int, text string")
+    back = restore.restore(docs.withColumn("symbols", masking.entries_of({})), strip=None)
+    rows = {(r["k"], r["type"]): (r["n"], [s.strip() for s in r["shown"]]) for r in restore.stripped_by_type(back, "k").collect()}
+    assert rows == {(1, "todo"): (4, ["// TODO: a", "// TODO: b", "// TODO: c"]), (1, "separator"): (1, ["// ----"])}
+
+
 def test_restore_strips_tidies_and_reports(spark):
     reply = "/** doc\n * two */\nclass __CLS__1 {\n  // TODO: x\n  // Getter\n  // Step 2. y\n  // ----- \n  // **Head**\n  // @returns z\n  // plain\n}\n\n\n\n\n__CLS__10 __FN__9 __REDACTED_JWT_1__ __fn__1"
     docs = spark.createDataFrame([(reply,), (None,)], "text string").withColumn("symbols", masking.entries_of({"__CLS__1": "Alpha", "__FN__1": "beta", "__VAR__1": "$1"}))
@@ -174,3 +190,15 @@ def test_corpus_scope_equals_a_fold(spark):
         if t is not None:
             symbols = symbols_of(run(spark, [t], symbols, language="typescript")[0])
     assert got == {v: k for k, v in symbols.items()}
+
+
+def test_corpus_numbers_do_not_depend_on_ranges(spark, monkeypatch):
+    r = random.Random(2)
+    word = lambda: r.choice(["alpha", "beta", "Gamma", "delta"]) + r.choice("XYZ") + str(r.randrange(60))
+    texts = [" ".join([*(word() for _ in range(r.randrange(6))), *([f"__VAR__{r.randrange(90)}"] if r.random() < 0.1 else []), *([f"__CLS__{r.randrange(90)}"] if r.random() < 0.1 else [])]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("doc_id", F.col("doc_id") * 37 - 5000)
+    many = {r["name"]: r["placeholder"] for r in masking.corpus_symbols(docs, language="typescript").collect()}
+    monkeypatch.setattr(masking, "KEY_RANGES", 1)
+    one = {r["name"]: r["placeholder"] for r in masking.corpus_symbols(docs, language="typescript").collect()}
+    assert many == one and len(set(one.values())) == len(one) > 300
+    assert masking.corpus_symbols(docs.limit(0), language="typescript").count() == 0
