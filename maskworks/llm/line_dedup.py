@@ -6,14 +6,15 @@ place falls into the same chunks again. A line of more than ``PASSAGE_WORDS`` wo
 itself and always its own chunk. Of the chunks of two lines or more, and of those passage lines, that
 occur more than once anywhere, the first occurrence stays and the others go.
 
-Chunks at the ends of a passage may be shared with its surroundings. So each pair of neighbouring lines
-is told as well, and a run of lines all of whose pairs have occurred before goes too if together it has
-more than ``PASSAGE_WORDS`` words. A passage that stands elsewhere has all its pairs there, so it goes
-wherever chunks end. The first place of a line is in no repeated chunk or pair, so no line is lost.
+Chunks at the ends of a passage may be shared with its surroundings. So each pair of neighbouring lines is
+told as well, with the first place that it has anywhere. Where the first places of consecutive pairs are
+consecutive lines of one document, the lines repeat that place as a whole: such a run goes too if it has
+more than ``PASSAGE_WORDS`` words. Pairs whose first places are in different documents never make a run.
 
 Narrow rows (digest, place) find the repeats; then each document's list of repeats meets its text in
 one join, and the texts of all occurrences of a digest are compared byte by byte before anything is
-removed. A digest whose occurrences differ removes nothing.
+removed. A digest whose occurrences differ removes nothing. A run is as its first place, byte by byte, as
+each of its pairs is.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ WINDOW = 2
 DIVISOR = 3
 PASSAGE_WORDS = 50
 FACTOR = 31
+WORD = r"[^ \t\x0B\f\r]+"
 
 
 def _line_hash(line: Column) -> Column:
@@ -57,35 +59,42 @@ def _chunk_text(lines: Column, start: Column, stop: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, stop - start), "\n")
 
 
+#: Stands for the end of a pair, which is always two lines on.
+_PAIR = 0
+
+
 def _pairs(lines: Column) -> Column:
     """Every two neighbouring lines as (start, stop, digest)."""
     texts = F.zip_with(F.slice(lines, 1, F.size(lines) - 1), F.slice(lines, 2, F.size(lines)), lambda a, b: F.concat(a, F.lit("\n"), b))
-    return F.transform(texts, lambda t, i: F.struct(i.alias("start"), (i + 2).alias("stop"), F.md5(t).alias("digest")))
+    return F.transform(texts, lambda t, i: F.struct(i.alias("start"), F.lit(_PAIR).alias("stop"), F.xxhash64(t, F.lit("pair")).alias("digest")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", runs: bool = True) -> DataFrame:
-    """All columns of ``docs``, the text without its repeated chunks and runs, plus ``lines_before`` and ``lines_removed``.
+def _text_key(text: Column) -> Column:
+    """60 bits of a text's digest, which tell apart texts of equal keys."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
-    Without ``runs`` only whole chunks go.
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs``, the text without its repeated chunks and runs, plus ``lines_before`` and ``lines_removed``.
 
     The first occurrence is the one with the smallest (key, text digest, line); a null key comes last.
     Rows that agree in key and text count as one document and get the same result. A null text stays
     null with 0 lines; an empty text has one empty line. Line ends are ``\\n``; others belong to the line.
-    A column that has one of the new names is replaced.
+    Very long texts are rows like any other: their lines are arrays of one row. No rows give no rows. A
+    column that has one of the new names is replaced.
     """
     docs = docs.drop("lines_before", "lines_removed")
-    source = docs.withColumn("__text_key", F.md5(F.col(f"`{text}`")))
+    source = docs.withColumn("__text_key", _text_key(F.col(f"`{text}`")))
     parts = chunked(source.select(F.col(f"`{key}`").alias("__key"), "__text_key", F.col(f"`{text}`").alias("__text")), "__text")
     chunks = F.transform(
         F.filter("__chunks", lambda c: (c["stop"] - c["start"] > 1) | F.get(F.col("__long"), c["start"])),
-        lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.sha2(_chunk_text(F.col("__lines"), c["start"], c["stop"]), 256).alias("digest")),
+        lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.xxhash64(_chunk_text(F.col("__lines"), c["start"], c["stop"]), F.lit("chunk")).alias("digest")),
     )
-    found = F.concat(chunks, _pairs(F.col("__lines"))) if runs else chunks
-    told = parts.select("__key", "__text_key", F.explode_outer(found).alias("c")).where("c is not null")
-    told = written(told.select("__key", "__text_key", "c.start", "c.stop", F.unhex("c.digest").alias("digest")).distinct(), "chunks")
+    told = parts.select("__key", "__text_key", F.explode_outer(F.concat(chunks, _pairs(F.col("__lines")))).alias("c")).where("c is not null")
+    told = written(told.select("__key", "__text_key", "c.start", "c.stop", "c.digest").distinct(), "chunks")
     place = F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("key"), F.col("__text_key").alias("text_key"), F.col("start").alias("start"))
     first = told.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = told.join(first, "digest").select("__key", "__text_key", F.struct("start", "stop", "digest", (place == F.col("first")).alias("stays")).alias("r"))
+    repeats = told.join(first, "digest").select("__key", "__text_key", F.struct("start", "stop", "digest", (place == F.col("first")).alias("stays"), "first").alias("r"))
     by_doc = repeats.groupBy("__key", "__text_key").agg(F.collect_list("r").alias("__repeats"))
     met = source.alias("d").join(
         by_doc.alias("r"),
@@ -93,32 +102,37 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", runs:
         "left",
     )
     met = written(met.select("d.*", "r.__repeats").drop("__text_key"), "repeats")
-    return _removed(met, text, _differing(met, text), runs)
+    return _removed(met, text, _differing(met, text))
 
 
 def _differing(met: DataFrame, text: str) -> DataFrame | None:
     """Digests whose occurrences are not the same bytes, or None when there are none, as always so far."""
     lines = met.where("__repeats is not null").select("__repeats", F.split(F.col(f"`{text}`"), "\n", -1).alias("__lines"))
-    texts = lines.select(F.explode_outer(F.transform("__repeats", lambda r: F.struct(r["digest"].alias("digest"), _chunk_text(F.col("__lines"), r["start"], r["stop"]).alias("text")))).alias("o"))
+    stop = lambda r: F.when(r["stop"] == _PAIR, r["start"] + 2).otherwise(r["stop"])
+    texts = lines.select(F.explode_outer(F.transform("__repeats", lambda r: F.struct(r["digest"].alias("digest"), _chunk_text(F.col("__lines"), r["start"], stop(r)).alias("text")))).alias("o"))
     odd = written(texts.groupBy("o.digest").agg(F.min("o.text").alias("a"), F.max("o.text").alias("b")).where("a <> b").select("digest"), "differing")
     return None if odd.isEmpty() else odd
 
 
 def _runs(pairs: Column) -> Column:
-    """Line ranges (start, stop) of the runs of consecutive places among the sorted starts of pairs."""
-    before = F.concat(F.array(F.lit(-2)), pairs)
-    after = F.concat(F.slice(pairs, 2, F.size(pairs)), F.array(F.lit(-2)))
-    begins = F.zip_with(F.slice(before, 1, F.size(pairs)), pairs, lambda p, x: F.when(p + 1 != x, x))
-    ends = F.zip_with(pairs, after, lambda x, n: F.when(x + 1 != n, x + 2))
+    """Line ranges (start, stop) of the runs among pairs (start, first), sorted: the next pair at the next line, here and there."""
+    none = F.array(F.lit(None))
+    follows = lambda p, x: F.coalesce(
+        (p["start"] + 1 == x["start"]) & p["first"]["key"].eqNullSafe(x["first"]["key"]) & (p["first"]["text_key"] == x["first"]["text_key"]) & (p["first"]["start"] + 1 == x["first"]["start"]), F.lit(False)
+    )
+    before = F.concat(none, F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))))
+    after = F.concat(F.slice(pairs, 2, F.size(pairs)), none)
+    begins = F.zip_with(before, pairs, lambda p, x: F.when(~follows(p, x), x["start"]))
+    ends = F.zip_with(pairs, after, lambda x, n: F.when(~follows(x, n), x["start"] + 2))
     there = lambda x: F.filter(x, lambda y: y.isNotNull())
     return F.zip_with(there(begins), there(ends), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
 
 
 def _words(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda n, line: n + F.regexp_count(line, F.lit(r"\S+")))
+    return F.aggregate(lines, F.lit(0), lambda n, line: n + F.regexp_count(line, F.lit(WORD)))
 
 
-def _removed(met: DataFrame, text: str, differing: DataFrame | None, runs: bool) -> DataFrame:
+def _removed(met: DataFrame, text: str, differing: DataFrame | None) -> DataFrame:
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
     if differing is not None:
         met = met.withColumn("__row", F.monotonically_increasing_id())
@@ -127,16 +141,13 @@ def _removed(met: DataFrame, text: str, differing: DataFrame | None, runs: bool)
         held = held.groupBy("__row").agg(F.collect_list("r").alias("__repeats"))
         met = met.drop("__repeats").join(held, "__row", "left").drop("__row")
     met, gone = met.withColumn("__lines", lines), F.filter("__repeats", lambda r: ~r["stays"])
-    if runs:
-        # Digests of pairs have 16 bytes, those of chunks 32.
-        pairs = F.array_sort(F.transform(F.filter(gone, lambda r: F.length(r["digest"]) == 16), lambda r: r["start"]))
-        chunks = F.transform(F.filter(gone, lambda r: F.length(r["digest"]) > 16), lambda r: F.struct(r["start"], r["stop"]))
-        met = met.withColumn("__pairs", pairs)
-        met = met.withColumn("__runs", F.filter(_runs(F.col("__pairs")), lambda r: _words(F.slice("__lines", r["start"] + 1, r["stop"] - r["start"])) > PASSAGE_WORDS))
-        gone = F.concat(chunks, "__runs")
+    pairs = F.transform(F.filter(gone, lambda r: r["stop"] == _PAIR), lambda r: F.struct(r["start"].alias("start"), r["first"].alias("first")))
+    chunks = F.transform(F.filter(gone, lambda r: r["stop"] != _PAIR), lambda r: F.struct(r["start"], r["stop"]))
+    met = met.withColumn("__pairs", F.array_sort(pairs))
+    met = met.withColumn("__runs", F.filter(_runs(F.col("__pairs")), lambda r: _words(F.slice("__lines", r["start"] + 1, r["stop"] - r["start"])) > PASSAGE_WORDS))
+    gone = F.concat(chunks, "__runs")
     gone = F.flatten(F.transform(gone, lambda r: F.sequence(r["start"], r["stop"] - 1)))
-    gone = F.array_distinct(gone) if runs else gone
-    out = met.withColumn("__gone", F.coalesce(gone, F.array().cast("array<int>")))
+    out = met.withColumn("__gone", F.coalesce(F.array_distinct(gone), F.array().cast("array<int>")))
     size = F.coalesce(F.size("__lines"), F.lit(0))
     left = F.array_except(F.sequence(F.lit(0), size - 1), F.col("__gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")

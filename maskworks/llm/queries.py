@@ -21,8 +21,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the chunks of lines that an earlier place of the corpus has."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=False)
+    """Every document without the chunks and runs of lines that an earlier place of the corpus has."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "lines_before", "lines_removed", F.md5("text").alias("text_md5"))
 
 
@@ -35,7 +35,14 @@ c as (select *, (h + {line_dedup.FACTOR} * coalesce(lag(h) over w, 0)) % {line_d
 n as (select *, coalesce(sum(cut::int) over (partition by doc_id, tk order by i rows between unbounded preceding and 1 preceding), 0) chunk from c),
 k as (select doc_id, tk, chunk, min(i) start, count(*) lines, bool_or(p) p, string_agg(line, chr(10) order by i) t from n group by all),
 r as (select *, row_number() over (partition by t order by doc_id, tk, start) > 1 and (lines > 1 or p) gone from k),
-s as (select doc_id, tk, sum(lines) lines_before, coalesce(sum(lines) filter (gone), 0) lines_removed, coalesce(string_agg(t, chr(10) order by start) filter (not gone), '') t from r group by all)
+p as (select doc_id, tk, i, line || chr(10) || lead(line) over (partition by doc_id, tk order by i) t from l),
+f as (select doc_id, tk, i, first_value(doc_id) over w fd, first_value(tk) over w ft, first_value(i) over w fi from p where t is not null window w as (partition by t order by doc_id, tk, i)),
+g as (select *, i - row_number() over (partition by doc_id, tk, fd, ft, fi - i order by i) isle from f where (doc_id, tk, i) is distinct from (fd, ft, fi)),
+q as (select doc_id, tk, min(i) start, max(i) + 2 stop from g group by doc_id, tk, fd, ft, fi - i, isle),
+m as (select q.*, (select sum(len(regexp_extract_all(line, '{line_dedup.WORD}'))) from l where l.doc_id is not distinct from q.doc_id and l.tk = q.tk and l.i >= q.start and l.i < q.stop) words from q),
+x as (select doc_id, tk, unnest(range(start, start + lines)) i from r where gone union select doc_id, tk, unnest(range(start, stop)) from m where words > {line_dedup.PASSAGE_WORDS}),
+s as (select l.doc_id, l.tk, count(*) lines_before, count(x.i) lines_removed, coalesce(string_agg(line, chr(10) order by l.i) filter (x.i is null), '') t
+  from l left join x on x.doc_id is not distinct from l.doc_id and x.tk = l.tk and x.i = l.i group by l.doc_id, l.tk)
 select doc_id, lines_before::bigint lines_before, lines_removed::bigint lines_removed, md5(t) text_md5 from s
 union all select doc_id, 0, 0, null from documents where text is null
 """

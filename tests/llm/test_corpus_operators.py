@@ -1,5 +1,6 @@
 """Operators that look at the whole corpus: line dedup, embeddings, language model, WARC, n-gram join, pipeline."""
 
+import hashlib
 import math
 import os
 import random
@@ -8,6 +9,7 @@ import sys
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,72 @@ def test_line_dedup_removes_short_passages_whole(spark):
     assert {x for _, t in rows for x in t} == {x for o in out.values() for x in o["text"].split("\n")}
 
 
+def test_line_dedup_leaves_what_stands_nowhere_else(spark):
+    a, b, c, d, x, y, z = (" ".join(f"{n}{i}" for i in range(20)) for n in "abcdxyz")
+    rows = [(1, [a, b, x]), (2, [b, c, y]), (3, [c, d, z]), (4, [a, b, c, d])]
+    out = line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string"))
+    # Whole chunks of two lines may go, as each stands elsewhere; no run does.
+    kept = {x["doc_id"]: x["text"].split("\n") for x in out.collect()}
+    gone = [line for line in rows[3][1] if line not in kept[4]]
+    assert [kept[i] for i in (1, 2, 3)] == [t for _, t in rows[:3]] and len(gone) <= 2 and all(any("\n".join(gone) in "\n".join(t) for _, t in rows[:3]) for _ in gone)
+
+
+def _plain_dedup(docs):
+    """Chunks and runs by the definitions of the operator, document by document."""
+    chunks, pairs = {}, {}
+    cut = {}
+    for k, text in docs:
+        lines = text.split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        long = [x.count(" ") >= line_dedup.PASSAGE_WORDS for x in lines]
+        ends = [i + 1 for i in range(len(lines)) if (h[i] + 31 * (h[i - 1] if i else 0)) % 3 == 0 or long[i] or i + 1 == len(lines) or long[i + 1]]
+        cut[k] = [(s, e) for s, e in zip([0, *ends], ends, strict=False) if e - s > 1 or long[s]]
+        for s, e in cut[k]:
+            chunks.setdefault("\n".join(lines[s:e]), (k, s))
+        for i in range(len(lines) - 1):
+            pairs.setdefault((lines[i], lines[i + 1]), (k, i))
+    out = {}
+    for k, text in docs:
+        lines = text.split("\n")
+        gone = {i for s, e in cut[k] if chunks["\n".join(lines[s:e])] != (k, s) for i in range(s, e)}
+        first = [pairs[lines[i], lines[i + 1]] for i in range(len(lines) - 1)]
+        i = 0
+        while i < len(first):
+            j = i
+            while first[i] != (k, i) and j + 1 < len(first) and first[j + 1] == (first[j][0], first[j][1] + 1) and first[j + 1] != (k, j + 1):
+                j += 1
+            if first[i] != (k, i) and sum(len(x.split()) for x in lines[i : j + 2]) > line_dedup.PASSAGE_WORDS:
+                gone |= set(range(i, j + 2))
+            i = j + 1
+        out[k] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_equals_a_plain_model(spark, tmp_path, seed):
+    r = random.Random(seed)
+    pool = [" ".join(f"w{r.randrange(999)}" for _ in range(r.choice((0, 1, 9, 17, 26, 55)))) for _ in range(30)]
+    docs = []
+    for k in range(80):
+        lines = [r.choice(pool) if r.random() < 0.3 else f"own {k} {i}" for i in range(r.randrange(1, 12))]
+        if docs and r.random() < 0.7:
+            other = r.choice(docs)[1].split("\n")
+            a = r.randrange(len(other))
+            lines[len(lines) // 2 :] = other[a : a + r.randrange(1, 9)]
+        docs.append((k, "\n".join(lines)))
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    assert {x["doc_id"]: (x["text"], x["lines_removed"]) for x in out.collect()} == _plain_dedup(docs)
+    # The registered query and its SQL on the same documents.
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    (file,) = (tmp_path / "x").glob("part-*.parquet")
+    file.rename(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = con.execute(queries.OP2_SQL).fetchall()
+    got = [tuple(x) for x in queries.op2_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_line_dedup_runs_no_python(spark, sf):
     plan = queries.op2_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
