@@ -339,6 +339,23 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch):
     assert one.columns == docs.columns and ngram_join.jaccard_groups(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Empty tables, clashing names of other types, repeated and null ids: nothing is lost and no column changes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = docs.withColumn("rejected", F.lit("mine")).withColumn("leaks", F.lit(7)).withColumn("lines_removed", F.lit("x")).withColumn("p_toxic", F.lit(True)).withColumn("key", F.lit(1)).withColumn("n_tokens", F.lit("n"))
+    extra = odd.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    odd = odd.unionByName(odd.limit(2)).unionByName(extra.withColumn("text", F.lit(None).cast("string"))).unionByName(extra.withColumn("text", F.lit("")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.schema.simpleString() == odd.schema.simpleString(), name
+        rows = out.collect()
+        assert all((r["rejected"], r["leaks"], r["lines_removed"], r["p_toxic"], r["key"], r["n_tokens"]) == ("mine", 7, "x", True, 1, "n") for r in rows), name
+        assert sorted(str(r["text"]) for r in rows if r["doc_id"] is None) == ["", "None"] and len(rows) > 20, name
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).count() == odd.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages_keep_columns_and_decide(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()]
