@@ -14,6 +14,7 @@ and no group of equal lengths, however large, meets in one task.
 """
 
 import base64
+import re
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -48,12 +49,16 @@ def _plain_bytes() -> tuple[np.ndarray, np.ndarray]:
 _ENDS, _BEGINS = _plain_bytes()
 
 
+#: Characters whose classes have been the same in every version of Unicode that the two libraries may know.
+_SETTLED_CHARACTERS = re.compile("[\\x00-\u024f\u0400-\u04ff\u2010-\u2027\u4e00-\u9fa5]*")
+
+
 class ChunkEncoder:
     """Ids of texts by way of their chunks: a text falls apart where its pre-tokens surely do.
 
     Such places are a lone blank or line end between other characters. A chunk is encoded once, as long as the
-    task remembers it: pure ASCII ones from the vocabulary as ranks, the others, and all in which a special
-    token may stand, by the tokenizer itself; tests hold the two equal.
+    task remembers it: those of long settled characters many at a time by the vocabulary as ranks, the others,
+    and all in which a special token may stand, by the tokenizer itself; tests hold the two equal.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
@@ -65,17 +70,47 @@ class ChunkEncoder:
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
             self._ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self._bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+            self._bytes_of[list(ranks.values())] = list(map(len, ranks))
         self._forget()
 
     def _forget(self) -> None:
         self._codes: dict[bytes, int] = {}
-        self._ids: list[list[int]] = []
-
-    def _encode(self, chunk: bytes) -> list[int]:
-        text = chunk.decode()
-        if self._ranked and chunk.isascii() and b"<|" not in chunk:
-            return self._ranked.encode_ordinary(text)
-        return self._whole.encode(text, add_special_tokens=False).ids
+        self._begin = np.zeros(KNOWN_CHUNKS + 2 * CHUNKS_AT_ONCE + 1, np.int64)
+        self._store = np.zeros(1 << 20, np.uint32)
+        self._many = 0
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Appends the ids of some chunks, which get the next codes."""
+        used = int(self._begin[self._many])
+        while used + len(ids) > len(self._store):
+            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
+        self._store[used : used + len(ids)] = ids
+        self._begin[self._many + 1 : self._many + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self._many += len(sizes)
+
+    def _together(self, chunk: bytes) -> bool:
+        if self._ranked is None or b"<|" in chunk or not _ENDS[chunk[-1]]:
+            return False
+        first = chunk[1] if chunk[0] == 0x20 and len(chunk) > 1 else chunk[0]
+        return bool(_BEGINS[first]) and (chunk.isascii() or _SETTLED_CHARACTERS.fullmatch(chunk.decode()) is not None)
+
+    def _encoded(self, chunks: list[bytes]) -> None:
+        """Keeps the ids of chunks in their order."""
+        together = [self._together(c) for c in chunks]
+        # A chunk without a blank in front gets a line end, which is a pre-token of its own, and loses its id again.
+        parts = [c if c[0] == 0x20 else b"\n" + c for c, t in zip(chunks, together, strict=True) if t]
+        ids = np.array(self._ranked.encode_ordinary(b"".join(parts).decode()) if parts else [], np.uint32)
+        ends = np.searchsorted(self._bytes_of[ids].cumsum(), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))) + 1 if parts else []
+        begins = np.concatenate(([0], ends[:-1])).astype(np.int64) + np.array([p[0] == 0x0A for p in parts], np.int64) if parts else []
+        out, k = [], 0
+        for c, t in zip(chunks, together, strict=True):
+            if t:
+                out.append(ids[begins[k] : ends[k]])
+                k += 1
+            else:
+                out.append(np.array(self._whole.encode(c.decode(), add_special_tokens=False).ids, np.uint32))
+        self._keep(np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out)))
 
     def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids end among them."""
@@ -97,23 +132,25 @@ class ChunkEncoder:
     def _some(self, raw: bytes, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
         if len(self._codes) > KNOWN_CHUNKS:
             self._forget()
-        codes, ids, once = self._codes, self._ids, {}
-        at = []
-        for a, b in zip(places, places[1:]):
-            chunk = raw[a:b]
-            code = codes.get(chunk)
-            if code is None:
-                code = once.get(chunk) if b - a > KNOWN_BYTES else None
-                if code is None:
-                    code = len(ids)
-                    ids.append(self._encode(chunk))
-                    (codes if b - a <= KNOWN_BYTES else once)[chunk] = code
-            at.append(code)
-        out = [ids[c] for c in at]
-        size = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for x in out for i in x), np.uint32, int(size.sum()))
-        for code in once.values():
-            ids[code] = []
+        code_of = self._codes.get
+        codes = np.array([code_of(raw[a:b], -1) for a, b in zip(places, places[1:])])
+        unknown = np.flatnonzero(codes < 0)
+        new: dict[bytes, int] = {}
+        which = [new.setdefault(raw[places[i] : places[i + 1]], len(new)) for i in unknown.tolist()]
+        known = self._many
+        if new:
+            # Long chunks come last and are forgotten with the block.
+            order = sorted(new, key=lambda c: len(c) > KNOWN_BYTES)
+            self._encoded(order)
+            place = {c: known + i for i, c in enumerate(order)}
+            codes[unknown] = np.array([place[c] for c in new])[which]
+            short = sum(len(c) <= KNOWN_BYTES for c in order)
+            self._codes.update((c, place[c]) for c in order[:short])
+        size = self._begin[codes + 1] - self._begin[codes]
+        at = np.arange(int(size.sum())) - np.repeat(size.cumsum() - size, size) + np.repeat(self._begin[codes], size)
+        flat = self._store[at]
+        if new:
+            self._many = known + short
         return flat, size
 
 

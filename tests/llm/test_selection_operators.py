@@ -195,6 +195,8 @@ def test_chunks_encode_as_the_tokenizer_does(spark, sf):
     words = [t for t in plain.get_vocab() if t.isascii()]
     spoken = [plain.decode([i]) for i in range(50_000)]
     texts = [" ".join(spoken[i : i + 50]) for i in range(0, 50_000, 50)] + ["".join(spoken[i : i + 50]) for i in range(0, 50_000, 50)] + [" ".join(words[:5000])]
+    settled = [chr(c) for c in (*range(0x250), *range(0x400, 0x500), *range(0x2010, 0x2028), *range(0x4E00, 0x9FA6))]
+    texts += ["".join(f" {c}{c} x{c}1{c}\n{c}" for c in settled[i : i + 100]) for i in range(0, len(settled), 100)]
     import pyarrow as pa
 
     ids, ends = chunks(*textkit.utf8(pa.array(texts)))
