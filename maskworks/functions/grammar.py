@@ -14,6 +14,8 @@ REDACTION_PREFIX = "__REDACTED_"
 WORD = "[A-Za-z0-9_$]"
 #: White space as source text knows it: ASCII spaces, no-break space, byte order mark, Unicode spaces and line ends.
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The same as characters.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 PLACEHOLDER = r"__[A-Z][A-Z0-9_]*__[0-9]*"
 PLACEHOLDER_TOKEN = rf"^{PLACEHOLDER}\z"
 PLACEHOLDER_SCAN = rf"(?<!{WORD}){PLACEHOLDER}(?!{WORD})"

@@ -37,7 +37,7 @@ _ASSIGNED = r"(?i:(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|auth|credential)
 
 DETECTORS = (
     Detector("AWS_ACCESS_KEY", "critical", _key("(?:AKIA|ASIA)", "[A-Z0-9]{16}")),
-    Detector("AWS_SECRET_KEY", "critical", r"(?i:aws[A-Za-z0-9_]{0,20}secret[A-Za-z0-9_]{0,20})[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+])"),
+    Detector("AWS_SECRET_KEY", "critical", r"(?i:(?<![a-z0-9_])(?>[a-z0-9_]*?aws)(?>[a-z0-9_]*?secret)[a-z0-9_]*+)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+])"),
     Detector("GOOGLE_API_KEY", "critical", _key("AIza", r"[A-Za-z0-9_\-]{35}")),
     Detector("GOOGLE_OAUTH_SECRET", "critical", _key("GOCSPX-", r"[A-Za-z0-9_\-]{28}")),
     Detector("GOOGLE_OAUTH_TOKEN", "high", _key(r"ya29\.", r"[A-Za-z0-9_\-]{20,}")),
@@ -66,7 +66,7 @@ DETECTORS = (
     Detector("BEARER_TOKEN", "high", r"(?i:bearer)\s+([A-Za-z0-9_\-.~+/]{20,}=*)"),
     Detector("BASIC_AUTH", "high", r"(?i:authorization)[\"']?\s*[:=]\s*[\"']?(?i:basic)\s+([A-Za-z0-9+/]{8,}=*)"),
     Detector("PRIVATE_KEY", "critical", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?)"),
-    Detector("CONNECTION_PASSWORD", "high", r"(?<![A-Za-z])[a-z][a-z0-9+]{1,20}://[^\s:/@\"']{1,100}:([^\s/@\"']{3,200})@"),
+    Detector("CONNECTION_PASSWORD", "high", r"(?<![A-Za-z])[a-z][a-z0-9+]++://[^\s:/@\"']++:([^\s/@\"']{3,}+)@"),
     Detector("ASSIGNED_SECRET", "high", _ASSIGNED + r"[\"'](?=[^\"'0-9]*+[0-9])(?=[^\"'A-Za-z]*+[A-Za-z])([A-Za-z0-9_\-+/=.]{20,}+)[\"']"),
     Detector("POSSIBLE_CREDENTIAL", "medium", _ASSIGNED + r"[\"']([^\"'\s]{6,}+)[\"']"),
     Detector("EMAIL", "medium", r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24})(?![A-Za-z0-9])"),

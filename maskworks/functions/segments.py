@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import languages
-from .grammar import SPACE
+from .grammar import WHITE
 
 
 def _until(close: str) -> str:
@@ -72,5 +72,20 @@ def is_string(segment: Column, language: Column | str) -> Column:
     return one(language) if isinstance(language, str) else languages._by_language(language, one)
 
 
-#: What stands in front of a string that names a module.
-MODULE_BEFORE = rf"(?<![A-Za-z0-9_$])(?:(?:from|import){SPACE}*|(?:require|import){SPACE}*\({SPACE}*)\z"
+def before(segs: Column | str) -> Column:
+    """For each segment the one before it; nothing for the first."""
+    some = F.col(segs) if isinstance(segs, str) else segs
+    return F.slice(F.concat(F.array(F.lit("")), some), F.lit(1), F.size(some))
+
+
+def names_module(front: Column | str) -> Column:
+    """Whether a string behind some text names a module: ``from`` or ``import``, or ``require(`` or ``import(``, stands there.
+
+    White space may come between; only the last few characters before it are looked at.
+    """
+    some = F.col(front) if isinstance(front, str) else front
+    bare = lambda x: F.rtrim(x, F.lit(WHITE))
+    word = lambda x, words: F.substring(x, -8, 8).rlike(rf"(?<![A-Za-z0-9_$])(?:{words})\z")
+    end = bare(some)
+    opened = bare(F.substring(end, F.lit(1), F.length(end) - 1))
+    return word(end, "from|import") | (end.endswith("(") & word(opened, "require|import"))

@@ -1,7 +1,7 @@
 """The forward direction: identifiers become role-typed placeholders, secrets go for good.
 
-Per-document scope is one shuffle by document: texts fall into word runs on the map side, and windows
-over (document, name) and (document, base) find roles and numbers before the text is put together again.
+Per-document scope needs no shuffle: segments, names and roles are told within the row by array functions, an
+Arrow helper numbers the distinct names and another puts the text together, both linear in the row.
 """
 
 from collections.abc import Sequence
@@ -9,15 +9,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import languages, secrets
-from ..functions.grammar import ROLE_BASES, base_of, number_of
-from . import manual
+from ..functions import languages, secrets, textswap
+from ..functions.grammar import ROLE_BASES, WORD, base_of, number_of
+from . import identifiers, manual
 from .identifiers import ENTRY, occurrences, role_name
 from .rules import Rule, replacement_base, usable, whitelisted
 
 
 #: Ranges of keys that a corpus is numbered in.
 KEY_RANGES = 200
+#: More characters than a text can have.
+LONGEST = (1 << 31) - 1
 
 
 def entries_of(symbols: dict[str, str]) -> Column:
@@ -39,6 +41,16 @@ def _base(rules: list[Rule]) -> Column:
     return F.coalesce(replacement_base(F.col("token"), rules), by_role)
 
 
+def _own_base(name: Column, rules: list[Rule]) -> Column:
+    """The base that rules give a name, an empty one if it stays, null if no rule says anything."""
+    return F.when(whitelisted(name, rules), F.lit("")).otherwise(replacement_base(name, rules))
+
+
+def placeholders_held(text: Column) -> Column:
+    """The numbered placeholders that stand in a text as whole words, comments included."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<!{WORD})__[A-Z][A-Z0-9_]*__[0-9]+(?!{WORD})"), F.lit(0)))
+
+
 def prepared(docs: DataFrame, text: str, language: str | None, known: str | None, marks: Sequence[str], policy: str) -> DataFrame:
     """``docs`` with ``language`` (of the raw text), ``secrets``, ``known`` entries and redacted, marked text."""
     out = docs.withColumn("language", languages.resolve(F.col(text), language))
@@ -60,51 +72,30 @@ def anonymize(
     Comments are left as they are. A null text gives null and no entries. Rows are documents of their own,
     whatever they repeat; columns with one of the new names are replaced.
     """
-    spark = docs.sparkSession
-    active = usable(spark, list(rules))
-    carried = bool(known) or any(t.strip() for t in marks)
+    active = usable(docs.sparkSession, list(rules))
     old = [c for c in docs.columns if c not in ("anonymized", "symbols", "identifier_count", "language", "secrets", "known")]
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*old, *([known] if known else [])])])
-    source = prepared(source.withColumn("__own_null", F.col(f"`{text}`").isNull()).withColumn("__source", F.col(f"`{text}`")), "__source", language, known, marks, policy)
-    # The document's own columns ride on its first row only.
-    extra = F.struct(*[F.col(f"`{c}`") for c in old], F.col("secrets").alias("__own_secrets"), F.col("known").alias("__own_known"), F.col("language").alias("__own_language"), "__own_null")
-    packed = source.select(F.monotonically_increasing_id().alias("__id"), "__source", F.col("language").alias("__lang"), "known", extra.alias("__own_extra"))
-    row = occurrences(packed, "__id", "__source", F.col("__lang") if language in (None, "auto") else language, "known" if carried else None, "__own_extra")
-    row = row.select(
-        F.col("key").alias("id"), "extra", "seg", "idx", "token", "tail", "named", "priority", "entry",
-        base_of(F.coalesce("entry.placeholder", "token")).alias("own_base"), number_of(F.coalesce("entry.placeholder", "token")).alias("own_number"),
-    )
-    row = row.repartition("id")
-    by_name = Window.partitionBy("id", "token")
-    row = row.withColumns(
-        {
-            "mapped": F.max_by("entry.placeholder", "entry.ord").over(by_name) if carried else F.lit(None).cast("string"),
-            "role_priority": F.max("priority").over(by_name),
-            "at": F.min(F.when(F.col("named"), F.struct("seg", "idx"))).over(by_name),
-        }
+    source = prepared(source.withColumn("__source", F.col(f"`{text}`")), "__source", language, known, marks, policy)
+    which = F.col("language") if language in (None, "auto") else language
+    row = identifiers.cut(source, "__source", which).withColumn("__found", textswap.settled(identifiers.found_names(which)))
+    bases = None
+    if active:
+        row = row.withColumn("__bases", F.transform("__found", lambda x: _own_base(F.substring(x, 2, LONGEST), active)))
+        bases = F.col("__bases")
+    row = row.withColumn("__swap", textswap.numbered(F.col("__found"), F.col("known"), placeholders_held(F.col("__source")), bases))
+    most = F.coalesce(F.array_max(F.transform("known", lambda e: e["ord"])), F.lit(-1))
+    fresh = F.zip_with(
+        F.slice("__swap.placeholders", F.lit(1), F.col("__swap.fresh")), F.slice("__swap.names", F.lit(1), F.col("__swap.fresh")), lambda p, n: F.struct(p.alias("placeholder"), n.alias("name"))
     )
-    new = F.col("named") & F.col("mapped").isNull() & ~whitelisted(F.col("token"), active)
-    row = row.withColumn("new", new).withColumn("base", F.when(F.col("new"), _base(active)).when(F.col("own_number").isNotNull(), F.col("own_base")))
-    order = Window.partitionBy("id", "base").orderBy(F.col("new"), F.when(F.col("new"), -F.length("token")), F.when(F.col("new"), F.col("at")))
-    whole = Window.partitionBy("id", "base")
-    rank = F.dense_rank().over(order)
-    seed = F.max(F.when(~F.col("new"), F.col("own_number"))).over(whole)
-    old_rows = F.max(F.when(~F.col("new"), 1).otherwise(0)).over(whole)
-    row = row.withColumn("number", F.when(F.col("base").isNotNull() & F.col("new"), F.coalesce(seed, F.lit(0)) + rank - old_rows))
-    placeholder = F.when(F.col("new"), F.concat("base", F.col("number").cast("string"))).when(F.col("named"), F.col("mapped"))
-    row = row.withColumn("placeholder", placeholder)
-    piece = F.when(F.col("entry").isNull(), F.struct("seg", "idx", F.concat(F.coalesce("placeholder", "token"), "tail").alias("out")))
-    made = F.when(F.col("new") & (F.struct("seg", "idx") == F.col("at")), F.struct((-F.length("token")).alias("size"), "at", "placeholder", F.col("token").alias("name")))
-    done = row.groupBy("id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.sort_array(F.collect_list(made)).alias("made"), F.first("extra", ignorenulls=True).alias("extra"))
-    carried_most = F.coalesce(F.array_max(F.transform("extra.__own_known", lambda e: e["ord"])), F.lit(-1))
-    fresh = F.transform("made", lambda e, i: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), (carried_most + i + 1).cast("int").alias("ord")))
-    return done.select(
-        *[F.col(f"extra.`{c}`").alias(c) for c in old],
-        F.when(~F.col("extra.__own_null"), F.array_join(F.transform("pieces", lambda p: p["out"]), "")).alias("anonymized"),
-        F.concat("extra.__own_known", fresh).alias("symbols"),
-        (F.size("extra.__own_known") + F.size("made")).alias("identifier_count"),
-        F.col("extra.__own_language").alias("language"),
-        F.col("extra.__own_secrets").alias("secrets"),
+    fresh = F.transform(fresh, lambda e, i: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), (most + i + 1).cast("int").alias("ord")))
+    whole = textswap.swap_words("__segs", "__comment", "__swap.names", "__swap.placeholders")
+    return row.select(
+        *[F.col(f"`{c}`") for c in old],
+        F.when(F.col("__source").isNotNull(), whole).alias("anonymized"),
+        F.concat("known", fresh).alias("symbols"),
+        (F.size("known") + F.col("__swap.fresh")).alias("identifier_count"),
+        "language",
+        "secrets",
     )
 
 

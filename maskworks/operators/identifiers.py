@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import languages, segments
-from ..functions.grammar import ROLE_PRIORITY, SPACE, WORD, could_be_name
+from ..functions.grammar import PLACEHOLDER_TOKEN, ROLE_PRIORITY, SPACE, WORD, could_be_name
 
 _RUN = rf"({WORD}*+)([^A-Za-z0-9_$]*+)"
 IDENTIFIER = r"^[A-Za-z_$]"
@@ -27,18 +27,16 @@ def runs(docs: DataFrame, key: str, text: str, language: Column | str, known: st
         F.col(key).alias("key"), lang.alias("language"), segments.segments(F.coalesce(F.col(text), F.lit("")), language).alias("segs"),
         F.array(rider).alias("extra"), F.array(F.col(known).cast(f"array<{ENTRY}>") if known else no_entries).alias("known"),
     )
-    # What stands before a string decides whether it names a module; the last three segments reach far enough back.
-    shifted = lambda n: F.concat(F.array_repeat(F.lit(""), n), F.slice("segs", 1, F.greatest(F.size("segs") - n, F.lit(0))))
-    cut = cut.withColumns({f"b{n}": shifted(n) for n in (1, 2, 3)})
+    cut = cut.withColumn("front", segments.before("segs"))
     # Zipping pads with nulls, so what belongs to the text as a whole stays on its first row.
-    seg = cut.select("key", "language", F.posexplode_outer(F.arrays_zip("segs", "b1", "b2", "b3", "extra", "known")).alias("seg", "s"))
+    seg = cut.select("key", "language", F.posexplode_outer(F.arrays_zip("segs", "front", "extra", "known")).alias("seg", "s"))
     which = language if isinstance(language, str) else F.col("language")
     text_of = F.coalesce("s.segs", F.lit(""))
     seg = seg.select(
         "key", "language", "seg", text_of.alias("text"), segments.is_comment(text_of, which).alias("comment"), segments.is_string(text_of, which).alias("string"),
-        F.concat("s.b3", "s.b2", "s.b1").alias("front"), F.array("s.extra").alias("extra"), F.coalesce("s.known", no_entries).alias("known"),
+        F.coalesce("s.front", F.lit("")).alias("front"), F.array("s.extra").alias("extra"), F.coalesce("s.known", no_entries).alias("known"),
     )
-    seg = seg.withColumn("module", F.col("string") & F.substring("front", -400, 400).rlike(segments.MODULE_BEFORE)).drop("front")
+    seg = seg.withColumn("module", F.col("string") & segments.names_module("front")).drop("front")
     seg = seg.withColumn("token", F.regexp_extract_all("text", F.lit(_RUN), F.lit(1))).withColumn("tail", F.regexp_extract_all("text", F.lit(_RUN), F.lit(2)))
     behind = lambda name: F.concat(F.array(F.lit("")), F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0))))
     seg = seg.withColumn("before", behind("token")).withColumn("gap", behind("tail")).drop("text")
@@ -89,6 +87,48 @@ def occurrences(docs: DataFrame, key: str, text: str, language: Column | str, kn
     return row.withColumn("named", named).withColumn("priority", F.when(word, role_priority(which)))
 
 
+def _sql(text: str) -> str:
+    return "r'" + text + "'"
+
+
+def _by_language(which: Column | str, pick) -> str:
+    """SQL of a condition for one language, or told by the column ``language`` of a row."""
+    if isinstance(which, str):
+        return pick(which)
+    return "case language " + " ".join(f"when '{name}' then {pick(name)}" for name in languages.LANGUAGES) + " else false end"
+
+
+def found_names(which: Column | str) -> Column:
+    """The maskable names of a row, each behind the digit of its role, once for each of its roles, by first place.
+
+    Over the row's arrays ``__segs``, ``__comment``, ``__string`` and ``__module``, and ``language`` unless one is
+    named. What :func:`occurrences` tells row by row is told here within the row, so nothing is shuffled.
+    """
+    listed = lambda words: "(" + ", ".join(repr(w) for w in sorted(words)) + ")"
+    among = lambda x, words: lambda lang: f"{x} in {listed(words(lang))}"
+    keyword = lambda lang: f"(t in {listed(languages.keywords(lang))}" + (f" or lower(t) in {listed(languages.keywords(lang))})" if lang in languages.CASE_INSENSITIVE else ")")
+    gap, before = "get(g.tails, i - 1)", "get(g.tokens, i - 1)"
+    near = f"case when {gap} rlike {_sql(f'^{SPACE}+' + chr(92) + 'z')} and {before} rlike {_sql(IDENTIFIER)} then {before} else '' end"
+    named = rf"t rlike {_sql(IDENTIFIER)} and length(t) > 2 and not t rlike r'^[A-Z][A-Z0-9_]*\z' and not t rlike {_sql(PLACEHOLDER_TOKEN)} and not {_by_language(which, keyword)}"
+    call = f"get(g.tails, i) rlike {_sql(f'^{SPACE}*' + chr(92) + '(')}"
+    p = ROLE_PRIORITY
+    role = f"""case when g.string then if(g.module, {p["package"]}, {p["string"]})
+        when {_by_language(which, among(near, languages.class_hints))} then {p["class"]}
+        when {_by_language(which, among(near, languages.function_hints))} or {call} then {p["function"]}
+        when t rlike '^[A-Z]' and t rlike '[a-z]' then {p["class"]} else {p["variable"]} end"""
+    segment = f"""transform(arrays_zip(__segs, __comment, __string, __module), s -> named_struct('comment', s.__comment, 'string', s.__string, 'module', s.__module,
+        'tokens', regexp_extract_all(s.__segs, {_sql(_RUN)}, 1), 'tails', regexp_extract_all(s.__segs, {_sql(_RUN)}, 2)))"""
+    tokens = f"filter(transform(g.tokens, (t, i) -> case when {named} then concat({role}, t) end), x -> x is not null)"
+    return F.expr(f"array_distinct(flatten(transform({segment}, g -> if(g.comment, cast(array() as array<string>), {tokens}))))")
+
+
+def cut(docs: DataFrame, text: str, which: Column | str) -> DataFrame:
+    """``docs`` with ``__segs``, the segments of a text, and ``__comment``, ``__string`` and ``__module`` for each of them."""
+    out = docs.withColumn("__segs", segments.segments(F.coalesce(F.col(f"`{text}`"), F.lit("")), which))
+    out = out.withColumn("__comment", F.transform("__segs", lambda s: segments.is_comment(s, which))).withColumn("__string", F.transform("__segs", lambda s: segments.is_string(s, which)))
+    return out.withColumn("__module", F.zip_with("__string", segments.before("__segs"), lambda s, front: s & segments.names_module(front)))
+
+
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text", language: Column | str = languages.DEFAULT) -> DataFrame:
     """(key, name, ord) of the distinct maskable identifiers of each text, longest first, then by first place."""
     row = occurrences(docs, key, text, language).where("named")

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import textswap
 from ..functions.grammar import PLACEHOLDER_SCAN, REDACTION_PREFIX, SPACE, ascii_regex
 
 _LINE = r"^[ \t]*//[ \t]*"
@@ -65,38 +66,27 @@ def stripped(docs: DataFrame, text: str, strip: str | Sequence[str] | None = Non
 def restore(docs: DataFrame, text: str = "text", symbols: str = "symbols", strip: str | Sequence[str] | None = None, strict: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``restored``, ``stripped_count``, ``stripped_items`` and ``report``.
 
-    ``symbols`` names a column of entries (placeholder, name, ord). Placeholders are replaced in one pass,
-    longer ones first and, unless ``strict``, also inside longer words: where only the first digits of a
-    number are known, the rest stays behind the name. ``report`` is struct(resolved, missing, unresolved):
-    placeholders of the map that came back and that did not, in map order, and placeholders left in the
-    restored text, in order, without redactions. A null text is restored to null and nothing came back.
+    ``symbols`` names a column of entries (placeholder, name, ord). Every placeholder of the map is replaced, whatever
+    its shape, in one pass from the left, longer ones first and, unless ``strict``, also inside longer words: where
+    only the first digits of a number are known, the rest stays behind the name. An automaton over the map's
+    placeholders finds them, in time linear in text and map. ``report`` is struct(resolved, missing,
+    unresolved): placeholders of the map that came back and that did not, in map order, and placeholders left in
+    the restored text, in order, without redactions. A null text is restored to null and nothing came back.
     """
-    out = stripped(docs.withColumn("__text", F.col(text)), "__text", strip)
-    ordered = F.transform(F.array_sort(F.transform(symbols, lambda e: F.struct(e["ord"].alias("ord"), e["placeholder"].alias("placeholder"), e["name"].alias("name")))), lambda e: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name")))
-    out = out.withColumn("__entries", F.coalesce(ordered, F.array().cast("array<struct<placeholder:string,name:string>>")))
-    out = out.withColumn("__map", F.map_from_entries("__entries"))
-    quoted = F.transform(
-        F.array_sort(F.transform("__entries", lambda e: F.struct((-F.length(e["placeholder"])).alias("size"), e["placeholder"].alias("p")))),
-        lambda e: F.concat(F.lit("\\Q"), e["p"], F.lit("\\E")),
-    )
-    bounded = lambda one: F.concat(F.lit("(?<![A-Za-z0-9_$])(?:"), one, F.lit(")(?![A-Za-z0-9_$])")) if strict else one
-    any_of = bounded(F.array_join(quoted, "|"))
-    # Every piece is a known placeholder or a run without one; underscores alone can begin one.
-    regex = F.concat(any_of, F.lit("|[^_]++|_"))
-    out = out.withColumn("__pieces", F.when(F.size("__entries") > 0, F.regexp_extract_all("__text", regex, F.lit(0))))
-    swap = F.array_join(F.transform("__pieces", lambda p: F.when(p.startswith("__"), F.coalesce(F.try_element_at("__map", p), p)).otherwise(p)), "")
-    out = out.withColumn("restored", F.when(F.size("__entries") > 0, swap).otherwise(F.col("__text")))
-    seen = F.array_distinct(F.filter("__pieces", lambda p: p.startswith("__")))
-    out = out.withColumn("__seen", F.coalesce(seen, F.array().cast("array<string>")))
+    out = stripped(docs.withColumn("__text", F.col(f"`{text}`")), "__text", strip)
+    ordered = F.array_sort(F.transform(symbols, lambda e: F.struct(e["ord"].alias("ord"), e["placeholder"].alias("placeholder"), e["name"].alias("name"))))
+    out = out.withColumn("__entries", F.coalesce(ordered, F.array().cast("array<struct<ord:int,placeholder:string,name:string>>")))
     keys = F.transform("__entries", lambda e: e["placeholder"])
+    out = out.withColumn("__done", textswap.swap_terms(F.col("__text"), keys, F.transform("__entries", lambda e: e["name"]), strict))
+    out = out.withColumn("restored", F.col("__done.text"))
     left = F.filter(F.array_distinct(F.regexp_extract_all("restored", F.lit(PLACEHOLDER_SCAN), F.lit(0))), lambda t: ~t.startswith(REDACTION_PREFIX))
     report = F.struct(
-        F.array_intersect(keys, F.col("__seen")).alias("resolved"),
-        F.array_except(keys, F.col("__seen")).alias("missing"),
+        F.array_intersect(keys, F.col("__done.found")).alias("resolved"),
+        F.array_except(keys, F.col("__done.found")).alias("missing"),
         F.coalesce(left, F.array().cast("array<string>")).alias("unresolved"),
     )
     out = out.withColumn("report", report).withColumn("stripped_count", F.size("stripped_items"))
-    return out.drop("__text", "__entries", "__map", "__pieces", "__seen")
+    return out.drop("__text", "__entries", "__done")
 
 
 def summary(report: Column, most: int = 12) -> Column:

@@ -5,9 +5,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Longer patterns are refused, as they come from users.
-MAX_PATTERN = 1000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -22,11 +19,11 @@ class Rule:
 
 
 def usable(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
-    """Enabled rules in order; a pattern that is too long or that Java refuses matches nothing, so its rule goes."""
+    """Enabled rules in order; a pattern that Java refuses matches nothing, so its rule goes."""
     compiled = spark.sparkContext._jvm.java.util.regex.Pattern
 
     def valid(rule: Rule) -> bool:
-        if not rule.enabled or len(rule.pattern) > MAX_PATTERN:
+        if not rule.enabled:
             return False
         try:
             compiled.compile(rule.pattern)
