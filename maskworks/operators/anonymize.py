@@ -99,9 +99,28 @@ def anonymize(
     )
 
 
-def corpus_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
+def _held(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(base, key, p): the largest number of each base among the placeholders that stand in each text."""
+    found = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(placeholders_held(F.col(text))).alias("t"))
+    return found.select("key", base_of(F.col("t")).alias("base"), number_of(F.col("t")).alias("p")).where("p is not null").groupBy("base", "key").agg(F.max("p").alias("p"))
+
+
+def last_numbers(symbols: DataFrame, docs: DataFrame, last: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(base, last): the largest number of each base in new symbols, in the texts they are from, and in ``last`` from before.
+
+    Published with a symbol table, it is all that later documents need to know of earlier texts.
+    """
+    rows = symbols.select("base", F.col("n").cast("long").alias("last")).unionByName(_held(docs, key, text).select("base", F.col("p").alias("last")))
+    return (rows if last is None else rows.unionByName(last.select("base", "last"))).groupBy("base").agg(F.max("last").alias("last"))
+
+
+def corpus_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str | None = None, rules: Sequence[Rule] = (), known: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
     """(placeholder, base, n, name, first_key) of one symbol table for a whole corpus.
 
+    With ``known``, the table published before, and ``last``, its :func:`last_numbers`, only names that it does not have
+    are numbered, behind its numbers: what is published stays, only the texts of ``docs`` are read, and the
+    tables together are that of all documents in order, if those before have smaller keys.
+
     As if the documents were masked one after another in the order of their integer keys with a growing map:
     a name is numbered in the first document that has it, by the role it has there, behind all numbers that
     placeholders in documents up to that one have. Documents without a key or a text are left out.
@@ -113,10 +132,15 @@ def corpus_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     names = row.where("named").groupBy("token", "key").agg(F.max("priority").alias("p"), F.min(F.struct("seg", "idx")).alias("at"))
     first = names.groupBy("token").agg(F.min(F.struct("key", "at", "p")).alias("f")).where(~whitelisted(F.col("token"), active))
     first = first.select("token", F.col("f.key").alias("key"), F.col("f.at").alias("at"), F.col("f.p").alias("role_priority"))
+    if known is not None:
+        first = first.join(known.select(F.col("name").alias("token")), "token", "left_anti")
     first = first.withColumn("base", _base(active))
-    held = row.select("key", base_of(F.col("token")).alias("base"), number_of(F.col("token")).alias("p")).where("p is not null").groupBy("base", "key").agg(F.max("p").alias("p"))
     counts = first.groupBy("base", "key").agg(F.count("*").alias("n"))
-    per_doc = counts.join(held, ["base", "key"], "full")
+    per_doc = counts.join(_held(source, "__key", "__text"), ["base", "key"], "full").withColumn("last", F.lit(0).cast("long"))
+    if last is not None:
+        # Numbers are counted from the last one before.
+        per_doc = per_doc.drop("last").join(last.select("base", "last"), "base", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+        per_doc = per_doc.withColumn("p", F.col("p") - F.col("last"))
     # One row for each base and document that adds to it: numbers before a document are a running sum and maximum,
     # taken within ranges of keys and carried over the few rows of range totals.
     cuts = sorted(set(docs.select(F.col(key).cast("double")).approxQuantile(key, [i / KEY_RANGES for i in range(KEY_RANGES)], 0.2 / KEY_RANGES)))
@@ -128,7 +152,7 @@ def corpus_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     ranges = per_doc.groupBy("base", "range").agg(F.sum(F.coalesce("n", F.lit(0))).alias("sum"), F.max("reach").alias("most"))
     ranges = ranges.withColumn("sum", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     ranges = ranges.withColumn("most", F.coalesce(F.max(F.col("most") - F.col("sum")).over(before), F.lit(0)))
-    start = F.col("sum") + F.col("s") + F.greatest(F.col("most"), F.col("reach") - F.col("sum"), F.lit(0))
+    start = F.col("last") + F.col("sum") + F.col("s") + F.greatest(F.col("most"), F.col("reach") - F.col("sum"), F.lit(0))
     starts = per_doc.join(ranges, ["base", "range"]).select("base", "key", start.alias("start"))
     own = Window.partitionBy("key", "base").orderBy(F.length("token").desc(), "at")
     placed = first.join(starts, ["base", "key"]).withColumn("n", F.col("start") + F.row_number().over(own))

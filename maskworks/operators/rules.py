@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,45 @@ def replacement_base(name: Column, rules: list[Rule]) -> Column:
         if rule.type == "replace":
             found = found.when(name.rlike(rule.pattern), F.lit(rule.placeholder))
     return found
+
+
+#: A rule table: as :class:`Rule`, with an id, and a scope whose rules are its own; a null scope is the whole team's.
+RULES = "rule_id long, scope string, type string, pattern string, placeholder string, enabled boolean, sort_order int"
+#: The most characters of the literal pieces that names and rules meet by.
+PIECE = 3
+
+
+def needed_piece(pattern: Column) -> Column:
+    """A piece of up to ``PIECE`` characters that every match of a pattern holds; empty where none is told.
+
+    Told are patterns without alternatives, groups, classes, escapes and flags: what stands between anchors, dots and
+    quantifiers is literal, but for a character in front of a quantifier, which may be missing.
+    """
+    simple = ~pattern.rlike(r"[|()\[\]\\{}]")
+    parts = F.split(F.regexp_replace(pattern, r".[?*+]+", "\u0000"), r"[\u0000^$.]")
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("size"), p.alias("piece"))))
+    return F.when(simple, F.substring(longest["piece"], 1, PIECE)).otherwise("")
+
+
+def matched(names: DataFrame, rules: DataFrame, name: str = "name", scope: str | None = None) -> DataFrame:
+    """``names`` plus ``rule_id``, ``rule_type`` and ``rule_base``: the first rule of a table that matches each name.
+
+    ``rules`` is a table like :data:`RULES`. Rules apply to names of their scope, those without one to all. A
+    whitelist rule goes before all replacements, as it keeps the name; among rules of one type the smallest
+    (sort_order, rule_id) counts. Distinct names meet rules by the piece of text that a rule needs, in one equi-join; only rules
+    without any literal meet all names. Each pattern is tried only where they meet. Null names
+    and names that no rule matches have nulls; a pattern that Java refuses fails the query.
+    """
+    own = F.col(f"`{scope}`") if scope else F.lit(None).cast("string")
+    active = rules.where("enabled and pattern is not null").withColumn("__piece", needed_piece(F.col("pattern")))
+    active = active.select(F.col("scope").alias("__rule_scope"), "rule_id", "type", "pattern", "placeholder", "sort_order", "__piece")
+    asked = names.select(F.col(f"`{name}`").alias("__name"), own.alias("__scope")).where("__name is not null").distinct()
+    # Every piece of a name that some rule may need, the empty one included.
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__name") - n + 1, F.lit(1))), lambda i: F.substring("__name", i, F.lit(n)))
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")), *[cut(n + 1) for n in range(PIECE)]))
+    met = asked.withColumn("__piece", F.explode(pieces)).join(active, "__piece").where("(__rule_scope is null or __rule_scope <=> __scope) and __name rlike pattern")
+    first = met.groupBy("__name", "__scope").agg(F.min_by(F.struct("rule_id", "type", "placeholder"), F.struct((F.col("type") != "whitelist").alias("t"), "sort_order", "rule_id")).alias("r"))
+    first = first.select("__name", "__scope", F.col("r.rule_id").alias("rule_id"), F.col("r.type").alias("rule_type"), F.when(F.col("r.type") == "replace", F.col("r.placeholder")).alias("rule_base"))
+    same = F.col(f"`{name}`") == F.col("__name")
+    out = names.drop("rule_id", "rule_type", "rule_base").join(first, same & own.eqNullSafe(F.col("__scope")), "left")
+    return out.drop("__name", "__scope")

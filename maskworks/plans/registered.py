@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grammar, languages, links, secrets
 from ..operators import anonymize as masking
 from ..operators import identifiers, legend, restore
-from ..operators.rules import Rule
+from ..operators.rules import Rule, matched
 from ..sources import mapstore
 from . import sql
 
@@ -20,10 +20,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes for each core than this may be in fewer splits than there are cores.
+SPLIT_BYTES = 64 << 20
+
+
 def _spread(rows: DataFrame) -> DataFrame:
-    """``rows`` of a file, dealt to all cores when it is in fewer files than there are."""
+    """``rows`` of a table that is too small to give every core a split of its own, dealt to all of them.
+
+    The size is the optimizer's, so no file is listed for it; larger tables are read where they lie.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(4 * cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if size >= SPLIT_BYTES * cores else rows.repartition(4 * cores)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +105,37 @@ CORPUS_SQL = f"""with {sql.names_cte()}, f as (select r, arg_min(row(k, base, sp
 select v[2] || row_number() over (partition by v[2] order by v[1], length(r) desc, v[3]) placeholder, r as name, v[1] first_key from f"""
 
 
+def corpus_symbols_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table in two days: the first half of the documents is published, the others' new names are added to it."""
+    docs = _texts(spark, sf_dir)
+    half = F.lit(docs.agg(F.max("doc_id")).first()[0] // 2)
+    one, two = docs.where(F.col("doc_id") <= half), docs.where(F.col("doc_id") > half)
+    day = masking.corpus_symbols(one, language="typescript")
+    grown = masking.corpus_symbols(two, language="typescript", known=day, last=masking.last_numbers(day, one))
+    return day.unionByName(grown).select("placeholder", "name", "first_key")
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that matches each name of each language, of a table with a rule from every document."""
+    docs = _table(spark, sf_dir, "documents")
+    word, k = F.regexp_extract("text", "[A-Za-z]{5,}", 0), F.col("doc_id")
+    pattern = F.when(k % 3 == 0, F.concat(F.lit("^"), F.substring("w", 1, 4))).when(k % 3 == 1, F.concat(F.substring("w", -4, 4), F.lit("$"))).otherwise(F.substring("w", 2, 4))
+    rules = docs.withColumn("w", word).where("w <> ''").select(
+        k.alias("rule_id"), F.when(k % 5 == 0, F.col("lang")).alias("scope"), F.when(k % 7 == 0, "whitelist").otherwise("replace").alias("type"), pattern.alias("pattern"),
+        F.concat(F.lit("__R"), (k % 10).cast("string"), F.lit("__")).alias("placeholder"), (k % 11 != 0).alias("enabled"), (k % 100).cast("int").alias("sort_order"),
+    )
+    names = identifiers.extract(_texts(spark, sf_dir)).join(docs.select("doc_id", "lang"), "doc_id").select("lang", "name").distinct()
+    return matched(names, rules, "name", "lang").select("lang", "name", "rule_id", "rule_type", "rule_base")
+
+
+RULE_TABLE_SQL = f"""with {sql.names_cte()}, w as (select doc_id k, lang, regexp_extract(text, '[A-Za-z]{{5,}}') w from documents where doc_id % 11 <> 0),
+n as (select distinct d.lang, name.r from name join documents d on d.doc_id = name.k),
+m as (select n.lang, n.r, w.k, row_number() over (partition by n.lang, n.r order by w.k % 7 <> 0, w.k % 100, w.k) place from n join w on w <> '' and (w.k % 5 <> 0 or w.lang is null or w.lang = n.lang)
+  and case w.k % 3 when 0 then starts_with(n.r, w[1:4]) when 1 then ends_with(n.r, w[-4:]) else contains(n.r, w[2:5]) end)
+select n.lang, n.r as name, m.k rule_id, case when m.k % 7 = 0 then 'whitelist' when m.k is not null then 'replace' end rule_type, case when m.k % 7 <> 0 then '__R' || (m.k % 10) || '__' end rule_base
+from n left join m on m.place = 1 and m.r = n.r and m.lang is not distinct from n.lang"""
+
+
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guessed programming language of every page."""
     return _spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", languages.guess(F.col("html")).alias("g")).select("page_id", "g.language", F.col("g.score").cast("int").alias("score"), "g.fallback")
@@ -132,7 +171,11 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("docs"), F.count_if(same).alias("same"), F.count_if(restore.summary(F.col("report"))["clean"]).alias("clean"))
 
 
-ROUND_TRIP_SQL = 'select count(*) docs, count(*) same, count(*) "clean" from documents'
+ROUND_TRIP_SQL = f"""with {sql.names_cte()},
+p as (select occ.k, occ.si, occ.i, occ.r, case when named then sym.base || sym.n else occ.r end masked from occ left join sym on sym.k = occ.k and sym.r = occ.r),
+b as (select p.k, string_agg(coalesce(sym.r, masked), '' order by si, i) back, count_if(sym.r is null and regexp_full_match(masked, '__[A-Z][A-Z0-9_]*__[0-9]*') and masked not like '\\_\\_REDACTED\\_%' escape '\\') odd
+  from p left join sym on sym.k = p.k and sym.base || sym.n = p.masked group by p.k)
+select count(*) docs, count_if(coalesce(b.back, '') = coalesce(d.text, '')) same, count_if(coalesce(odd, 0) = 0) "clean" from documents d left join b on b.k = d.doc_id"""
 
 
 def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +258,7 @@ MAP_SQL = f"with {sql.names_cte()}, t as (select r, count(*) docs from name grou
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        anonymize_docs, anonymize_auto, identifier_counts, identifier_top, role_rollup, symbol_table, corpus_symbols, language_guess, keyword_overlap,
+        anonymize_docs, anonymize_auto, identifier_counts, identifier_top, role_rollup, symbol_table, corpus_symbols, corpus_symbols_grown, rule_table, language_guess, keyword_overlap,
         legend_counts, round_trip, rules_applied, secret_findings, strip_noise, restore_report, href_safety, placeholder_scan, map_export_check,
     )
 }
@@ -227,6 +270,8 @@ ORACLE_SQL: dict[str, str] = {
     "role_rollup": ROLLUP_SQL,
     "symbol_table": SYMBOLS_SQL,
     "corpus_symbols": CORPUS_SQL,
+    "corpus_symbols_grown": CORPUS_SQL,
+    "rule_table": RULE_TABLE_SQL,
     "language_guess": sql.guess_sql("pages", "page_id", "html"),
     "keyword_overlap": KEYWORD_SQL,
     "legend_counts": LEGEND_SQL,

@@ -63,11 +63,10 @@ class MapStore:
         row.write.mode("append").parquet(self.path)
 
     def load(self) -> DataFrame:
-        """All maps, newest first; an absent or unreadable store is empty."""
-        try:
-            rows = self.spark.read.schema(SCHEMA).parquet(self.path)
-        except Exception:  # noqa: BLE001  a missing path
+        """All maps, newest first; an absent store is empty, one that cannot be read raises."""
+        if not there(self.spark, self.path):
             return self.spark.createDataFrame([], SCHEMA).drop("deleted")
+        rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         gone = Window.partitionBy("id")
         return rows.withColumn("deleted", F.max("deleted").over(gone)).where("not deleted").drop("deleted").orderBy(F.col("saved_at").desc(), "id")
 
@@ -80,6 +79,12 @@ class MapStore:
         return self.load().limit(most)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; what cannot be asked raises."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def file_name(name: str) -> str:
     """A map's name as a file name: runs of white space become hyphens."""
     return re.sub(r"\s+", "-", name)

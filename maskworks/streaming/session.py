@@ -19,6 +19,7 @@ from ..functions import textswap
 from ..functions.grammar import PLACEHOLDER_SCAN, REDACTION_PREFIX
 from ..operators import identifiers
 from ..operators.anonymize import placeholders_held, prepared
+from ..sources.mapstore import there
 
 ENTRY = "struct<placeholder:string,name:string,ord:int>"
 ENTRIES = "scope string, epoch int, placeholder string, name string, ord int"
@@ -162,12 +163,6 @@ def mask_stream(docs: DataFrame, scope: str, text: str, out_path: str, map_path:
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def there(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there; what cannot be asked raises."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def entries_at(spark: SparkSession, map_path: str) -> DataFrame:
     """The entries that :func:`mask_stream` has written; none before its first batch. A map that cannot be read raises."""
     if not there(spark, map_path):

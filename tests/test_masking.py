@@ -1,14 +1,16 @@
 """Masking and restoring: languages, roles, rules, maps, marks, reports."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from maskworks.functions import grammar, languages, links, secrets
+from maskworks.functions import grammar, languages, links, secrets, textswap
 from maskworks.operators import anonymize as masking
 from maskworks.operators import identifiers, legend, manual, restore
-from maskworks.operators.rules import Rule
+from maskworks.operators.rules import RULES, Rule, matched
 
 #: A sample of each language: code, words that stay, words that go.
 SAMPLES = {
@@ -202,3 +204,81 @@ def test_corpus_numbers_do_not_depend_on_ranges(spark, monkeypatch):
     one = {r["name"]: r["placeholder"] for r in masking.corpus_symbols(docs, language="typescript").collect()}
     assert many == one and len(set(one.values())) == len(one) > 300
     assert masking.corpus_symbols(docs.limit(0), language="typescript").count() == 0
+
+
+def test_restore_by_automaton_equals_trying_all_terms(spark):
+    """Terms of any shape, nested and overlapping, malformed keys included."""
+    rng = random.Random(4)
+    cases = []
+    for _ in range(400):
+        terms = list({"".join(rng.choice("ab_1P$") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 7))})
+        cases.append(("".join(rng.choice("ab_1P$ ") for _ in range(rng.randint(0, 40))), terms))
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(cases)], "i int, text string, keys array<string>").withColumn("symbols", F.expr("transform(keys, (k, i) -> named_struct('placeholder', k, 'name', concat('<', k, '>'), 'ord', i))"))
+    for strict in (False, True):
+        got = {r["i"]: r for r in restore.restore(docs, strip="none", strict=strict).collect()}
+        for i, (text, terms) in enumerate(cases):
+            one = "|".join(re.escape(k) for k in sorted(terms, key=len, reverse=True))
+            seen = []
+            want = re.sub(rf"(?<![A-Za-z0-9_$])(?:{one})(?![A-Za-z0-9_$])" if strict else one, lambda m: seen.append(m[0]) or f"<{m[0]}>", text)
+            assert got[i]["restored"] == want, (text, terms, strict)
+            assert got[i]["report"]["resolved"] == [k for k in terms if k in seen] and got[i]["report"]["missing"] == [k for k in terms if k not in seen]
+    row = restore.restore(spark.createDataFrame([("use P1 and {{x}}",)], "text string").withColumn("symbols", masking.entries_of({"P1": "alpha", "{{x}}": "beta"})), strip="none").first()
+    assert row["restored"] == "use alpha and beta"
+
+
+def test_a_large_map_is_restored_in_linear_time():
+    keys = [f"__VAR__{i}" for i in range(50_000)]
+    names = [f"name{i}" for i in range(50_000)]
+    text = " ".join(keys[i * 7 % 50_000] for i in range(90_000))
+    began = time.process_time()
+    out, found = textswap.swapped_terms(text, keys, names)
+    assert out == " ".join(names[i * 7 % 50_000] for i in range(90_000)) and len(found) == 50_000 and time.process_time() - began < 10
+
+
+def test_rows_have_marks_of_their_own(spark):
+    key = "sk_" + "live_" + "a1B2" * 6
+    rows = [(1, "call Kowalska and Nowak, FN __FN__1", ["Nowak", "Kowalska", "FN", " ", None, "Nowak"]), (2, "Kowalska", None), (3, f"x {key} y", [key, "__FN__1", "y"]), (4, None, ["a"])]
+    docs = spark.createDataFrame(rows, "i int, text string, terms array<string>").withColumn("known", masking.entries_of({}))
+    out = {r["i"]: r for r in manual.mark_rows(docs, "terms").collect()}
+    assert out[1]["text"] == "call __MANUAL__2 and __MANUAL__1, __MANUAL__3 __FN__1" and out[1]["refused"] == []
+    assert out[2]["text"] == "Kowalska" and out[2]["known"] == [] and out[4]["text"] is None
+    assert [(e["nth"], e["reason"]) for e in out[3]["refused"]] == [(1, manual.CREDENTIAL), (2, manual.ALREADY)] and out[3]["text"].endswith("__MANUAL__1")
+    terms = docs.select(manual.terms_in(masking.entries_of({"__MANUAL__1": "a", "__CLS__1": "b", "__MANUAL__x": "c"})).alias("t")).first()["t"]
+    assert terms == ["a", "c"]
+
+
+def test_nothing_is_cut_off(spark):
+    assert "__PKG__1" in symbols_of(run(spark, ["import x from" + " " * 450 + '"lodashLib"'])[0])
+    assert "__PKG__1" in symbols_of(run(spark, ["require  (\n" + " " * 450 + "'lodashLib')"])[0]) and "__STR__1" in symbols_of(run(spark, ["xfrom 'lodashLib'"])[0])
+    word = "k9" * 120
+    row = run(spark, [f"postgres://{'u' * 300}:{word}@host/db"])[0]
+    assert word not in row["anonymized"] and [s["type"] for s in row["secrets"]] == ["CONNECTION_PASSWORD"]
+    named = run(spark, [f'aws_{"x" * 50}_secret_{"y" * 50} = "{"Ab1/" * 10}"'])[0]
+    assert "AWS_SECRET_KEY" in [s["type"] for s in named["secrets"]]
+    rule = Rule("replace", "|".join(f"name{i}x" for i in range(300)), "__LONG__")
+    assert symbols_of(run(spark, ["name299x"], rules=[rule])[0]) == {"__LONG__1": "name299x"}
+
+
+def test_rule_tables_equal_trying_all_rules(spark):
+    rng = random.Random(9)
+    names = [(rng.choice(["s", "t", None]), "".join(rng.choice("abcXY_") for _ in range(rng.randint(1, 7)))) for _ in range(300)] + [("s", None), (None, None)]
+    shapes = ["^{}", "{}$", "{}", "{}.b", "a?{}", "{}+c", "({}|b)", "[ab]{}", "^.{}", "x*", "{}*"]
+    rules = [(i, rng.choice(["s", None]), rng.choice(["whitelist", "replace"]), rng.choice(shapes).format("".join(rng.choice("abcX") for _ in range(rng.randint(1, 4)))), f"__B{i}__", rng.random() < 0.9, rng.randint(0, 5)) for i in range(60)]
+    out = matched(spark.createDataFrame(names, "scope string, name string"), spark.createDataFrame(rules, RULES), "name", "scope").collect()
+    assert len(out) == len(names)
+    for r in out:
+        hits = [x for x in rules if r["name"] is not None and x[5] and x[1] in (None, r["scope"]) and re.search(x[3], r["name"])]
+        best = min(hits, key=lambda x: (x[2] != "whitelist", x[6], x[0]), default=(None,) * 7)
+        assert (r["rule_id"], r["rule_type"], r["rule_base"]) == (best[0], best[2], best[4] if best[2] == "replace" else None), r
+
+
+def test_a_published_symbol_table_grows(spark):
+    texts = ["class Alpha {} __CLS__9", "let betaOne = new Alpha()", None, "class GammaTwo { betaOne() {} } __VAR__5", "let deltaX = epsilonY(__CLS__2)", "class Zeta {} let alphaB = deltaX"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df: {(r["placeholder"], r["name"], r["first_key"]) for r in df.collect()}
+    want = rows(masking.corpus_symbols(docs, language="typescript"))
+    for cut in range(1, 6):
+        one, two = docs.where(f"doc_id < {cut}"), docs.where(f"doc_id >= {cut}")
+        day = masking.corpus_symbols(one, language="typescript")
+        grown = masking.corpus_symbols(two, language="typescript", known=day, last=masking.last_numbers(day, one))
+        assert rows(day) | rows(grown) == want, cut
