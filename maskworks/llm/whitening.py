@@ -101,14 +101,12 @@ def merged(rows: DataFrame, whole_numbers: bool) -> dict[int, State]:
                 (state.add_whole if whole_numbers else state.add)(vectors)
         yield from _rows(states, TaskContext.get().partitionId())
 
-    def join(group: Iterator[pa.RecordBatch]):
-        state = None
-        for batch in group:
-            for r in batch.to_pylist():
-                state = state or State(r["dim"])
-                state.merge(r["n"], np.array(list(map(int, r["sums"])), object), np.array(r["mean"]), np.array(r["products"]).reshape(r["dim"], r["dim"]))
-                slot = r["slot"]
-        yield from _rows({len(state.mean): state}, slot)
+    def join(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        state = State(rows[0]["dim"])
+        for r in rows:
+            state.merge(r["n"], np.array(list(map(int, r["sums"])), object), np.array(r["mean"]), np.array(r["products"]).reshape(r["dim"], r["dim"]))
+        return pa.Table.from_batches(_rows({rows[0]["dim"]: state}, rows[0]["slot"]))
 
     states = written(rows.select("x").mapInArrow(start, _STATE), "states")
     while (most := states.agg(F.max("slot")).first()[0] or 0) > 0:

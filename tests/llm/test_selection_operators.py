@@ -35,8 +35,19 @@ def _plain_whitening(vectors):
     return out, values_of / values.sum()
 
 
-@pytest.mark.parametrize("parts", [1, 7, 70])
-def test_whitening_equals_a_plain_model(spark, sf, parts):
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles with so many partitions that states are merged in several rounds."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_whitening_equals_a_plain_model(spark, sf, parts, many_partitions):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     rows = [(k, [c * (1 + (j % 7)) for j, c in enumerate(v)]) for k, v in rows]
     rows += [(10_001, rows[0][1]), (10_002, None), (10_003, [None] * len(rows[0][1])), (10_004, [float("nan")] * len(rows[0][1])), (10_005, [float("inf")] * len(rows[0][1])), (10_006, [])]
