@@ -107,15 +107,18 @@ def found_names(which: Column | str) -> Column:
     listed = lambda words: "(" + ", ".join(repr(w) for w in sorted(words)) + ")"
     among = lambda x, words: lambda lang: f"{x} in {listed(words(lang))}"
     keyword = lambda lang: f"(t in {listed(languages.keywords(lang))}" + (f" or lower(t) in {listed(languages.keywords(lang))})" if lang in languages.CASE_INSENSITIVE else ")")
-    gap, before = "get(g.tails, i - 1)", "get(g.tokens, i - 1)"
-    near = f"case when {gap} rlike {_sql(f'^{SPACE}+' + chr(92) + 'z')} and {before} rlike {_sql(IDENTIFIER)} then {before} else '' end"
-    named = rf"t rlike {_sql(IDENTIFIER)} and length(t) > 2 and not t rlike r'^[A-Z][A-Z0-9_]*\z' and not t rlike {_sql(PLACEHOLDER_TOKEN)} and not {_by_language(which, keyword)}"
-    call = f"get(g.tails, i) rlike {_sql(f'^{SPACE}*' + chr(92) + '(')}"
+    gap, before, tail = "get(g.tails, i - 1)", "get(g.tokens, i - 1)", "get(g.tails, i)"
+    # Tests that look at a character or a hash come before those that need a pattern.
+    behind = f"({gap} = ' ' or {gap} rlike {_sql(f'^{SPACE}+' + chr(92) + 'z')})"
+    capitals = r"(upper(t) = t and t rlike r'^[A-Z][A-Z0-9_]*\z')"
+    placeholder = f"(startswith(t, '__') and t rlike {_sql(PLACEHOLDER_TOKEN)})"
+    named = f"length(t) > 2 and not substring(t, 1, 1) between '0' and '9' and not {_by_language(which, keyword)} and not {capitals} and not {placeholder}"
+    call = f"(contains({tail}, '(') and {tail} rlike {_sql(f'^{SPACE}*' + chr(92) + '(')})"
     p = ROLE_PRIORITY
     role = f"""case when g.string then if(g.module, {p["package"]}, {p["string"]})
-        when {_by_language(which, among(near, languages.class_hints))} then {p["class"]}
-        when {_by_language(which, among(near, languages.function_hints))} or {call} then {p["function"]}
-        when t rlike '^[A-Z]' and t rlike '[a-z]' then {p["class"]} else {p["variable"]} end"""
+        when {_by_language(which, among(before, languages.class_hints))} and {behind} then {p["class"]}
+        when {_by_language(which, among(before, languages.function_hints))} and {behind} or {call} then {p["function"]}
+        when substring(t, 1, 1) between 'A' and 'Z' and upper(t) <> t then {p["class"]} else {p["variable"]} end"""
     segment = f"""transform(arrays_zip(__segs, __comment, __string, __module), s -> named_struct('comment', s.__comment, 'string', s.__string, 'module', s.__module,
         'tokens', regexp_extract_all(s.__segs, {_sql(_RUN)}, 1), 'tails', regexp_extract_all(s.__segs, {_sql(_RUN)}, 2)))"""
     tokens = f"filter(transform(g.tokens, (t, i) -> case when {named} then concat({role}, t) end), x -> x is not null)"
