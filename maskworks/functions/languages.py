@@ -149,125 +149,125 @@ COMMENTS = {
     "sql": {"line": ["--"], "block": [["/*", "*/"]], "docstring": [], "quotes": ["'", '"']},
 }
 
-#: What speaks for a language, as (weight, pattern). Patterns are in the common subset of regex dialects.
+#: Fixed values, taken as they are for identical output: what speaks for a language, as (pattern, weight).
 MARKER_CAP = 3
 MARKERS = {
     "typescript": (
-        (2, r"\b(?:const|let)\s+[\w$]+\s*[=:]"),
-        (1, r"=>"),
-        (3, r"\binterface\s+\w+\s*\{"),
-        (3, r"\bexport\s+(?:default|const|function|class|interface|type)\b"),
-        (3, r"\bimport\s+[^;\n]*\bfrom\s+['\"]"),
-        (2, r":\s*(?:string|number|boolean|void|unknown|any)\b"),
-        (2, r"\bconsole\.(?:log|error|warn)\b"),
-        (1, r"\bfunction\s+\w+\s*\("),
-        (2, r"\basync\s+function\b"),
-        (1, r"\bnull\b|\bundefined\b"),
+        (r"\b(?:const|let)\s+[\w$]+\s*[=:]", 2),
+        (r"=>", 1),
+        (r"\binterface\s+\w+\s*\{", 3),
+        (r"\bexport\s+(?:default|const|function|class|interface|type)\b", 3),
+        (r"\bimport\s+[^;\n]*\bfrom\s+['\"]", 3),
+        (r":\s*(?:string|number|boolean|void|unknown|any)\b", 2),
+        (r"\bconsole\.(?:log|error|warn)\b", 2),
+        (r"\bfunction\s+\w+\s*\(", 1),
+        (r"\basync\s+function\b", 2),
+        (r"\bnull\b|\bundefined\b", 1),
     ),
     "python": (
-        (3, r"^[ \t]*def\s+\w+\s*\("),
-        (3, r"^[ \t]*(?:async\s+)?def\s+\w+\s*\([^)]*\)\s*(?:->[^:]+)?:"),
-        (3, r"^[ \t]*class\s+\w+[^{]*:[ \t]*$"),
-        (3, r"\belif\b"),
-        (2, r"\bself\b"),
-        (3, r"__init__|__name__|__main__"),
-        (3, r"^[ \t]*from\s+[\w.]+\s+import\s+"),
-        (2, r"\b(?:True|False|None)\b"),
-        (1, r"^[ \t]*#[^!]"),
-        (2, r"\"\"\"|'''"),
+        (r"^[ \t]*def\s+\w+\s*\(", 3),
+        (r"^[ \t]*(?:async\s+)?def\s+\w+\s*\([^)]*\)\s*(?:->[^:]+)?:", 3),
+        (r"^[ \t]*class\s+\w+[^{]*:[ \t]*$", 3),
+        (r"\belif\b", 3),
+        (r"\bself\b", 2),
+        (r"__init__|__name__|__main__", 3),
+        (r"^[ \t]*from\s+[\w.]+\s+import\s+", 3),
+        (r"\b(?:True|False|None)\b", 2),
+        (r"^[ \t]*#[^!]", 1),
+        (r"\"\"\"|'''", 2),
     ),
     "go": (
-        (3, r"^package\s+\w+"),
-        (3, r"\bfunc\s+(?:\(\s*\w+\s+\*?\w+\s*\)\s*)?\w*\s*\("),
-        (3, r":="),
-        (2, r"\bnil\b"),
-        (3, r"\bstruct\s*\{"),
-        (3, r"\berr\s*!=\s*nil\b"),
-        (3, r"\bfmt\.\w+"),
-        (2, r"\b(?:int64|float64|uint8|rune|byte)\b"),
-        (2, r"\bdefer\s+"),
-        (2, r"\bchan\s+\w+|<-"),
+        (r"^package\s+\w+", 3),
+        (r"\bfunc\s+(?:\(\s*\w+\s+\*?\w+\s*\)\s*)?\w*\s*\(", 3),
+        (r":=", 3),
+        (r"\bnil\b", 2),
+        (r"\bstruct\s*\{", 3),
+        (r"\berr\s*!=\s*nil\b", 3),
+        (r"\bfmt\.\w+", 3),
+        (r"\b(?:int64|float64|uint8|rune|byte)\b", 2),
+        (r"\bdefer\s+", 2),
+        (r"\bchan\s+\w+|<-", 2),
     ),
     "java": (
-        (3, r"\bpublic\s+(?:static\s+)?(?:final\s+)?(?:class|void|int|String|abstract)\b"),
-        (3, r"\bSystem\.out\.print"),
-        (3, r"^import\s+(?:java|javax|kotlin)[\w.]*;?"),
-        (3, r"@(?:Override|Deprecated|SuppressWarnings|Autowired|Component|Service)\b"),
-        (3, r"\bpublic\s+static\s+void\s+main\b"),
-        (3, r"\bfun\s+\w+\s*\("),
-        (2, r"\bval\s+\w+\s*[:=]"),
-        (1, r"\bnew\s+[A-Z]\w*\s*\("),
-        (1, r"\bimplements\s+\w+|\bextends\s+\w+"),
-        (3, r"\bthrows\s+\w+Exception\b"),
+        (r"\bpublic\s+(?:static\s+)?(?:final\s+)?(?:class|void|int|String|abstract)\b", 3),
+        (r"\bSystem\.out\.print", 3),
+        (r"^import\s+(?:java|javax|kotlin)[\w.]*;?", 3),
+        (r"@(?:Override|Deprecated|SuppressWarnings|Autowired|Component|Service)\b", 3),
+        (r"\bpublic\s+static\s+void\s+main\b", 3),
+        (r"\bfun\s+\w+\s*\(", 3),
+        (r"\bval\s+\w+\s*[:=]", 2),
+        (r"\bnew\s+[A-Z]\w*\s*\(", 1),
+        (r"\bimplements\s+\w+|\bextends\s+\w+", 1),
+        (r"\bthrows\s+\w+Exception\b", 3),
     ),
     "csharp": (
-        (3, r"^using\s+System[\w.]*;"),
-        (3, r"\bnamespace\s+[\w.]+"),
-        (3, r"\bConsole\.Write(?:Line)?\b"),
-        (2, r"\bpublic\s+(?:async\s+)?(?:Task|void|string|int|bool)\b"),
-        (2, r"\bvar\s+\w+\s*=\s*new\b"),
-        (3, r"\{\s*get;\s*(?:set;)?\s*\}"),
-        (3, r"\bstring\[\]\s+args\b"),
-        (2, r"\bIEnumerable<|\bList<\w+>\s+\w+"),
-        (3, r"\bnameof\s*\("),
+        (r"^using\s+System[\w.]*;", 3),
+        (r"\bnamespace\s+[\w.]+", 3),
+        (r"\bConsole\.Write(?:Line)?\b", 3),
+        (r"\bpublic\s+(?:async\s+)?(?:Task|void|string|int|bool)\b", 2),
+        (r"\bvar\s+\w+\s*=\s*new\b", 2),
+        (r"\{\s*get;\s*(?:set;)?\s*\}", 3),
+        (r"\bstring\[\]\s+args\b", 3),
+        (r"\bIEnumerable<|\bList<\w+>\s+\w+", 2),
+        (r"\bnameof\s*\(", 3),
     ),
     "rust": (
-        (3, r"\bfn\s+\w+\s*[(<]"),
-        (3, r"\blet\s+mut\b"),
-        (3, r"\bimpl(?:\s*<[^>]*>)?\s+\w+"),
-        (3, r"\bpub\s+(?:fn|struct|enum|mod|trait|const)\b"),
-        (3, r"->\s*(?:Result|Option)<"),
-        (3, r"\buse\s+[\w:]+::"),
-        (3, r"&(?:mut\s+)?self\b|&str\b"),
-        (2, r"\bmatch\s+\w+\s*\{"),
-        (2, r"\.unwrap\(\)|\.expect\(|\?;"),
-        (3, r"#\[derive\(|#\[cfg\("),
+        (r"\bfn\s+\w+\s*[(<]", 3),
+        (r"\blet\s+mut\b", 3),
+        (r"\bimpl(?:\s*<[^>]*>)?\s+\w+", 3),
+        (r"\bpub\s+(?:fn|struct|enum|mod|trait|const)\b", 3),
+        (r"->\s*(?:Result|Option)<", 3),
+        (r"\buse\s+[\w:]+::", 3),
+        (r"&(?:mut\s+)?self\b|&str\b", 3),
+        (r"\bmatch\s+\w+\s*\{", 2),
+        (r"\.unwrap\(\)|\.expect\(|\?;", 2),
+        (r"#\[derive\(|#\[cfg\(", 3),
     ),
     "ruby": (
-        (2, r"^[ \t]*def\s+\w+[?!]?"),
-        (3, r"^[ \t]*end[ \t]*$"),
-        (3, r"\bputs\b"),
-        (3, r"\belsif\b"),
-        (3, r"\brequire(?:_relative)?\s+['\"]"),
-        (3, r"\bdo\s*\|[\w, ]*\|"),
-        (2, r"@\w+\s*="),
-        (3, r"\battr_(?:accessor|reader|writer)\b"),
-        (2, r"\bunless\b|\bnil\?"),
-        (2, r":\w+\s*=>|\bdef\s+initialize\b"),
+        (r"^[ \t]*def\s+\w+[?!]?", 2),
+        (r"^[ \t]*end[ \t]*$", 3),
+        (r"\bputs\b", 3),
+        (r"\belsif\b", 3),
+        (r"\brequire(?:_relative)?\s+['\"]", 3),
+        (r"\bdo\s*\|[\w, ]*\|", 3),
+        (r"@\w+\s*=", 2),
+        (r"\battr_(?:accessor|reader|writer)\b", 3),
+        (r"\bunless\b|\bnil\?", 2),
+        (r":\w+\s*=>|\bdef\s+initialize\b", 2),
     ),
     "php": (
-        (3, r"<\?php"),
-        (3, r"\$\w+\s*="),
-        (2, r"\becho\b"),
-        (1, r"\bfunction\s+\w+\s*\([^)]*\)\s*(?::\s*\w+\s*)?\{"),
-        (3, r"\$this->\w+"),
-        (3, r"\bpublic\s+function\b"),
-        (3, r"\buse\s+[\w\\]+\\[\w]+;"),
-        (2, r"\barray\s*\(|\[\s*['\"]\w+['\"]\s*=>"),
-        (2, r"\bnamespace\s+[\w\\]+;"),
+        (r"<\?php", 3),
+        (r"\$\w+\s*=", 3),
+        (r"\becho\b", 2),
+        (r"\bfunction\s+\w+\s*\([^)]*\)\s*(?::\s*\w+\s*)?\{", 1),
+        (r"\$this->\w+", 3),
+        (r"\bpublic\s+function\b", 3),
+        (r"\buse\s+[\w\\]+\\[\w]+;", 3),
+        (r"\barray\s*\(|\[\s*['\"]\w+['\"]\s*=>", 2),
+        (r"\bnamespace\s+[\w\\]+;", 2),
     ),
     "c": (
-        (3, r"^\s*#include\s*[<\"]"),
-        (3, r"\bint\s+main\s*\("),
-        (3, r"\bprintf\s*\(|\bfprintf\s*\("),
-        (3, r"\bstd::\w+"),
-        (3, r"\b(?:malloc|calloc|free|memcpy|memset)\s*\("),
-        (3, r"\btypedef\s+struct\b"),
-        (2, r"\bvoid\s*\*|\bchar\s*\*"),
-        (2, r"\b(?:size_t|uint\d+_t|int\d+_t)\b"),
-        (3, r"^\s*#(?:define|ifndef|pragma)\b"),
-        (3, r"\bcout\s*<<|\bstd::endl\b"),
+        (r"^\s*#include\s*[<\"]", 3),
+        (r"\bint\s+main\s*\(", 3),
+        (r"\bprintf\s*\(|\bfprintf\s*\(", 3),
+        (r"\bstd::\w+", 3),
+        (r"\b(?:malloc|calloc|free|memcpy|memset)\s*\(", 3),
+        (r"\btypedef\s+struct\b", 3),
+        (r"\bvoid\s*\*|\bchar\s*\*", 2),
+        (r"\b(?:size_t|uint\d+_t|int\d+_t)\b", 2),
+        (r"^\s*#(?:define|ifndef|pragma)\b", 3),
+        (r"\bcout\s*<<|\bstd::endl\b", 3),
     ),
     "sql": (
-        (3, r"\bSELECT\b[\s\S]{0,400}?\bFROM\b"),
-        (3, r"\bINSERT\s+INTO\b"),
-        (3, r"\bCREATE\s+(?:TABLE|INDEX|VIEW|OR\s+REPLACE)\b"),
-        (3, r"\bALTER\s+TABLE\b"),
-        (3, r"\b(?:INNER|LEFT|RIGHT|FULL|CROSS)\s+(?:OUTER\s+)?JOIN\b"),
-        (3, r"\bGROUP\s+BY\b|\bORDER\s+BY\b"),
-        (2, r"\bWHERE\b[\s\S]{0,200}?[=<>]"),
-        (3, r"\bPRIMARY\s+KEY\b|\bFOREIGN\s+KEY\b"),
-        (3, r"\bUPDATE\b[\s\S]{0,200}?\bSET\b"),
+        (r"\bSELECT\b[\s\S]{0,400}?\bFROM\b", 3),
+        (r"\bINSERT\s+INTO\b", 3),
+        (r"\bCREATE\s+(?:TABLE|INDEX|VIEW|OR\s+REPLACE)\b", 3),
+        (r"\bALTER\s+TABLE\b", 3),
+        (r"\b(?:INNER|LEFT|RIGHT|FULL|CROSS)\s+(?:OUTER\s+)?JOIN\b", 3),
+        (r"\bGROUP\s+BY\b|\bORDER\s+BY\b", 3),
+        (r"\bWHERE\b[\s\S]{0,200}?[=<>]", 2),
+        (r"\bPRIMARY\s+KEY\b|\bFOREIGN\s+KEY\b", 3),
+        (r"\bUPDATE\b[\s\S]{0,200}?\bSET\b", 3),
     ),
 }
 
@@ -331,7 +331,7 @@ def scores(text: Column) -> dict[str, Column]:
         hits = F.least(F.regexp_count(text, F.lit(marker_regex(lang, pattern))), F.lit(MARKER_CAP))
         return F.when(may_match(text, pattern, lang in CASE_INSENSITIVE), hits).otherwise(0)
 
-    return {lang: reduce(lambda a, b: a + b, [count(lang, p) * w for w, p in marks]) for lang, marks in MARKERS.items()}
+    return {lang: reduce(lambda a, b: a + b, [count(lang, p) * w for p, w in marks]) for lang, marks in MARKERS.items()}
 
 
 def guess(text: Column) -> Column:

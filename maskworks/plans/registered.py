@@ -194,17 +194,31 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summarize(secrets.with_findings(_texts(spark, sf_dir), policy="warn"))
 
 
+#: A comment of every kind that is stripped; turns are prose, and each gets these in front.
+NOISE = "/** doc\n * more */\n// TODO later\n// Step 1: go\n  // Handle it\n// ----\n// **head**\n// @param x\nkept();\n\n\n\n"
+
+
 def strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is stripped from assistant turns by type, with the first of each conversation's turn."""
+    """What is stripped from assistant turns, by type and line, and the digest of what is left."""
     turns = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    # The turns are prose; each gets a comment of every kind so that there is something to strip.
-    noisy = turns.select("conv_id", "turn", F.concat(F.lit("/** doc\n * more */\n// TODO later\n// Step 1: go\n  // Handle it\n// ----\n// **head**\n// @param x\nkept();\n\n\n\n"), "text").alias("text"))
+    noisy = turns.select("conv_id", "turn", F.concat(F.lit(NOISE), "text").alias("text"))
     out = restore.restore(noisy.withColumn("symbols", masking.entries_of({})), "text")
-    return out.select("conv_id", "turn", "stripped_count", F.array_join(F.transform("stripped_items", lambda i: F.concat(i["type"], F.lit(":"), i["line_number"].cast("string"))), ",").alias("items"))
-
-
-STRIP_SQL = """select conv_id, turn, 7 stripped_count, 'jsdoc:1,todo:2,step-marker:3,narration:4,separator:5,section-header:6,inline-annotation:7' items
-from conversations where role = 'assistant'"""
+    items = F.array_join(F.transform("stripped_items", lambda i: F.concat(i["type"], F.lit(":"), i["line_number"].cast("string"))), ",")
+    return out.select("conv_id", "turn", "stripped_count", items.alias("items"), F.md5("restored").alias("left_md5"))
+
+
+_LINE_KINDS = [k for k in restore.STRIPPABLE_TYPES if k != "jsdoc"]
+_PATTERN_OF = {k: sql._quoted(restore.STRIP_PATTERNS[k]) for k in _LINE_KINDS}
+# Block comments go first; then each line is of the first kind whose pattern it begins with, and the part that matches goes.
+STRIP_SQL = rf"""with t as (select conv_id, turn, {sql._quoted(NOISE)} || text s from conversations where role = 'assistant'),
+j as (select *, regexp_extract_all(s, '/\*\*(?s:.*?)\*/') blocks, regexp_replace(s, '/\*\*(?s:.*?)\*/', '', 'g') bare from t),
+l as (select conv_id, turn, unnest(string_split(bare, chr(10))) line, generate_subscripts(string_split(bare, chr(10)), 1) i from j),
+k as (select *, case {" ".join(f"when regexp_matches(line, {p}) then {n}" for n, p in enumerate(_PATTERN_OF.values()))} end kind from l),
+c as (select *, case kind {" ".join(f"when {n} then regexp_replace(line, {p}, '')" for n, p in enumerate(_PATTERN_OF.values()))} else line end rest from k),
+f as (select conv_id, turn, string_agg(case when regexp_full_match(rest, '[ \t]+') then '' else rest end, chr(10) order by i) rest, count(kind) n,
+  string_agg(case kind {" ".join(f"when {n} then '{k}'" for n, k in enumerate(_PATTERN_OF))} end || ':' || i, ',' order by kind, i) filter (kind is not null) items from c group by conv_id, turn),
+b as (select conv_id, turn, len(blocks) n, array_to_string(list_transform(blocks, lambda x: 'jsdoc:' || (1 + len(split_part(s, x, 1)) - len(replace(split_part(s, x, 1), chr(10), '')))), ',') items from j)
+select conv_id, turn, (b.n + f.n)::int stripped_count, concat_ws(',', nullif(b.items, ''), f.items) items, md5(regexp_replace(rest, '\n{{3,}}', chr(10) || chr(10), 'g')) left_md5 from f join b using (conv_id, turn)"""
 
 
 def restore_report(spark: SparkSession, sf_dir: str) -> DataFrame:

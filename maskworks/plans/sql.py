@@ -45,7 +45,7 @@ def guess_sql(table: str, key: str, text: str) -> str:
     parts = []
     for order, (lang, marks) in enumerate(languages.MARKERS.items()):
         flags = "(?im)" if lang in languages.CASE_INSENSITIVE else "(?m)"
-        terms = [f"least(len(regexp_extract_all(coalesce({text}, ''), {_quoted(flags + p.replace(chr(92) + 's', _SPACE).replace('[' + chr(92) + 'S', '[' + chr(92) + 'S')  if '[' + chr(92) + 's' not in p else flags + p)})), {languages.MARKER_CAP}) * {w}" for w, p in marks]
+        terms = [f"least(len(regexp_extract_all(coalesce({text}, ''), {_quoted(flags + p.replace(chr(92) + 's', _SPACE).replace('[' + chr(92) + 'S', '[' + chr(92) + 'S')  if '[' + chr(92) + 's' not in p else flags + p)})), {languages.MARKER_CAP}) * {w}" for p, w in marks]
         parts.append(f"select {key} k, '{lang}' lang, {order} o, {' + '.join(terms)} score from {table}")
     return f"""select k {key}, case when max(score) = 0 then '{languages.DEFAULT}' else arg_max(lang, score * 100 - o) end "language", max(score)::int score, max(score) = 0 fallback
 from ({" union all ".join(parts)}) group by k"""
