@@ -70,50 +70,6 @@ class _Sums:
         return distinct, sums
 
 
-def _block_words(batches) -> Iterator[pa.RecordBatch]:
-    """(block, word, shape, n) of batches (text, trains, block); n counts training texts only."""
-    at_block = None
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flushed():
-        word, shape, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        distinct, first, inverse = np.unique(word, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=n, minlength=len(distinct)).astype(np.int64)
-        return distinct, shape[first], n
-
-    def batch_of(block, word, shape, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block, np.int64)), pa.array(word.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(n)], names=["block", "word", "shape", "n"])
-
-    for batch in batches:
-        blocks = batch.column(2).to_numpy()
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if at_block is not None and blocks[a] != at_block and held:
-                yield batch_of(at_block, *flushed())
-                held, size = [], 0
-            at_block = int(blocks[a])
-            trains = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-            for c, d, words in word_batches(batch.column(0).slice(a, b - a)):
-                if not len(words):
-                    continue
-                word, shape = words.hashes(), shapes(words)
-                counted = np.repeat(trains[c:d], np.diff(words.first))
-                distinct, first, inverse = np.unique(word, return_index=True, return_inverse=True)
-                held.append((distinct, shape[first], np.bincount(inverse, weights=counted, minlength=len(distinct)).astype(np.int64)))
-                size += len(distinct)
-                if size > _HELD:
-                    held = [flushed()]
-                    size = len(held[0][0])
-                    if size > _HELD // 2:
-                        yield batch_of(at_block, *held[0])
-                        held, size = [], 0
-    if held:
-        yield batch_of(at_block, *flushed())
-
-
 class Core:
     """The core words and, of each, its place in the order of frequency, its count and its class."""
 
