@@ -7,6 +7,7 @@ texts together.
 
 import re
 from collections import OrderedDict
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ _NUMBERED = re.compile(NUMBERED.replace(r"\z", r"\Z"), re.ASCII).match
 BASES = {str(p): ROLE_BASES[role] for role, p in ROLE_PRIORITY.items()}
 LARGEST = (1 << 63) - 1
 _LETTER = re.compile("[A-Za-z0-9_$]")
+#: Rows whose values are Python objects at a time.
+AT_ONCE = 32
 #: Automata that a worker keeps, by their terms.
 KEPT_AUTOMATA = 8
 
@@ -65,6 +68,12 @@ def settled(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    """The rows of some columns as Python values, ``AT_ONCE`` at a time: a batch may hold thousands of long texts."""
+    for at in range(0, len(columns[0]), AT_ONCE):
+        yield from zip(*(c.slice(at, AT_ONCE).to_pylist() for c in columns), strict=True)
+
+
 _NUMBERS = pa.struct([("names", pa.list_(pa.string())), ("placeholders", pa.list_(pa.string())), ("fresh", pa.int32())])
 
 
@@ -73,9 +82,13 @@ def numbered(found: Column, known: Column, held: Column, bases: Column | None =
 
     @F.arrow_udf("struct<names:array<string>,placeholders:array<string>,fresh:int>")
     def run(found: pa.Array, placeholders: pa.Array, names: pa.Array, held: pa.Array, bases: pa.Array) -> pa.Array:
-        rows = zip(found.to_pylist(), placeholders.to_pylist(), names.to_pylist(), held.to_pylist(), bases.to_pylist(), strict=True)
-        made = [number_names(f or [], list(zip(p or [], n or [], strict=True)), h or [], b) for f, p, n, h, b in rows]
-        return pa.array([{"names": n, "placeholders": p, "fresh": k} for n, p, k in made], _NUMBERS)
+        out = []
+        for at in range(0, len(found), AT_ONCE):
+            rows = _rows(*(c.slice(at, AT_ONCE) for c in (found, placeholders, names, held, bases)))
+            made = [number_names(f or [], list(zip(p or [], n or [], strict=True)), h or [], b) for f, p, n, h, b in rows]
+            lists = [pa.array([m[i] for m in made], pa.list_(pa.string())) for i in (0, 1)]
+            out.append(pa.StructArray.from_arrays([*lists, pa.array([m[2] for m in made], pa.int32())], fields=list(_NUMBERS)))
+        return pa.concat_arrays(out) if out else pa.array([], _NUMBERS)
 
     ordered = F.array_sort(F.transform(known, lambda e: F.struct(e["ord"].alias("ord"), e["placeholder"].alias("placeholder"), e["name"].alias("name"))))
     no_bases = F.lit(None).cast("array<string>")
@@ -89,7 +102,7 @@ def swap_words(segments: Column | str, stays: Column | str, names: Column | str,
     @F.arrow_udf(StringType())
     def run(segments: pa.Array, stays: pa.Array, names: pa.Array, others: pa.Array) -> pa.Array:
         out = []
-        for segs, keep, n, o in zip(segments.to_pylist(), stays.to_pylist(), names.to_pylist(), others.to_pylist(), strict=True):
+        for segs, keep, n, o in _rows(segments, stays, names, others):
             get = dict(zip(n or [], o or [], strict=True)).get
             if segs is None:
                 out.append(None)
@@ -185,7 +198,7 @@ def swap_terms(text: Column, terms: Column, others: Column, strict: bool = False
     @F.arrow_udf("struct<text:string,found:array<string>>")
     def run(text: pa.Array, terms: pa.Array, others: pa.Array) -> pa.Array:
         made = []
-        for t, a, b in zip(text.to_pylist(), terms.to_pylist(), others.to_pylist(), strict=True):
+        for t, a, b in _rows(text, terms, others):
             done, found = (t, []) if t is None or not a else swapped_terms(t, a, b, strict, _compiled(around))
             made.append({"text": done, "found": found})
         return pa.array(made, pa.struct([("text", pa.string()), ("found", pa.list_(pa.string()))]))
@@ -202,7 +215,7 @@ def mark_terms(text: Column, terms: Column, known: Column, around: str) -> Colum
     @F.arrow_udf(StringType())
     def run(text: pa.Array, terms: pa.Array, placeholders: pa.Array, names: pa.Array) -> pa.Array:
         out = []
-        for t, wanted, p, n in zip(text.to_pylist(), terms.to_pylist(), placeholders.to_pylist(), names.to_pylist(), strict=True):
+        for t, wanted, p, n in _rows(text, terms, placeholders, names):
             if t and wanted:
                 held = dict(zip(n or [], p or [], strict=True))
                 t, _ = swapped_terms(t, wanted, [held.get(x, x) for x in wanted], around=_compiled(around))
