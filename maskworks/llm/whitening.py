@@ -221,11 +221,11 @@ def fit(vectors: DataFrame, vector: str = "embedding", most: int = MOST) -> dict
         for batch in batches:
             for _, some in by_dimension(batch.column(0)):
                 axes = held.value[some.shape[1]]
-                # The length stands in front, so that lengths are told apart in the second pass.
-                for y in (axes.whitened(axes.deviations(some)),) if axes.axes.shape[1] else ():
+                if axes.axes.shape[1]:
+                    y = axes.whitened(axes.deviations(some))
                     yield pa.RecordBatch.from_arrays([pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(np.full(len(y), some.shape[1], np.int32))], names=["x", "dim"])
 
-    for dim in found if len(found) > 1 else list(found):
+    for dim in found:
         rows = distinct.mapInArrow(project, "x array<double>, dim int").where(F.col("dim") == dim)
         for state in merged(rows, False).values():
             found[dim].identity_error = float(np.abs(state.products / state.n - np.eye(len(state.mean))).max())
