@@ -9,6 +9,7 @@ import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -74,6 +75,14 @@ def _rows(*columns: pa.Array) -> Iterator[tuple]:
         yield from zip(*(c.slice(at, AT_ONCE).to_pylist() for c in columns), strict=True)
 
 
+def _gathered(values: Iterator, kind: pa.DataType) -> pa.Array:
+    """Values as an array, of which only ``AT_ONCE`` are Python objects at a time."""
+    parts = []
+    while held := list(islice(values, AT_ONCE)):
+        parts.append(pa.array(held, kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 _NUMBERS = pa.struct([("names", pa.list_(pa.string())), ("placeholders", pa.list_(pa.string())), ("fresh", pa.int32())])
 
 
@@ -101,16 +110,17 @@ def swap_words(segments: Column | str, stays: Column | str, names: Column | str,
 
     @F.arrow_udf(StringType())
     def run(segments: pa.Array, stays: pa.Array, names: pa.Array, others: pa.Array) -> pa.Array:
-        out = []
-        for segs, keep, n, o in _rows(segments, stays, names, others):
-            get = dict(zip(n or [], o or [], strict=True)).get
-            if segs is None:
-                out.append(None)
-            elif not n:
-                out.append("".join(segs))
-            else:
-                out.append("".join([s if k else "".join([get(w, w) for w in _WORDS(s)]) for s, k in zip(segs, keep, strict=True)]))
-        return pa.array(out, pa.string())
+        def swapped() -> Iterator[str | None]:
+            for segs, keep, n, o in _rows(segments, stays, names, others):
+                get = dict(zip(n or [], o or [], strict=True)).get
+                if segs is None:
+                    yield None
+                elif not n:
+                    yield "".join(segs)
+                else:
+                    yield "".join([s if k else "".join([get(w, w) for w in _WORDS(s)]) for s, k in zip(segs, keep, strict=True)])
+
+        return _gathered(swapped(), pa.string())
 
     return run(segments, stays, names, others)
 
@@ -197,11 +207,12 @@ def swap_terms(text: Column, terms: Column, others: Column, strict: bool = False
 
     @F.arrow_udf("struct<text:string,found:array<string>>")
     def run(text: pa.Array, terms: pa.Array, others: pa.Array) -> pa.Array:
-        made = []
-        for t, a, b in _rows(text, terms, others):
-            done, found = (t, []) if t is None or not a else swapped_terms(t, a, b, strict, _compiled(around))
-            made.append({"text": done, "found": found})
-        return pa.array(made, pa.struct([("text", pa.string()), ("found", pa.list_(pa.string()))]))
+        def swapped() -> Iterator[dict]:
+            for t, a, b in _rows(text, terms, others):
+                done, found = (t, []) if t is None or not a else swapped_terms(t, a, b, strict, _compiled(around))
+                yield {"text": done, "found": found}
+
+        return _gathered(swapped(), pa.struct([("text", pa.string()), ("found", pa.list_(pa.string()))]))
 
     return run.asNondeterministic()(text, terms, others)
 
