@@ -12,7 +12,7 @@ from functools import cache
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,6 +25,10 @@ LARGEST = (1 << 63) - 1
 _LETTER = re.compile("[A-Za-z0-9_$]")
 #: Rows whose values are Python objects at a time.
 AT_ONCE = 32
+#: Bytes of rows that go to a Python worker at a time, unless the session says otherwise. A worker and the executor
+#: hold a batch and what is made of it, some of it twice.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Automata that a worker keeps, by their terms.
 KEPT_AUTOMATA = 8
 
@@ -64,6 +68,12 @@ def number_names(found: list[str], known: list[tuple[str, str]], held: list[str]
     return names + again, out + [mapped[n] for n in again], len(names)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches of whole texts be of ``BATCH_BYTES``, in a session that has its default for them."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def settled(column: Column) -> Column:
     """A column that stays one of its own: no expression is written across a generator, here of one row, into what uses it."""
     return F.explode(F.array(column))
@@ -83,26 +93,40 @@ def _gathered(values: Iterator, kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-_NUMBERS = pa.struct([("names", pa.list_(pa.string())), ("placeholders", pa.list_(pa.string())), ("fresh", pa.int32())])
+_MADE = pa.struct([("text", pa.string()), ("names", pa.list_(pa.string())), ("placeholders", pa.list_(pa.string()))])
 
 
-def numbered(found: Column, known: Column, held: Column, bases: Column | None = None) -> Column:
-    """struct(names, placeholders, fresh) of :func:`number_names`; ``known`` are entries in any order."""
+def numbered(found: Column, known: Column, held: Column, bases: Column | None = None, segments: Column | None = None, stays: Column | None = None) -> Column:
+    """struct(text, names, placeholders): the new names of :func:`number_names`, and the segments put together with all names swapped.
 
-    @F.arrow_udf("struct<names:array<string>,placeholders:array<string>,fresh:int>")
-    def run(found: pa.Array, placeholders: pa.Array, names: pa.Array, held: pa.Array, bases: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(found), AT_ONCE):
-            rows = _rows(*(c.slice(at, AT_ONCE) for c in (found, placeholders, names, held, bases)))
-            made = [number_names(f or [], list(zip(p or [], n or [], strict=True)), h or [], b) for f, p, n, h, b in rows]
-            lists = [pa.array([m[i] for m in made], pa.list_(pa.string())) for i in (0, 1)]
-            out.append(pa.StructArray.from_arrays([*lists, pa.array([m[2] for m in made], pa.int32())], fields=list(_NUMBERS)))
-        return pa.concat_arrays(out) if out else pa.array([], _NUMBERS)
+    ``known`` are entries in any order. Without ``segments`` the text is null and no text goes to Python. Numbering
+    and swapping are one step, so a task has one Python worker and the names go there once.
+    """
+
+    @F.arrow_udf("struct<text:string,names:array<string>,placeholders:array<string>>")
+    def run(found: pa.Array, placeholders: pa.Array, names: pa.Array, held: pa.Array, bases: pa.Array, segments: pa.Array, stays: pa.Array) -> pa.Array:
+        def made() -> Iterator[dict]:
+            for f, p, n, h, b, segs, keep in _rows(found, placeholders, names, held, bases, segments, stays):
+                all_names, others, fresh = number_names(f or [], list(zip(p or [], n or [], strict=True)), h or [], b)
+                yield {"text": _swapped(segs, keep, all_names, others), "names": all_names[:fresh], "placeholders": others[:fresh]}
+
+        return _gathered(made(), _MADE)
 
     ordered = F.array_sort(F.transform(known, lambda e: F.struct(e["ord"].alias("ord"), e["placeholder"].alias("placeholder"), e["name"].alias("name"))))
-    no_bases = F.lit(None).cast("array<string>")
+    none = F.lit(None).cast("array<string>")
+    given = [none if bases is None else bases, none if segments is None else segments, F.lit(None).cast("array<boolean>") if stays is None else stays]
     # Told to be nondeterministic, it is computed once and not inlined into each place that uses a field of it.
-    return run.asNondeterministic()(found, F.transform(ordered, lambda e: e["placeholder"]), F.transform(ordered, lambda e: e["name"]), held, no_bases if bases is None else bases)
+    return run.asNondeterministic()(found, F.transform(ordered, lambda e: e["placeholder"]), F.transform(ordered, lambda e: e["name"]), held, *given)
+
+
+def _swapped(segments: list[str] | None, keep: list[bool], names: list[str], others: list[str]) -> str | None:
+    """Segments put together with whole words swapped, but for those that stay."""
+    if segments is None:
+        return None
+    if not names:
+        return "".join(segments)
+    get = dict(zip(names, others, strict=True)).get
+    return "".join([s if k else "".join([get(w, w) for w in _WORDS(s)]) for s, k in zip(segments, keep, strict=True)])
 
 
 def swap_words(segments: Column | str, stays: Column | str, names: Column | str, others: Column | str) -> Column:
@@ -110,17 +134,7 @@ def swap_words(segments: Column | str, stays: Column | str, names: Column | str,
 
     @F.arrow_udf(StringType())
     def run(segments: pa.Array, stays: pa.Array, names: pa.Array, others: pa.Array) -> pa.Array:
-        def swapped() -> Iterator[str | None]:
-            for segs, keep, n, o in _rows(segments, stays, names, others):
-                get = dict(zip(n or [], o or [], strict=True)).get
-                if segs is None:
-                    yield None
-                elif not n:
-                    yield "".join(segs)
-                else:
-                    yield "".join([s if k else "".join([get(w, w) for w in _WORDS(s)]) for s, k in zip(segs, keep, strict=True)])
-
-        return _gathered(swapped(), pa.string())
+        return _gathered((_swapped(s, k, n or [], o or []) for s, k, n, o in _rows(segments, stays, names, others)), pa.string())
 
     return run(segments, stays, names, others)
 

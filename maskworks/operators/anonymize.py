@@ -61,7 +61,7 @@ def prepared(docs: DataFrame, text: str, language: str | None, known: str | None
 
 
 def anonymize(
-    docs: DataFrame, text: str = "text", language: str | None = None, known: str | None = None, rules: Sequence[Rule] = (), marks: Sequence[str] = (), policy: str = "redact"
+    docs: DataFrame, text: str = "text", language: str | None = None, known: str | None = None, rules: Sequence[Rule] = (), marks: Sequence[str] = (), policy: str = "redact", texts: bool = True
 ) -> DataFrame:
     """All columns of ``docs`` plus ``anonymized``, ``symbols``, ``identifier_count``, ``language`` and ``secrets``.
 
@@ -70,8 +70,11 @@ def anonymize(
     first place; a name with an entry keeps it, a whitelisted one stays, the first matching replace rule
     gives its own base, all others go by their strongest role. Numbers go on behind placeholders in the text.
     Comments are left as they are. A null text gives null and no entries. Rows are documents of their own,
-    whatever they repeat; columns with one of the new names are replaced.
+    whatever they repeat; columns with one of the new names are replaced. Without ``texts`` there is no
+    ``anonymized``, and no text is put together. A session with Spark's default for the size of Arrow batches gets
+    a smaller one.
     """
+    textswap.small_batches(docs.sparkSession)
     active = usable(docs.sparkSession, list(rules))
     old = [c for c in docs.columns if c not in ("anonymized", "symbols", "identifier_count", "language", "secrets", "known")]
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*old, *([known] if known else [])])])
@@ -82,18 +85,16 @@ def anonymize(
     if active:
         row = row.withColumn("__bases", F.transform("__found", lambda x: _own_base(F.substring(x, 2, LONGEST), active)))
         bases = F.col("__bases")
-    row = row.withColumn("__swap", textswap.numbered(F.col("__found"), F.col("known"), placeholders_held(F.col("__source")), bases))
+    whole = [F.col("__segs"), F.col("__comment")] if texts else []
+    row = row.withColumn("__swap", textswap.numbered(F.col("__found"), F.col("known"), placeholders_held(F.col("__source")), bases, *whole))
     most = F.coalesce(F.array_max(F.transform("known", lambda e: e["ord"])), F.lit(-1))
-    fresh = F.zip_with(
-        F.slice("__swap.placeholders", F.lit(1), F.col("__swap.fresh")), F.slice("__swap.names", F.lit(1), F.col("__swap.fresh")), lambda p, n: F.struct(p.alias("placeholder"), n.alias("name"))
-    )
+    fresh = F.zip_with("__swap.placeholders", "__swap.names", lambda p, n: F.struct(p.alias("placeholder"), n.alias("name")))
     fresh = F.transform(fresh, lambda e, i: F.struct(e["placeholder"].alias("placeholder"), e["name"].alias("name"), (most + i + 1).cast("int").alias("ord")))
-    whole = textswap.swap_words("__segs", "__comment", "__swap.names", "__swap.placeholders")
     return row.select(
         *[F.col(f"`{c}`") for c in old],
-        F.when(F.col("__source").isNotNull(), whole).alias("anonymized"),
+        *([F.when(F.col("__source").isNotNull(), F.col("__swap.text")).alias("anonymized")] if texts else []),
         F.concat("known", fresh).alias("symbols"),
-        (F.size("known") + F.col("__swap.fresh")).alias("identifier_count"),
+        (F.size("known") + F.size("__swap.names")).alias("identifier_count"),
         "language",
         "secrets",
     )

@@ -38,8 +38,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.anonymize(_texts(spark, sf_dir), language="typescript", policy="off")
+def _masked(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    return masking.anonymize(_texts(spark, sf_dir), language="typescript", policy="off", texts=texts)
 
 
 def anonymize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ select d.lang, r.role, count(*) as names, grouping_id(d.lang, r.role)::int "leve
 
 def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbol map of every document as rows."""
-    return _masked(spark, sf_dir).select("doc_id", F.explode("symbols").alias("s")).select("doc_id", "s.placeholder", "s.name")
+    return _masked(spark, sf_dir, texts=False).select("doc_id", F.explode("symbols").alias("s")).select("doc_id", "s.placeholder", "s.name")
 
 
 SYMBOLS_SQL = f"with {sql.names_cte()} select k doc_id, base || n placeholder, r as name from sym"
@@ -180,7 +180,7 @@ select count(*) docs, count_if(coalesce(b.back, '') = coalesce(d.text, '')) same
 
 def rules_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked names by base, under rules that keep some and rename others."""
-    out = masking.anonymize(_texts(spark, sf_dir), language="typescript", rules=RULES, policy="off")
+    out = masking.anonymize(_texts(spark, sf_dir), language="typescript", rules=RULES, policy="off", texts=False)
     return out.select(F.explode("symbols").alias("s")).groupBy(grammar.base_of(F.col("s.placeholder")).alias("base")).agg(F.count("*").alias("names"), F.max(grammar.number_of(F.col("s.placeholder"))).alias("most"))
 
 
