@@ -291,6 +291,7 @@ ORACLE_SQL: dict[str, str] = {
     "legend_counts": LEGEND_SQL,
     "round_trip": ROUND_TRIP_SQL,
     "rules_applied": RULES_SQL,
+    "secret_findings": sql.findings_sql("documents", "doc_id", "text"),
     "strip_noise": STRIP_SQL,
     "restore_report": REPORT_SQL,
     "href_safety": HREF_SQL,

@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives what the registered queries give, from the same fixed tables of words and patterns."""
 
-from ..functions import languages
+from ..functions import languages, secrets
 from ..functions.grammar import ROLE_BASES
 
 
@@ -49,3 +49,41 @@ def guess_sql(table: str, key: str, text: str) -> str:
         parts.append(f"select {key} k, '{lang}' lang, {order} o, {' + '.join(terms)} score from {table}")
     return f"""select k {key}, case when max(score) = 0 then '{languages.DEFAULT}' else arg_max(lang, score * 100 - o) end "language", max(score)::int score, max(score) = 0 fallback
 from ({" union all ".join(parts)}) group by k"""
+
+
+#: White space and what is none, as Java tells them, in RE2's notation.
+_BLANK = r" \t\n\x0B\f\r"
+_LABEL = rf"(?i:(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|auth|credential)[A-Za-z0-9_]*)[\"']?[{_BLANK}]*[:=][{_BLANK}]*"
+#: RE2 has no look-around: what stands before a secret is matched with it, what may not stand behind it is told by
+#: taking the longest run of its characters and testing that as a whole.
+_FINDERS = {
+    "AWS_SECRET_KEY": (rf"(?i:\b[a-z0-9_]*?aws[a-z0-9_]*?secret[a-z0-9_]*)[\"']?[{_BLANK}]*[:=][{_BLANK}]*[\"']?([A-Za-z0-9/+]+)", "length(x) = 40"),
+    "TELEGRAM_TOKEN": (r"(?:^|[^0-9])([0-9]{8,10}:AA[A-Za-z0-9_\-]{33})", "true"),
+    "BEARER_TOKEN": (rf"(?i:bearer)[{_BLANK}]+([A-Za-z0-9_\-.~+/]{{20,}}=*)", "true"),
+    "BASIC_AUTH": (rf"(?i:authorization)[\"']?[{_BLANK}]*[:=][{_BLANK}]*[\"']?(?i:basic)[{_BLANK}]+([A-Za-z0-9+/]{{8,}}=*)", "true"),
+    "PRIVATE_KEY": (r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?)", "true"),
+    "CONNECTION_PASSWORD": (rf"(?:^|[^A-Za-z])[a-z][a-z0-9+]*://[^{_BLANK}:/@\"']+:([^{_BLANK}/@\"']{{3,}})@", "true"),
+    "ASSIGNED_SECRET": (rf"{_LABEL}[\"']([A-Za-z0-9_\-+/=.]{{20,}})[\"']", "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Za-z]')"),
+    "POSSIBLE_CREDENTIAL": (rf"{_LABEL}[\"']([^\"'{_BLANK}]{{6,}})[\"']", "true"),
+    "EMAIL": (r"(?:^|[^A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24})(?:\b|_)", "true"),
+    "PRIVATE_IP": (r"([0-9.]+)", r"regexp_full_match(x, '(?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}')"),
+}
+
+
+def findings_sql(table: str, key: str, text: str) -> str:
+    """(type, severity, n) of the secrets of all rows, each counted once a row, for the first detector that finds it."""
+    parts = []
+    for order, d in enumerate(secrets.DETECTORS):
+        bare = d.pattern.removeprefix(secrets._EDGE).removesuffix(secrets._END)
+        if d.type in _FINDERS:
+            regex, test = _FINDERS[d.type]
+        elif bare == d.pattern:
+            regex, test = bare, "true"
+        elif r"\." in bare:
+            regex, test = rf"(?:^|[^A-Za-z0-9_\-]){bare}", "true"
+        else:
+            regex, test = r"([A-Za-z0-9_\-]+)", f"regexp_full_match(x, {_quoted(bare)})"
+        parts.append(f"select {key} k, {order} o, unnest(list_filter(regexp_extract_all({text}, {_quoted(regex)}, 1), lambda x: {test})) s from {table}")
+    kinds = ", ".join(f"({i}, '{d.type}', '{d.severity}')" for i, d in enumerate(secrets.DETECTORS))
+    return f"""with f as ({" union all ".join(parts)}), g as (select k, s, min(o) o from f group by k, s)
+select t.type, t.severity, count(*) n from g join (values {kinds}) t(o, type, severity) on t.o = g.o group by 1, 2"""
