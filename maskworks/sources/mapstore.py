@@ -5,9 +5,11 @@ import hashlib
 import json
 import os
 import re
+import uuid
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grammar import PLACEHOLDER
@@ -37,22 +39,37 @@ class InvalidMapError(ValueError):
     """Content that is no symbol map."""
 
 
+#: Folders that maps are dealt to by id.
+BUCKETS = 64
+
+
+def bucket_of(map_id: str) -> int:
+    """The folder of a map: its rows and its delete lie there together."""
+    return zlib.crc32(map_id.encode()) % BUCKETS
+
+
 @dataclass(frozen=True)
 class MapStore:
-    """Saved maps in a folder. A delete is a row of its own, so nothing is ever rewritten in place."""
+    """Saved maps in a folder. A delete is a row of its own, so nothing is ever rewritten in place.
+
+    Each save and each delete writes a folder of its own below the bucket of its id, so writers at the same time do
+    not meet, and one map is read from one bucket. A store that cannot be read raises; only an absent one is empty.
+    """
 
     spark: SparkSession
     path: str
 
-    def save(self, name: str, symbols: DataFrame) -> None:
-        """Appends a map from one row with a column ``symbols``; a blank name is refused."""
+    def save(self, name: str, symbols: DataFrame) -> str:
+        """Appends a map from one row with a column ``symbols``, and gives its id; a blank name is refused."""
         if not name.strip():
             raise ValueError("a map needs a name")
+        map_id = str(uuid.uuid4())
         row = symbols.select(
-            F.uuid().alias("id") if hasattr(F, "uuid") else F.expr("uuid()").alias("id"), F.lit(name.strip()).alias("name"), "symbols",
+            F.lit(map_id).alias("id"), F.lit(name.strip()).alias("name"), "symbols",
             F.current_timestamp().alias("saved_at"), F.size("symbols").alias("identifier_count"), F.lit(False).alias("deleted"),
         )
-        row.write.mode("append").parquet(self.path)
+        self._write(row, map_id)
+        return map_id
 
     def delete(self, map_id: str) -> None:
         """Takes a map out of :meth:`load`; an unknown id changes nothing."""
@@ -60,19 +77,25 @@ class MapStore:
             F.lit(map_id).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<struct<placeholder:string,name:string,ord:int>>").alias("symbols"),
             F.current_timestamp().alias("saved_at"), F.lit(None).cast("int").alias("identifier_count"), F.lit(True).alias("deleted"),
         )
-        row.write.mode("append").parquet(self.path)
+        self._write(row, map_id)
 
-    def load(self) -> DataFrame:
-        """All maps, newest first; an absent store is empty, one that cannot be read raises."""
-        if not there(self.spark, self.path):
+    def _write(self, row: DataFrame, map_id: str) -> None:
+        row.write.mode("errorifexists").parquet(f"{self.path}/bucket={bucket_of(map_id)}/write={uuid.uuid4()}")
+
+    def _kept(self, folder: str) -> DataFrame:
+        """The maps below a folder that no delete names. Deletes are few and bare, so it is they that travel."""
+        if not there(self.spark, folder):
             return self.spark.createDataFrame([], SCHEMA).drop("deleted")
-        rows = self.spark.read.schema(SCHEMA).parquet(self.path)
-        gone = Window.partitionBy("id")
-        return rows.withColumn("deleted", F.max("deleted").over(gone)).where("not deleted").drop("deleted").orderBy(F.col("saved_at").desc(), "id")
+        rows = self.spark.read.schema(SCHEMA).parquet(folder).drop("bucket", "write")
+        return rows.where("not deleted").drop("deleted").join(rows.where("deleted").select("id").distinct(), "id", "left_anti")
+
+    def load(self) -> DataFrame:
+        """All maps, newest first."""
+        return self._kept(self.path).orderBy(F.col("saved_at").desc(), "id")
 
     def get(self, map_id: str) -> DataFrame:
-        """The map of an id, or no row."""
-        return self.load().where(F.col("id") == map_id)
+        """The map of an id, or no row. Only its bucket is listed and read."""
+        return self._kept(f"{self.path}/bucket={bucket_of(map_id)}").where(F.col("id") == map_id)
 
     def recent(self, most: int = 5) -> DataFrame:
         """The newest maps."""

@@ -2,6 +2,7 @@
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -31,6 +32,33 @@ def test_store_saves_lists_and_deletes(spark, tmp_path):
     assert mapstore.file_name("a  b\tc") == "a-b-c"
 
 
+def test_store_reads_one_bucket_and_lets_writers_meet(spark, tmp_path):
+    store = mapstore.MapStore(spark, str(tmp_path / "maps"))
+    one = spark.range(1).select(masking.entries_of({"__CLS__1": "A"}).alias("symbols"))
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: store.save(f"map {i}", one), range(12)))
+        list(pool.map(lambda i: store.delete(ids[i]) if i < 6 else store.save(f"late {i}", one), range(12)))
+    store.delete("no such map")
+    assert sorted(r["name"] for r in store.load().collect()) == sorted([f"map {i}" for i in range(6, 12)] + [f"late {i}" for i in range(6, 12)])
+    got = store.get(ids[7])
+    assert [r["name"] for r in got.collect()] == ["map 7"] and store.get(ids[0]).count() == 0 and store.get("no such map").count() == 0
+    assert {f"bucket={mapstore.bucket_of(ids[7])}"} == {p.split("/maps/")[1].split("/")[0] for p in got.inputFiles()}
+    bad = next((tmp_path / "maps" / f"bucket={mapstore.bucket_of(ids[7])}").glob("*/*.parquet"))
+    bad.with_name(f".{bad.name}.crc").unlink(missing_ok=True)
+    bad.write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        store.load().collect()
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        store.get(ids[7]).collect()
+
+
+def test_texts_are_whole_files_that_are_not_blank(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "b.txt").write_text(" \n\t")
+    (tmp_path / "c.txt").write_text("")
+    assert [(r["path"].rsplit("/", 1)[1], r["text"]) for r in mapstore.read_texts(spark, str(tmp_path)).collect()] == [("a.txt", "one\ntwo\n")]
+
+
 def test_encrypted_files(spark):
     symbols = {"__CLS__1": "Zażółć", "__P2__": "b"}
     content = mapstore.export_map(spark, symbols, WORD, iterations=500)
