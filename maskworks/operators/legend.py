@@ -32,13 +32,17 @@ def legend(symbols: Column | str, snippet: Column | None = None) -> Column:
     keys = F.transform(symbols, lambda e: e["placeholder"])
     if snippet is not None:
         keys = F.array_intersect(keys, placeholders_in(snippet))
-    bases = F.filter(F.transform(keys, base_of), lambda b: b != "")
     known = F.array(*map(F.lit, LABELS))
-    order = F.concat(F.array_intersect(known, bases), F.array_except(F.array_distinct(bases), known))
     label = lambda b: reduce(lambda acc, x: acc.when(b == x[0], x[1]), LABELS.items(), F.when(b.isNull(), "")).otherwise(OTHER)
-    part = lambda b: F.concat(b, F.lit("* are "), label(b), F.lit(" ("), F.size(F.filter(bases, lambda x: x == b)).cast("string"), F.lit(")"))
-    text = F.concat(F.lit("Placeholder legend: "), F.array_join(F.transform(order, part), "; "), F.lit("."))
-    return F.when(F.size(bases) > 0, text).otherwise("")
+
+    def told(bases):
+        order = F.concat(F.array_intersect(known, bases), F.array_except(F.array_distinct(bases), known))
+        part = lambda b: F.concat(b, F.lit("* are "), label(b), F.lit(" ("), F.size(F.filter(bases, lambda x: x == b)).cast("string"), F.lit(")"))
+        text = F.concat(F.lit("Placeholder legend: "), F.array_join(F.transform(order, part), "; "), F.lit("."))
+        return F.when(F.size(bases) > 0, text).otherwise("")
+
+    # As the variable of a function, the bases are told once a row and not again for each use.
+    return F.transform(F.array(F.filter(F.transform(keys, base_of), lambda b: b != "")), told)[0]
 
 
 def with_preamble(anonymized: Column, symbols: Column | str | None = None) -> Column:
