@@ -85,3 +85,19 @@ def test_legend_tells_bases_once(spark):
     told = docs.select(legend.legend(F.col("s"), F.col("text")).alias("told"), legend.legend(F.col("s")).alias("all"))
     assert told._jdf.queryExecution().analyzed().toString().count(NUMBERED) == 2
     assert told.first()["told"] == "Placeholder legend: __CLS__* are class or type names (1); __X__* are project-specific identifiers (1)."
+
+
+def test_corpus_names_are_grouped_once(spark, sf):
+    """Names are grouped by name alone, and what counts and what places them is one grouping, so texts are searched once."""
+    shown = plan(anonymize.corpus_symbols(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), language="typescript"))
+    made = re.findall(r"HashAggregate\(keys=\[token#[^\]]*\], functions=\[[^\n]{,40}", shown)
+    assert made and all("keys=[token#" in x and "key#" not in x and "min(place#" in x for x in made)
+
+
+def test_corpus_symbols_of_extreme_and_equal_keys(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(most, "lastName bothName"), (least, "xx firstName firstName()"), (-1, "new midName firstName"), (0, "midName zeroName"), (0, "new zeroName()")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["first_key"], r["placeholder"], r["name"]) for r in anonymize.corpus_symbols(docs, language="typescript").collect()}
+    # Of names as long as each other the first in the text comes first; documents with one key are as one.
+    assert got == {(least, "__FN__1", "firstName"), (-1, "__CLS__1", "midName"), (0, "__CLS__2", "zeroName"), (most, "__VAR__1", "lastName"), (most, "__VAR__2", "bothName")}
