@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from maskworks.functions import languages
+from maskworks.functions import languages, textswap
 from maskworks.functions.grammar import NUMBERED
 from maskworks.operators import anonymize, identifiers, legend, rules
 
@@ -101,3 +102,28 @@ def test_corpus_symbols_of_extreme_and_equal_keys(spark):
     got = {(r["first_key"], r["placeholder"], r["name"]) for r in anonymize.corpus_symbols(docs, language="typescript").collect()}
     # Of names as long as each other the first in the text comes first; documents with one key are as one.
     assert got == {(least, "__FN__1", "firstName"), (-1, "__CLS__1", "midName"), (0, "__CLS__2", "zeroName"), (most, "__VAR__1", "lastName"), (most, "__VAR__2", "bothName")}
+
+
+def test_names_numbered_by_batch_equal_row_by_row():
+    deal, lists = random.Random(3), pa.list_(pa.string())
+    word = lambda: deal.choice("abAB") + "".join(deal.choice("ab_1") for _ in range(deal.randint(2, 5)))
+    own = {"a": None, "b": "", "A": "__X__", "B": "__CLS__"}
+    for trial in range(60):
+        rows = [None if deal.random() < 0.2 else list(dict.fromkeys(str(deal.randrange(5)) + word() for _ in range(deal.choice([0, 3, 20, 60])))) for _ in range(deal.randint(0, 8))]
+        bases = [None if x is None else [own[n[1]] for n in x] for x in rows] if trial % 2 else None
+        known = [[] if deal.random() < 0.6 or not x else [(f"__VAR__{i + 3}", n[1:]) for i, n in enumerate(x[:3])] for x in rows]
+        held = [[] if deal.random() < 0.7 else ["__CLS__9", "__X__4", f"__VAR__{(1 << 63) - 1}"] for _ in rows]
+        want = [textswap.number_names(f or [], k, h, bases[i] if bases else None) for i, (f, k, h) in enumerate(zip(rows, known, held, strict=True))]
+        carried = [pa.array([[e[i] for e in k] for k in known], lists) for i in (0, 1)]
+        got, whole = textswap._numbered(pa.array(rows, lists), *carried, pa.array(held, lists), None if bases is None else pa.array(bases, lists))
+        assert got.to_pylist() == [[{"placeholder": p, "name": n, "ord": i} for i, (n, p) in enumerate(list(zip(a, b, strict=True))[:c])] for a, b, c in want]
+        assert all((a, b) == want[i][:2] for i, (a, b) in whole.items())
+
+
+def test_words_swapped_by_pieces_equal_word_by_word():
+    segments, keep, swap = ["x  foo bar,foo\nbar  12foo foo ", "'foo  bar'", " foo", "", "foo"], [False, False, True, False, False], {"foo": "__A__1", "bar": "__A__2"}
+    want = "".join(s if k else re.sub("[A-Za-z0-9_$]+", lambda m: swap.get(m[0], m[0]), s) for s, k in zip(segments, keep, strict=True))
+    assert textswap._swapped(segments, keep, list(swap), list(swap.values())) == want
+    # Each distinct piece between spaces is cut into words once.
+    made = textswap._Swap(list(swap), list(swap.values()))
+    assert [made[x] for x in ("a,foo", "foo", "zzz", "a,foo")] == ["a,__A__1", "__A__1", "zzz", "a,__A__1"] and set(made) == {"foo", "bar", "a,foo", "zzz"}
