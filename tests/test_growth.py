@@ -127,3 +127,13 @@ def test_words_swapped_by_pieces_equal_word_by_word():
     # Each distinct piece between spaces is cut into words once.
     made = textswap._Swap(list(swap), list(swap.values()))
     assert [made[x] for x in ("a,foo", "foo", "zzz", "a,foo")] == ["a,__A__1", "__A__1", "zzz", "a,__A__1"] and set(made) == {"foo", "bar", "a,foo", "zzz"}
+
+
+def test_literal_rules_need_no_regex(spark):
+    some = ["^Th", "ing$", "tion", "^exact$", "a.c", "x?y", "^", "$", "(q|r)s"]
+    names = ["Thing", "thTh", "ring", "ingot", "nations", "exact", "exactly", "abc", "y", "qs", "$", "T_h"]
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    both = table.select("n", *[rules._matches(F.col("n"), p).alias(f"a{i}") for i, p in enumerate(some)], *[F.col("n").rlike(p).alias(f"b{i}") for i, p in enumerate(some)])
+    assert all(r[f"a{i}"] == r[f"b{i}"] for r in both.collect() for i in range(len(some)))
+    shown = plan(table.select(rules.whitelisted(F.col("n"), [rules.Rule("whitelist", "^Th")]), rules.replacement_base(F.col("n"), [rules.Rule("replace", "ing$", "__A__"), rules.Rule("replace", "tion", "__B__")])))
+    assert "RLIKE" not in shown.upper()
