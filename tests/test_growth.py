@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from maskworks.functions import languages, textswap
+from maskworks.functions import grammar, languages, textswap
 from maskworks.functions.grammar import NUMBERED
 from maskworks.operators import anonymize, identifiers, legend, rules
 
@@ -137,3 +137,13 @@ def test_literal_rules_need_no_regex(spark):
     assert all(r[f"a{i}"] == r[f"b{i}"] for r in both.collect() for i in range(len(some)))
     shown = plan(table.select(rules.whitelisted(F.col("n"), [rules.Rule("whitelist", "^Th")]), rules.replacement_base(F.col("n"), [rules.Rule("replace", "ing$", "__A__"), rules.Rule("replace", "tion", "__B__")])))
     assert "RLIKE" not in shown.upper()
+
+
+def test_placeholders_are_looked_for_by_their_beginning(spark):
+    deal = random.Random(7)
+    texts = ["".join(deal.choice(["__", "_", "A", "X9", "1", " ", "$", "b", "é", "__A__1", "__B_C__"]) for _ in range(deal.randrange(14))) for _ in range(2000)]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = grammar.placeholders_in(F.col("t"))
+    assert f"(?<!{grammar.WORD})__" not in plan(table.select(found))
+    want = table.select(found.alias("a"), F.regexp_extract_all("t", F.lit(grammar.PLACEHOLDER_SCAN), F.lit(0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in want) and sum(len(r["a"]) for r in want) > 100
