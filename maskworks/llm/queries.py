@@ -59,7 +59,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of every document by the classifier chain, and whether it is rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity_chain.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
-    return toxicity_chain.score(docs, spark.sparkContext.broadcast(chain)).drop("text")
+    return toxicity_chain.score(docs, spark.sparkContext.broadcast(chain), texts=False)
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

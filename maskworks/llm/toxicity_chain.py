@@ -26,8 +26,12 @@ from .textkit import Words, mix, slices, utf8
 SAMPLE_ROWS = 8192
 #: Features that one model keeps at most, those that tell most about its category.
 FEATURES = 4096
+#: Tasks for what the sampled rows give, which is bounded however large the tables are.
+TASKS = 16
 #: Features of rows that a task holds before it passes their counts on.
-HELD = 4_000_000
+HELD = 500_000
+#: Bytes of texts that are lower-cased, hashed and sorted at a time, one document at least.
+PIECE_BYTES = 1 << 18
 FOLDS = 4
 ROUNDS = 150
 RIDGE = 0.3
@@ -43,11 +47,13 @@ _SIGNS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;
 
 
 def feature_batches(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, feature hashes, document of each) for slices of a string column; repeats are still there."""
+    """(first row, last row + 1, feature hashes, document of each) for slices of a string column; repeats are still there.
+
+    Nothing is made of more than one slice, so what is held beside the column does not grow with it.
+    """
     raw_offsets, raw = utf8(column)
-    offsets, data = utf8(pc.utf8_lower(column.cast(pa.large_string())))
-    for a, b in slices(offsets):
-        words = Words(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], LETTERS)
+    for a, b in slices(raw_offsets, PIECE_BYTES):
+        words = Words(*utf8(pc.utf8_lower(column.slice(a, b - a).cast(pa.large_string()))), LETTERS)
         doc = np.repeat(np.arange(b - a), np.diff(words.first))
         kinds = [words.hashes(), *(mix(words.hashes(p) + np.uint64(p)) for p in PREFIXES)]
         feats, docs = [*kinds], [doc] * len(kinds)
@@ -106,7 +112,7 @@ def fit_linear(feature: np.ndarray, doc: np.ndarray, distinct: np.ndarray, earli
     place = np.full(len(distinct), -1)
     place[picked] = np.arange(len(picked))
     inside = place[f] >= 0
-    f, d = place[f[inside]], d[inside]
+    f, d = place[f[inside]], d[inside].astype(np.intp)
     n, m = len(target), len(picked)
     w, e, bias = np.zeros(m), np.zeros(earlier.shape[1]), np.log(rate / (1 - rate))
     share = weight / total
@@ -161,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "key")
     rows = rows.groupBy("key", "toxic", "low").agg(F.min("text").alias("text"))
     fold = F.pmod(F.crc32(F.col("key").cast("string")), F.lit(FOLDS)).cast("int")
-    sample = written(rows.select("text", (fold * 4 + F.col("low").cast("int") * 2 + F.col("toxic").cast("int")).alias("slot")).repartition(16), "labelled")
+    sample = written(rows.select("text", (fold * 4 + F.col("low").cast("int") * 2 + F.col("toxic").cast("int")).alias("slot")).repartition(TASKS), "labelled")
     whole = dict(known.groupBy(F.col("toxic").cast("int").alias("t")).count().collect())
     had = dict(sample.groupBy("slot").count().collect())
     if not had:
@@ -170,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     size = np.array([had.get(s, 0) for s in range(4 * FOLDS)], float)
     per_slot = [F.sum(F.when(F.col("slot") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(len(size))]
     counts = sample.mapInArrow(_counted, "feature long, slot int, n int").groupBy("feature").agg(*per_slot)
-    counts = written(counts.where(sum((F.col(f"n{s}") for s in range(len(size))), F.lit(0)) >= 3), "features")
-    best = counts.mapInArrow(_telling(size, weights, most), "model int, told double, feature long")
+    counts = counts.where(sum((F.col(f"n{s}") for s in range(len(size))), F.lit(0)) >= 3)
+    best = counts.coalesce(TASKS).mapInArrow(_telling(size, weights, most), "model int, told double, feature long")
     rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("told"), F.col("feature") < 0, "feature"))
     kept = best.withColumn("rank", rank).where(F.col("rank") <= most).select("feature").distinct().toArrow()["feature"].to_numpy()
     distinct = np.sort(kept.view(np.uint64))
@@ -260,7 +266,7 @@ def _fitted(distinct: np.ndarray, weights: np.ndarray, most: int):
     def run(batches):
         places, slots = [], []
         for batch in batches:
-            places.append((np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), pc.binary_length(batch.column(0)).to_numpy() // 4))
+            places.append((np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)]), pc.binary_length(batch.column(0)).to_numpy() // 4))
             slots.append(batch.column(1).to_numpy())
         if places:
             feature, length, slot = np.concatenate([p for p, _ in places]), np.concatenate([n for _, n in places]), np.concatenate(slots)
@@ -271,9 +277,11 @@ def _fitted(distinct: np.ndarray, weights: np.ndarray, most: int):
     return run
 
 
-def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: float = THRESHOLD, texts: bool = True) -> DataFrame:
     """All columns of ``docs`` plus ``p_<category>`` for each category and ``rejected`` (p_toxic at or over the threshold).
 
+    Without ``texts`` the text column is left out, and texts do not travel back from the Python workers.
+
     A null or empty text has no words and is never rejected. Rows are judged one by one, so repeated
     rows, ties, null keys and empty tables need no care; columns with one of the new names are replaced.
     """
@@ -281,6 +289,7 @@ def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: floa
     kept = [c for c in docs.columns if c not in new]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
+    back = [i for i in range(len(kept)) if texts or i != at]
 
     def run(batches):
         models = chain.value
@@ -291,10 +300,9 @@ def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: floa
         for f in all_features:
             known[int(f) & 0xFFFFF] = True
         for batch in batches:
-            p = np.zeros((batch.num_rows, len(models)))
-            worded = np.zeros(batch.num_rows, bool)
             for a, b, feats, doc in feature_batches(batch.column(at)):
-                worded[a:b] = np.bincount(doc, minlength=b - a) > 2
+                p = np.zeros((b - a, len(models)))
+                worded = np.bincount(doc, minlength=b - a) > 2
                 again = mix(feats + np.uint64(1))
                 near = known[(feats & np.uint64(0xFFFFF)).astype(np.int64)] | known[(again & np.uint64(0xFFFFF)).astype(np.int64)]
                 f, d = _levels(feats[near], doc[near])
@@ -303,10 +311,10 @@ def score(docs: DataFrame, chain: Broadcast, text: str = "text", threshold: floa
                 spot, d = spot[same], d[same]
                 for k, (m, place) in enumerate(zip(models, places, strict=True)):
                     held = place[spot] >= 0
-                    p[a:b, k] = m.probability(place[spot[held]], d[held], p[a:b, :k])
-            p[~worded] = 0.0
-            fresh = [pa.array(p[:, k]) for k in range(len(models))] + [pa.array(p[:, CATEGORIES.index("toxic")] >= threshold)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + fresh, names=kept + new)
+                    p[:, k] = m.probability(place[spot[held]], d[held], p[:, :k])
+                p[~worded] = 0.0
+                fresh = [pa.array(p[:, k]) for k in range(len(models))] + [pa.array(p[:, CATEGORIES.index("toxic")] >= threshold)]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in back] + fresh, names=[kept[i] for i in back] + new)
 
-    schema = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in kept) + "".join(f"{c} double, " for c in new[:-1]) + "rejected boolean"
+    schema = "".join(f"`{kept[i]}` {source.schema[kept[i]].dataType.simpleString()}, " for i in back) + "".join(f"{c} double, " for c in new[:-1]) + "rejected boolean"
     return source.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from re import _constants as codes
@@ -12,6 +13,7 @@ from re import _parser as parser
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +244,37 @@ def test_features_are_words_beginnings_and_shares():
             assert len(feats[doc == i - a]) == sum(_plain_features(texts[i] or "").values()) + 2
 
 
+def test_features_of_a_batch_are_made_piece_by_piece():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    texts = pa.array([" ".join(r.choices(words, k=500)) for _ in range(3000)])
+    before, most = pa.total_allocated_bytes(), 0
+    for _ in toxicity_chain.feature_batches(texts):
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert most < texts.nbytes / 8
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(np.arange(len(texts), dtype=np.int32) % 16)], names=["text", "slot"])
+    found = Counter()
+    tracemalloc.start()
+    for out in toxicity_chain._counted(iter([batch])):
+        found[0] += pc.sum(out.column(2)).as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    assert found[0] == sum(len(toxicity_chain._levels(f, d)[0]) for _, _, f, d in toxicity_chain.feature_batches(texts))
+
+
+def test_training_writes_the_sample_alone_and_scores_need_no_texts(spark, monkeypatch):
+    names, written = [], toxicity_chain.written
+    monkeypatch.setattr(toxicity_chain, "written", lambda df, name: names.append(name) or written(df, name))
+    docs = spark.createDataFrame([(i, None if i == 7 else "" if i == 8 else "blue tree" + " scum" * (i % 3 == 0)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    chain = spark.sparkContext.broadcast(toxicity_chain.train(docs, labels))
+    assert names == ["labelled"]
+    out = toxicity_chain.score(docs, chain, texts=False)
+    assert out.columns == ["doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", "rejected"]
+    assert sorted(out.collect()) == sorted(toxicity_chain.score(docs, chain).drop("text").collect())
+
+
 def test_classifier_without_labelled_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, "c d"), (2, "c d"), (None, "e")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 0, 1), (7, 0, 1)], "doc_id long, quality int, toxic int")
